@@ -37,14 +37,15 @@ def has_attribute_sql(tag: str, name: str) -> str:
     return f"{tag} rlike {text(_before(name) + r'(?=[\s=/>])')}"
 
 
-def attribute_sql(tag: str, name: str) -> str:
-    """Decoded value of an attribute; '' when it has none, NULL when it is absent."""
+def attribute_sql(tag: str, name: str, decode: bool = True) -> str:
+    """Value of an attribute; '' when it has none, NULL when it is absent."""
     pattern = _before(name) + rf"\s*=\s*({_VALUE})"
     value = let_sql(
         "av", f"regexp_extract({tag}, {text(pattern)}, 1)",
         "CASE WHEN left(av, 1) IN ('\"', \"'\") THEN substr(av, 2, length(av) - 2) ELSE av END")
-    return (f"CASE WHEN {has_attribute_sql(tag, name)} THEN "
-            f"{let_sql('dv', value, unescape_sql('dv', attribute=True))} END")
+    if decode:
+        value = let_sql("dv", value, unescape_sql("dv", attribute=True))
+    return f"CASE WHEN {has_attribute_sql(tag, name)} THEN {value} END"
 
 
 def _entity_table() -> str:

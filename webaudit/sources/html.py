@@ -41,7 +41,7 @@ def _of(names: str, condition: str = "true") -> str:
 
 
 def _meta(name: str) -> str:
-    hit = _of("meta", f"lower({attribute_sql('e.t', 'name')}) = '{name}'")
+    hit = _of("meta", f"lower({attribute_sql('e.t', 'name', False)}) = '{name}'")
     return let_sql("m", f"get({hit}, 0)",
                    f"CASE WHEN m IS NOT NULL THEN "
                    f"{trim_sql('coalesce(' + attribute_sql('m.t', 'content') + ', ' + chr(39) * 2 + ')')} END")
@@ -58,7 +58,7 @@ def _resource(element: str, attribute: str, where: str) -> str:
 
 
 def _relation(rel: str) -> str:
-    return f"lower({attribute_sql('e.t', 'rel')}) = '{rel}'"
+    return f"lower({attribute_sql('e.t', 'rel', False)}) = '{rel}'"
 
 
 def _surface_sql(name: str) -> str:
@@ -77,14 +77,14 @@ def _surface_sql(name: str) -> str:
         return let_sql("c", hit, f"CASE WHEN c IS NOT NULL THEN "
                                  f"{absolutize_sql(attribute_sql('c', 'href'), '_base')} END")
     if name == "htmlLang":
-        return attribute_sql(f"get({_of('html')}, 0).t", "lang")
+        return attribute_sql(f"get({_of('html')}, 0).t", "lang", False)
     if name == "h1s":
         return (f"transform(regexp_extract_all(_clean, {text(HEADING)}, 1), "
                 f"h -> {text_content_sql('h')})")
     if name == "hreflang":
-        hits = _of("link", f"{_relation('alternate')} AND {has_attribute_sql('e.t', 'hreflang')}")
+        hits = _of("link", f"{_relation('alternate')} AND {has_attribute_sql('e.t', 'hreflang', False)}")
         return (f"transform({hits}, e -> named_struct("
-                f"'hreflang', {attribute_sql('e.t', 'hreflang')}, "
+                f"'hreflang', {attribute_sql('e.t', 'hreflang', False)}, "
                 f"'href', {absolutize_sql(attribute_sql('e.t', 'href'), '_base')}))")
     if name == "links":
         anchors = (f"filter(regexp_extract_all(_clean, {text(ANCHOR)}, 0), "
@@ -93,7 +93,7 @@ def _surface_sql(name: str) -> str:
         return (f"transform({anchors}, a -> named_struct("
                 f"'href', {absolutize_sql(attribute_sql('a', 'href'), '_base')}, "
                 f"'text', left({text_content_sql(inner)}, {LINK_TEXT_CAP}), "
-                f"'rel', {attribute_sql('a', 'rel')}))")
+                f"'rel', {attribute_sql('a', 'rel', False)}))")
     if name == "images":
         return (f"transform({_of('img')}, e -> named_struct("
                 f"'src', {absolutize_sql(attribute_sql('e.t', 'src'), '_base')}, "
@@ -111,10 +111,10 @@ def _surface_sql(name: str) -> str:
 
 def _og() -> Column:
     """Open Graph properties by lower-cased key; the last of equal keys counts."""
-    hits = _of("meta", f"lower({attribute_sql('e.t', 'property')}) LIKE 'og:%'")
+    hits = _of("meta", f"lower({attribute_sql('e.t', 'property', False)}) LIKE 'og:%'")
     entries = F.expr(
         f"filter(transform({hits}, (e, i) -> named_struct("
-        f"'key', lower({attribute_sql('e.t', 'property')}), 'pos', -i, "
+        f"'key', lower({attribute_sql('e.t', 'property', False)}), 'pos', -i, "
         f"'raw', {attribute_sql('e.t', 'content')})), x -> x.raw <> '')")
     last = first_per_key(entries, "key")
     return F.map_from_entries(F.transform(last, lambda x: F.struct(
