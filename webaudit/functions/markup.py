@@ -40,12 +40,13 @@ def has_attribute_sql(tag: str, name: str) -> str:
 def attribute_sql(tag: str, name: str, decode: bool = True) -> str:
     """Value of an attribute; '' when it has none, NULL when it is absent."""
     pattern = _before(name) + rf"\s*=\s*({_VALUE})"
-    value = let_sql(
-        "av", f"regexp_extract({tag}, {text(pattern)}, 1)",
-        "CASE WHEN left(av, 1) IN ('\"', \"'\") THEN substr(av, 2, length(av) - 2) ELSE av END")
+    bare = "CASE WHEN left(av, 1) IN ('\"', \"'\") THEN substr(av, 2, length(av) - 2) ELSE av END"
     if decode:
-        value = let_sql("dv", value, unescape_sql("dv", attribute=True))
-    return f"CASE WHEN {has_attribute_sql(tag, name)} THEN {value} END"
+        bare = f"CASE WHEN contains(av, '&') THEN {let_sql('dv', bare, unescape_sql('dv', True))} " \
+               f"ELSE {bare} END"
+    return let_sql(
+        "av", f"regexp_extract({tag}, {text(pattern)}, 1)",
+        f"CASE WHEN av <> '' THEN {bare} WHEN {has_attribute_sql(tag, name)} THEN '' END")
 
 
 def _entity_table() -> str:

@@ -44,8 +44,10 @@ _NUMERIC_TAIL = r"(^|\.)(\d+|0x[0-9a-f]*)\.?$"
 # A URL that is already in normal form: no port, query, fragment, escape or dot segment.
 _NORMAL = (
     r"^https?://[a-z0-9\-]+(?:\.[a-z0-9\-]+)*\.[a-z][a-z0-9\-]*"
-    r"(?:/(?:[A-Za-z0-9_~\-][A-Za-z0-9_.~\-]*)?)+$"
+    r"(?:/(?:[A-Za-z0-9_~\-][A-Za-z0-9_.~\-]*+)?)++$"
 )
+# A root-relative reference that needs neither escaping nor dot-segment removal.
+_ROOTED = r"^(?:/[A-Za-z0-9_~,\-][A-Za-z0-9_.~,\-]*+)++/?$"
 
 
 def _percent_encode(value: str, keep: str) -> str:
@@ -240,8 +242,18 @@ def dedupe_key(value: Column | str) -> Column:
     return url_parts(value)["key"]
 
 
-def absolutize_sql(value: str, base: str) -> str:
-    """SQL text of :func:`absolutize`; ``base`` is an absolute URL."""
+def origin_sql(base: str) -> str:
+    """SQL text: ``scheme://host[:port]`` of an absolute URL, NULL if it has none."""
+    parts = (f"concat(lower(p[0]), '://', {_USER}, {_host_sql('lower(p[2])')}, "
+             f"{_port_sql('lower(p[0])', 'p[3]')})")
+    return let_sql("p", _pieces_sql(base), f"CASE WHEN size(p) = 7 THEN {parts} END")
+
+
+def absolutize_sql(value: str, base: str, origin: str | None = None) -> str:
+    """SQL text of :func:`absolutize`; ``base`` is an absolute URL.
+
+    With the page's ``origin`` at hand, a plain root-relative path is one concatenation.
+    """
     whole = (
         f"CASE WHEN size(p) = 7 THEN concat(lower(p[0]), '://', {_USER}, "
         f"{_host_sql('lower(p[2])')}, {_port_sql('lower(p[0])', 'p[3]')}, {_path_sql('p[4]')}, "
@@ -249,10 +261,12 @@ def absolutize_sql(value: str, base: str) -> str:
         f"{_encode_if('p[6]', _FRAGMENT_UNSAFE, _FRAGMENT_KEEP)}) END"
     )
     resolved = let_sql("p", _pieces_sql(_reference_sql("v", base)), whole)
+    rooted = (f"WHEN {origin} IS NOT NULL AND v rlike {text(_ROOTED)} THEN concat({origin}, v) "
+              if origin else "")
     return let_sql(
         "v", _trim_sql(value),
         f"CASE WHEN v IS NULL OR v = '' THEN '' "
-        f"WHEN v rlike {text(_NORMAL)} THEN v ELSE coalesce({resolved}, {value}) END",
+        f"{rooted}WHEN v rlike {text(_NORMAL)} THEN v ELSE coalesce({resolved}, {value}) END",
     )
 
 

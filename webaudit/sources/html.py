@@ -18,7 +18,7 @@ from ..functions.markup import (
     ANCHOR, ATTRIBUTES, HEADING, RAW_TEXT, TAG, attribute_sql, has_attribute_sql,
     text_content_sql, trim_sql, unescape_sql,
 )
-from ..functions.urls import absolutize_sql
+from ..functions.urls import absolutize_sql, origin_sql
 from ..schemas import DOM
 
 # Element, attribute and label of each resource surface, in report order.
@@ -53,7 +53,7 @@ def _resource(element: str, attribute: str, where: str) -> str:
     if attribute == "srcset":
         values = (f"flatten(transform({values}, r -> filter(transform(split(r, ','), "
                   f"c -> regexp_extract(c, {text(r'^\s*(\S*)')}, 1)), c -> c <> '')))")
-    return (f"transform({values}, r -> named_struct('url', {absolutize_sql('r', '_base')}, "
+    return (f"transform({values}, r -> named_struct('url', {absolutize_sql('r', '_base', '_origin')}, "
             f"'where', '{where}'))")
 
 
@@ -75,7 +75,7 @@ def _surface_sql(name: str) -> str:
     if name == "canonical":
         hit = f"get({_of('link', _relation('canonical'))}, 0).t"
         return let_sql("c", hit, f"CASE WHEN c IS NOT NULL THEN "
-                                 f"{absolutize_sql(attribute_sql('c', 'href'), '_base')} END")
+                                 f"{absolutize_sql(attribute_sql('c', 'href'), '_base', '_origin')} END")
     if name == "htmlLang":
         return attribute_sql(f"get({_of('html')}, 0).t", "lang", False)
     if name == "h1s":
@@ -85,18 +85,18 @@ def _surface_sql(name: str) -> str:
         hits = _of("link", f"{_relation('alternate')} AND {has_attribute_sql('e.t', 'hreflang')}")
         return (f"transform({hits}, e -> named_struct("
                 f"'hreflang', {attribute_sql('e.t', 'hreflang', False)}, "
-                f"'href', {absolutize_sql(attribute_sql('e.t', 'href'), '_base')}))")
+                f"'href', {absolutize_sql(attribute_sql('e.t', 'href'), '_base', '_origin')}))")
     if name == "links":
-        anchors = (f"filter(regexp_extract_all(_clean, {text(ANCHOR)}, 0), "
-                   f"a -> {has_attribute_sql('a', 'href')})")
-        inner = f"regexp_replace(a, {text('(?is)^<a' + ATTRIBUTES + '>')}, '')"
-        return (f"transform({anchors}, a -> named_struct("
-                f"'href', {absolutize_sql(attribute_sql('a', 'href'), '_base')}, "
+        anchors = (f"filter(transform(regexp_extract_all(_clean, {text(ANCHOR)}, 0), a -> "
+                   f"named_struct('a', a, 'h', {attribute_sql('a', 'href')})), x -> x.h IS NOT NULL)")
+        inner = f"regexp_replace(x.a, {text('(?is)^<a' + ATTRIBUTES + '>')}, '')"
+        return (f"transform({anchors}, x -> named_struct("
+                f"'href', {absolutize_sql('x.h', '_base', '_origin')}, "
                 f"'text', left({text_content_sql(inner)}, {LINK_TEXT_CAP}), "
-                f"'rel', {attribute_sql('a', 'rel', False)}))")
+                f"'rel', {attribute_sql('x.a', 'rel', False)}))")
     if name == "images":
         return (f"transform({_of('img')}, e -> named_struct("
-                f"'src', {absolutize_sql(attribute_sql('e.t', 'src'), '_base')}, "
+                f"'src', {absolutize_sql(attribute_sql('e.t', 'src'), '_base', '_origin')}, "
                 f"'alt', {attribute_sql('e.t', 'alt')}, 'naturalWidth', CAST(NULL AS INT)))")
     if name == "resources":
         return "concat(" + ", ".join(_resource(*r) for r in RESOURCES) + ")"
@@ -139,6 +139,7 @@ def extract_dom(
         .withColumn("_clean", F.regexp_replace(F.col(html), RAW_TEXT, "$1"))
         .withColumn("_tags", F.expr(tags))
         .withColumn("_base", F.expr(base))
+        .withColumn("_origin", F.expr(origin_sql("_base")))
     )
     built = []
     for name in SURFACES:
@@ -149,6 +150,6 @@ def extract_dom(
         built.append(value.alias(name))
     built.append(F.lit(None).cast("boolean").alias("consentBannerVisible"))
     return scanned.withColumn("dom", F.struct(*built).cast(DOM)).drop(
-        "_raw", "_clean", "_tags", "_base")
+        "_raw", "_clean", "_tags", "_base", "_origin")
 
 
