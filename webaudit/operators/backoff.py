@@ -16,12 +16,14 @@ from ..config import AuditConfig
 SLICE = "hour"
 
 
-def strike_backoff(log: DataFrame, cfg: AuditConfig, slice_unit: str = SLICE) -> DataFrame:
+def strike_backoff(log: DataFrame, cfg: AuditConfig, slice_unit: str = SLICE,
+                   state: DataFrame | None = None) -> DataFrame:
     """Per 429: ``host, ts, event_id, strike, wait_ms, cooldown_until_ms``.
 
     Strikes count up while refusals keep coming within ``forgetMs``; the wait doubles per
     strike, honours Retry-After, and is capped; a cooldown is never shortened.
-    ``log`` has ``host, ts, event_id, status, retry_after_ms``.
+    ``log`` has ``host, ts, event_id, status, retry_after_ms``; ``state`` (one row per host,
+    from :func:`strike_state`) continues an earlier log.
     """
     hits = (log.where("status = 429")
             .select("host", "ts", "event_id", "retry_after_ms",
@@ -41,12 +43,18 @@ def strike_backoff(log: DataFrame, cfg: AuditConfig, slice_unit: str = SLICE) ->
         F.min("_us").alias("first_us"), F.max("_us").alias("last_us"),
         F.max("_epoch").alias("resets"),
         F.max_by("_n", F.struct("_us", "event_id")).alias("tail"))
-    by_host = W.partitionBy("host").orderBy("_slice")
+    if state is not None:
+        # What came before acts as one more slice, ahead of all others.
+        slices = slices.unionByName(state.select(
+            "host", F.lit(None).cast("timestamp").alias("_slice"),
+            F.col("last_us").alias("first_us"), "last_us", F.lit(1).cast("bigint").alias("resets"),
+            F.col("strike").cast("int").alias("tail")))
+    by_host = W.partitionBy("host").orderBy(F.asc_nulls_first("_slice"))
     joins = F.coalesce(F.col("first_us") - F.lag("last_us").over(by_host) < forget, F.lit(False))
     # A chain of strikes goes on through slices that join on and hold no reset.
     chained = slices.withColumn("_joins", joins)
     # Strikes carried into a slice = tails of the slices before it back to the chain's start.
-    running = W.partitionBy("host").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    running = by_host.rowsBetween(W.unboundedPreceding, -1)
     total = F.coalesce(F.sum("tail").over(running), F.lit(0))
     start = chained.withColumn("_before", total).withColumn(
         "_chain_base", F.when(~F.col("_joins") | (F.col("resets") > 0), F.col("_before")))
@@ -65,12 +73,31 @@ def strike_backoff(log: DataFrame, cfg: AuditConfig, slice_unit: str = SLICE) ->
         "_until", F.floor(F.col("_us") / 1000) + F.col("wait_ms"))
     # A wait is at most maxRateLimitBackoffMs, so only the maximum so far matters.
     best = timed.groupBy("host", "_slice").agg(F.max("_until").alias("_best"))
+    if state is not None:
+        best = best.unionByName(state.select(
+            "host", F.lit(None).cast("timestamp").alias("_slice"), F.col("until_ms").alias("_best")))
     before = best.withColumn("_carried_until", F.max("_best").over(running)).drop("_best")
     done = timed.join(before, ["host", "_slice"]).withColumn(
         "cooldown_until_ms", F.greatest(F.max("_until").over(in_slice), F.col("_carried_until")))
     return done.select("host", "ts", "event_id", "strike", "wait_ms", "cooldown_until_ms")
 
 
+def strike_state(strikes: DataFrame, state: DataFrame | None, cfg: AuditConfig) -> DataFrame:
+    """Per host what the next batch needs: ``host, strike, last_us, until_ms``.
+
+    A host quiet for ``forgetMs`` before the newest refusal is forgotten; by then neither its
+    strikes nor its cooldown could matter.
+    """
+    now = strikes.groupBy("host").agg(
+        F.max_by("strike", F.struct("ts", "event_id")).cast("bigint").alias("strike"),
+        F.unix_micros(F.max("ts").cast("timestamp")).alias("last_us"),
+        F.max("cooldown_until_ms").cast("bigint").alias("until_ms"))
+    if state is not None:
+        now = now.unionByName(state.join(now, "host", "left_anti"))
+    newest = now.agg(F.max("last_us")).scalar()
+    return now.where(newest - F.col("last_us") < F.lit(cfg.forgetMs * 1000))
+
+
 def peak_in_flight(log: DataFrame, slice_unit: str = SLICE) -> DataFrame:
     """``host, peak``: the most requests open at once. ``log`` has ``host, start_ts, end_ts``.
 

@@ -58,54 +58,70 @@ def scope_reason(cfg: AuditConfig, robots_ok: Column) -> Column:
     )
 
 
-def judge_offers(offers: DataFrame, cfg: AuditConfig, robots: DataFrame | None = None,
-                 seen: DataFrame | None = None, taken: DataFrame | None = None) -> DataFrame:
-    """Add ``url, key, reason`` to offers ``site, seq, raw, depth, base, source``.
+def parse_offers(offers: DataFrame, cfg: AuditConfig, robots: DataFrame | None = None
+                 ) -> DataFrame:
+    """Add ``url, key, scope`` to rows with ``site, raw, base``: what needs no other offer.
 
-    ``seen`` (``site, key``) holds identities already settled and ``taken`` (``site, taken``)
-    the pages already accepted, when the offers continue an earlier batch.
+    ``robots`` has one row per site (``robots_by_site``).
     """
     parsed = offers.withColumn("_u", url_parts("raw", F.coalesce("base", F.lit(""))))
     robots_ok = F.lit(True)
     if robots is not None and cfg.respectRobots:
-        parsed = salted_join(parsed, robots_by_site(robots), ["site"], ["raw"], "left")
+        parsed = salted_join(parsed, robots, ["site"], ["raw"], "left")
         target = F.concat(F.col("_u.path"), F.when(F.col("_u.query") == "", F.lit("")).otherwise(
             F.concat(F.lit("?"), F.col("_u.query"))))
         robots_ok = allowed_by(F.col("disallow"), F.col("allow"), target)
-    judged = parsed.select(
-        *offers.columns, F.col("_u.url").alias("url"), F.col("_u.key").alias("key"),
-        scope_reason(cfg, robots_ok).alias("_scope"),
-        (F.col("depth") <= cfg.maxDepth).alias("_eligible"))
+    return parsed.select(*offers.columns, F.col("_u.url").alias("url"),
+                         F.col("_u.key").alias("key"),
+                         scope_reason(cfg, robots_ok).alias("scope"))
 
-    valid = judged.where("key IS NOT NULL")
-    if seen is not None:
-        settled = seen.select("site", "key", F.lit(True).alias("_seen"))
-        valid = salted_join(valid, settled, ["site", "key"], ["seq"], "left")
-        judged = valid.unionByName(judged.where("key IS NULL").withColumn("_seen", F.lit(None).cast("boolean")))
-    else:
-        judged = judged.withColumn("_seen", F.lit(None).cast("boolean"))
-        valid = valid.withColumn("_seen", F.lit(None).cast("boolean"))
 
-    per_key = valid.where("_eligible AND _seen IS NULL").groupBy("site", "key").agg(
-        F.min(F.when(F.col("_scope").isNull(), F.col("seq"))).alias("_in"),
-        F.min(F.when(F.col("_scope").isNotNull(), F.col("seq"))).alias("_out"))
-    candidates = per_key.where("_in IS NOT NULL AND (_out IS NULL OR _in < _out)")
+def settle_offers(offers: DataFrame, cfg: AuditConfig, seen: DataFrame | None = None,
+                  taken: DataFrame | None = None) -> DataFrame:
+    """Add ``reason`` (NULL = accepted) to parsed offers, by their place in the order.
+
+    ``seen`` (``site, key``) holds identities already settled and ``taken`` (``site, taken``)
+    the pages already accepted, when the offers continue an earlier batch.
+    """
+    judged = offers.withColumn("_eligible", F.col("depth") <= cfg.maxDepth)
+    counted = judged.where("key IS NOT NULL AND _eligible").select(
+        "site", "key", "seq", "scope", F.lit(False).alias("_settled"))
+    if seen is not None:
+        blank = [F.lit(None).cast(offers.schema[c].dataType).alias(c) for c in ("seq", "scope")]
+        counted = counted.unionByName(seen.select(
+            "site", "key", *blank, F.lit(True).alias("_settled")))
+    per_key = counted.groupBy("site", "key").agg(
+        F.min(F.when(F.col("scope").isNull(), F.col("seq"))).alias("_in"),
+        F.min(F.when(F.col("scope").isNotNull(), F.col("seq"))).alias("_out"),
+        F.max("_settled").alias("_seen"))
+    candidates = per_key.where(
+        "NOT _seen AND _in IS NOT NULL AND (_out IS NULL OR _in < _out)")
     ranked = top_k(candidates, ["site"], [F.col("_in")], cfg.maxPages, ["key"], rank="_rank")
     if taken is not None:
         ranked = ranked.join(taken, "site", "left").where(
             F.col("_rank") + F.coalesce("taken", F.lit(0)) <= cfg.maxPages)
     accepted = ranked.select("site", "key", F.lit(True).alias("_accepted"))
     marks = per_key.join(accepted, ["site", "key"], "left").select(
-        "site", "key", "_accepted",
+        "site", "key", "_seen",
         F.when(F.col("_accepted"), F.col("_in")).otherwise(F.col("_out")).alias("_mark"))
     joined = salted_join(judged, marks, ["site", "key"], ["seq"], "left")
     reason = (
         F.when(F.col("key").isNull(), "invalid")
         .when(F.col("_seen") | (F.col("seq") > F.col("_mark")), "duplicate")
         .when(~F.col("_eligible"), "too-deep")
-        .when(F.col("seq") == F.col("_mark"), F.col("_scope"))
+        .when(F.col("seq") == F.col("_mark"), F.col("scope"))
         .otherwise("max-pages"))
-    return joined.select(*offers.columns, "url", "key", reason.alias(VERDICT))
+    return joined.select(*[c for c in offers.columns if c != "scope"], reason.alias(VERDICT))
+
+
+def judge_offers(offers: DataFrame, cfg: AuditConfig, robots: DataFrame | None = None
+                 ) -> DataFrame:
+    """``url, key, reason`` for offers ``site, seq, raw, depth, base, source``.
+
+    ``robots`` is a rule table from ``parse_robots``.
+    """
+    compiled = robots_by_site(robots) if robots is not None and cfg.respectRobots else None
+    return settle_offers(parse_offers(offers, cfg, compiled), cfg)
 
 
 def skip_counts(verdicts: DataFrame) -> DataFrame:
@@ -136,29 +152,34 @@ def crawl_frontier(seeds: DataFrame, edges: DataFrame, cfg: AuditConfig,
     out with their least depth and the page that led to them. Each level is written to
     reliable storage, so lineage stays short and a lost executor costs one level at most.
     """
-    graph = cut_lineage(edges.select(
-        "site", dedupe_key("src_url").alias("src_key"), "src_url", "dst_url",
-        F.col("seq").alias("edge_seq")))
-    offers, seen, taken = seeds, None, None
+    compiled = None
+    if robots is not None and cfg.respectRobots:
+        compiled = cut_lineage(robots_by_site(robots), "robots")
+    # Each link is parsed and scoped once, before the loop that only orders and counts.
+    graph = cut_lineage(parse_offers(edges.select(
+        "site", dedupe_key("src_url").alias("src_key"), F.col("src_url").alias("base"),
+        F.col("dst_url").alias("raw"), "seq"), cfg, compiled), "graph")
+    offers, seen, taken = parse_offers(seeds, cfg, compiled), None, None
     pages, skipped = [], []
     for _ in range(cfg.maxDepth + 2):
-        level = cut_lineage(judge_offers(offers, cfg, robots, seen, taken))
+        level = cut_lineage(settle_offers(offers, cfg, seen, taken), "level")
         accepted = level.where(F.col(VERDICT).isNull())
         pages.append(accepted.select("site", "url", "key", "depth", "source"))
         skipped.append(skip_counts(level))
-        settled = level.where("key IS NOT NULL AND (reason IS NULL OR reason NOT IN "
-                              "('duplicate', 'too-deep', 'max-pages'))").select("site", "key").distinct()
+        settled = level.where(
+            "key IS NOT NULL AND (reason IS NULL OR reason NOT IN "
+            "('duplicate', 'too-deep', 'max-pages'))").select("site", "key").distinct()
         seen = settled if seen is None else seen.unionByName(settled)
         if accepted.isEmpty():
             break
-        counts = _union(pages).groupBy("site").agg(F.count("*").alias("taken"))
-        taken = counts
+        taken = _union(pages).groupBy("site").agg(F.count("*").alias("taken"))
+        # A page settles once, so each side of this join names a source page once or the
+        # links of one page; the links spread over the salts.
         offers = salted_join(
             graph, accepted.select("site", F.col("key").alias("src_key"), "depth"),
-            ["site", "src_key"], ["dst_url"],
-        ).select("site", F.col("edge_seq").alias("seq"), F.col("dst_url").alias("raw"),
-                 (F.col("depth") + 1).alias("depth"), F.col("src_url").alias("base"),
-                 F.col("src_url").alias("source"))
+            ["site", "src_key"], ["raw"],
+        ).select("site", "seq", "raw", (F.col("depth") + 1).alias("depth"), "base",
+                 F.col("base").alias("source"), "url", "key", "scope")
     skips = _union(skipped).groupBy("site", VERDICT).agg(F.sum("n").alias("n"))
     return _union(pages), skips
 

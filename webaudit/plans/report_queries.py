@@ -69,8 +69,7 @@ def run_totals(spark, sf_dir):
     pages = D.pages(spark, sf_dir)
     issues = check_seo(D.captures(spark, sf_dir), CONFIG).agg(F.count("*").alias("issues"))
     totals = pages.agg(F.count("*").alias("pages"), F.countDistinct(normalize_url("url")).alias("links"))
-    # Both sides are single rows of a global aggregate.
-    return totals.withColumn("k", F.lit(1)).join(issues.withColumn("k", F.lit(1)), "k").drop("k")
+    return totals.withColumn("issues", issues.scalar())
 
 
 _TOP = ("site", "rule", "page_id", "part", "rank", "more")

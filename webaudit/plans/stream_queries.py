@@ -166,8 +166,10 @@ w AS (SELECT *, CAST(least(greatest(10000 * power(2, strike - 1), coalesce(retry
 SELECT host, event_id, CAST(strike AS BIGINT) AS strike, wait_ms, CAST(max(us // 1000 + wait_ms) OVER (PARTITION BY host ORDER BY us, event_id) AS BIGINT) AS cooldown_until_ms FROM w""")
 def stream_backoff(spark, sf_dir):
     cfg = CONFIG.with_(forgetMs=86_400_000)
-    return _with_rocksdb(spark, lambda: S.run_available(
-        S.strike_stream(_log(spark, sf_dir), cfg, MONTH), "backoff"))
+    out, state, mark = (scratch_path(spark, n) for n in ("strikes", "strike-state", "strike-mark"))
+    S.strike_batches(_log(spark, sf_dir), cfg, out, state, mark, "day").awaitTermination()
+    return spark.read.parquet(out).select(
+        "host", "event_id", F.col("strike").cast("bigint").alias("strike"), "wait_ms", "cooldown_until_ms")
 
 
 @query("stream_retry", """

@@ -2,12 +2,12 @@
 
 from .jobs import (
     CAPTURE_DELAY, crawl_sessions, final_captures, heartbeat, new_probe_urls, page_findings,
-    per_batch, probe_findings, strike_stream,
+    per_batch, probe_findings, strike_batches,
 )
 from .runner import read_stream, run_available
 
 __all__ = [
     "CAPTURE_DELAY", "crawl_sessions", "final_captures", "heartbeat", "new_probe_urls",
     "page_findings", "per_batch", "probe_findings", "read_stream", "run_available",
-    "strike_stream",
+    "strike_batches",
 ]

@@ -16,6 +16,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..config import AuditConfig
 from ..functions.urls import matches_ignore_pattern, normalize_url
+from ..operators.backoff import strike_backoff, strike_state
 from ..operators.checks import check_links
 from ..plans.audit import run_page_checks
 
@@ -73,66 +74,35 @@ def crawl_sessions(log: DataFrame, gap: str = "5 minutes", delay: str = CAPTURE_
         "host", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "requests")
 
 
-class _Strikes(StatefulProcessor):
-    """Per host: consecutive refusals, forgotten after a quiet time."""
+def strike_batches(log: DataFrame, cfg: AuditConfig, output: str, state: str, checkpoint: str,
+                   slice_unit: str = "hour"):
+    """Back-off per host, batch by batch, with the strikes carried in a small table.
 
-    def __init__(self, base_ms: int, max_ms: int, forget_ms: int) -> None:
-        self.base_ms, self.max_ms, self.forget_ms = base_ms, max_ms, forget_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        fields = [StructField(n, LongType()) for n in ("strike", "last_us", "until_ms")]
-        self.state = handle.getValueState("strikes", StructType(fields))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        strike, last_us, until_ms = self.state.get() if self.state.exists() else (0, None, 0)
-        # Late rows of a batch may arrive in any order across its chunks.
-        hits = pd.concat(list(rows), ignore_index=True).sort_values(["us", "event_id"])
-        out = []
-        for row in hits.itertuples(index=False):
-            fresh = last_us is None or row.us - last_us >= self.forget_ms * 1000
-            strike = 1 if fresh else strike + 1
-            asked = 0 if pd.isna(row.retry_after_ms) else int(row.retry_after_ms)
-            wait = min(max(self.base_ms * 2 ** min(strike - 1, 60), asked), self.max_ms)
-            until_ms = max(until_ms, row.us // 1000 + wait)
-            last_us = int(row.us)
-            out.append((key[0], int(row.event_id), strike, wait, until_ms))
-        self.state.update((strike, last_us, until_ms))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last_us // 1000 + self.forget_ms)
-        yield pd.DataFrame(out, columns=["host", "event_id", "strike", "wait_ms", "cooldown_until_ms"])
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
-        self.state.clear()
-        yield from ()
-
-    def close(self) -> None:
-        pass
-
-
-STRIKE_SCHEMA = StructType([
-    StructField("host", StringType()), StructField("event_id", LongType()),
-    StructField("strike", LongType()), StructField("wait_ms", LongType()),
-    StructField("cooldown_until_ms", LongType())])
-
-
-def strike_stream(log: DataFrame, cfg: AuditConfig, delay: str = CAPTURE_DELAY) -> DataFrame:
-    """Back-off state per host; only refusals are shuffled.
-
-    Needs the RocksDB state store (``session.ROCKSDB_PROVIDER``). State of a host that stays
-    quiet for ``forgetMs`` is dropped by a timer.
+    Each batch runs the sliced batch scan, so a host with most of the refusals is still cut
+    into slices; a keyed state store would hand all its rows to one task. Results and state
+    are stored per batch id, so a replayed batch overwrites itself.
     """
-    hits = log.where("status = 429").withWatermark("ts", delay).select(
-        "host", "ts", "event_id", F.col("retry_after_ms").cast("bigint").alias("retry_after_ms"),
-        F.unix_micros("ts").alias("us"))
-    processor = _Strikes(cfg.rateLimitBackoffMs, cfg.maxRateLimitBackoffMs, cfg.forgetMs)
-    return hits.groupBy("host").transformWithStateInPandas(
-        processor, outputStructType=STRIKE_SCHEMA, outputMode="Append", timeMode="EventTime")
+    spark = log.sparkSession
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        before = None
+        if batch_id > 0:
+            before = spark.read.parquet(f"{state}/batch={batch_id - 1}")
+        target = f"{output}/batch={batch_id}"
+        strike_backoff(batch, cfg, slice_unit, before).write.mode("overwrite").parquet(target)
+        done = spark.read.parquet(target)
+        strike_state(done, before, cfg).write.mode("overwrite").parquet(f"{state}/batch={batch_id}")
+
+    hits = log.where("status = 429")
+    return (hits.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint)
+            .trigger(availableNow=True).start())
 
 
 class _Retries(StatefulProcessor):
-    """Per URL: hold a rate-limited fetch back until a better one, or the last retry."""
+    """Per URL: hold a rate-limited fetch back until a better one, or the last retry.
+
+    A URL is fetched a handful of times, so its group is small; rows are taken chunk by chunk.
+    """
 
     def __init__(self, retries: int) -> None:
         self.retries = retries
