@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -55,3 +55,16 @@ def first_per_key(entries: Column, key: str) -> Column:
 def compact(items: Column) -> Column:
     """Drop NULL elements."""
     return F.filter(items, lambda x: x.isNotNull())
+
+
+def explode_rows(df: DataFrame, array: Column | str, item: str, *keep: str | Column,
+                 pos: str | None = None) -> DataFrame:
+    """One row per element of an array column.
+
+    An inner ``explode`` makes Spark test the array's size first, in a filter it pushes below
+    the projection that builds the array, so the array would be computed twice. The outer
+    form with a test of the element afterwards computes it once.
+    """
+    made = F.posexplode_outer(array).alias(pos or "_pos", item)
+    out = df.select(*keep, made).where(F.col(item).isNotNull())
+    return out if pos else out.drop("_pos")

@@ -12,9 +12,9 @@ ATTRIBUTES = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
 
 # Elements whose content is not part of the document's markup, and comments.
 RAW_TEXT = (
-    r"(?is)<!--.*?(?:-->|\z)"
+    r"(?is)(?=<)(?:<!--.*?(?:-->|\z)"
     r"|(<(script|style|title|textarea|noscript|template|iframe|xmp|noembed|noframes)(?=[\s/>])"
-    + ATTRIBUTES + r">).*?(?:</\2\s*>|\z)"
+    + ATTRIBUTES + r">).*?(?:</\2\s*>|\z))"
 )
 TAG = (
     r"(?is)<(?:html|base|meta|link|a|img|iframe|source|video|form|script)(?=[\s/>])"

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AuditConfig
+from ..functions.lets import explode_rows
 from ..functions.texts import is_blank, truncate
 from ..functions.urls import dedupe_key, normalize_url
 from .checks.common import issue
@@ -76,9 +77,8 @@ def duplicate_issues(captures: DataFrame, inline: int = INLINE) -> DataFrame:
 
 def hreflang_edges(captures: DataFrame) -> DataFrame:
     """``site, seq, url, self_key, hreflang, alt_key`` of pages that answered 2xx."""
-    pages = ok_pages(captures).select(
-        "site", "seq", "url", dedupe_key("finalUrl").alias("self_key"),
-        F.explode("dom.hreflang").alias("a")).where("self_key IS NOT NULL")
+    pages = explode_rows(ok_pages(captures), "dom.hreflang", "a", "site", "seq", "url",
+                         dedupe_key("finalUrl").alias("self_key")).where("self_key IS NOT NULL")
     return pages.select("site", "seq", "url", "self_key", F.col("a.hreflang").alias("hreflang"),
                         dedupe_key("a.href").alias("alt_key")).where("alt_key IS NOT NULL")
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..config import AuditConfig
+from ..functions.lets import explode_rows
 from ..functions.urls import (
     dedupe_key, locale_of_path, matches_ignore_pattern, path_in_prefixes, strip_www, url_parts,
 )
@@ -131,11 +132,10 @@ def skip_counts(verdicts: DataFrame) -> DataFrame:
 
 def link_edges(captures: DataFrame) -> DataFrame:
     """The link graph: ``site, src_url, dst_url, seq`` (page order, then place on the page)."""
-    return captures.select(
-        "site", F.col("finalUrl").alias("src_url"), "seq",
-        F.posexplode("dom.links").alias("pos", "l")).select(
-        "site", "src_url", F.col("l.href").alias("dst_url"),
-        F.struct("seq", "pos").alias("seq"))
+    links = explode_rows(captures, "dom.links", "l", "site", F.col("finalUrl").alias("src_url"),
+                         "seq", pos="pos")
+    return links.select("site", "src_url", F.col("l.href").alias("dst_url"),
+                        F.struct("seq", "pos").alias("seq"))
 
 
 def found_on(edges: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.urls import site_of
 from ..schemas import AXE, CAPTURE_FIELDS, DOM
+from ..session import spread
 from ..sources.html import extract_dom
 
 
@@ -20,7 +21,8 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dom_pages(spark: SparkSession, sf_dir: str, *surfaces: str) -> DataFrame:
     """Pages with the named surfaces of their real HTML."""
-    return extract_dom(pages(spark, sf_dir), surfaces=surfaces)
+    raw = spread(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("site", site_of("url"))
+    return extract_dom(raw, surfaces=surfaces)
 
 
 def html_captures(spark: SparkSession, sf_dir: str, *surfaces: str) -> DataFrame:

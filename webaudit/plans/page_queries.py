@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import texts as T
 from ..functions import urls as U
+from ..functions.lets import explode_rows
 from ..operators.checks import check_links
 from ..operators.classify import classify_issues
 from ..operators.crosspage import duplicate_groups, duplicate_members
@@ -69,8 +70,8 @@ def dom_lang(spark, sf_dir):
 
 @query("dom_links", f"WITH {LINKS} SELECT page_id, pos, link_url AS href, label AS text FROM links")
 def dom_links(spark, sf_dir):
-    return D.dom_pages(spark, sf_dir, "links").select(
-        "page_id", F.posexplode("dom.links").alias("pos", "l")).select(
+    links = explode_rows(D.dom_pages(spark, sf_dir, "links"), "dom.links", "l", "page_id", pos="pos")
+    return links.select(
         "page_id", F.col("pos").cast("bigint").alias("pos"), "l.href", "l.text")
 
 
@@ -79,8 +80,8 @@ SELECT page_id, trim(regexp_extract(html, '<script>(.*?)</script>', 1)) AS scrip
  CAST(len(regexp_extract_all(regexp_extract(html, '<script>(.*?)</script>', 1), 'https?://')) AS BIGINT) AS n_urls
 FROM pages""")
 def inline_scripts(spark, sf_dir):
-    return D.dom_pages(spark, sf_dir, "inlineScripts").select(
-        "page_id", F.explode("dom.inlineScripts").alias("script")).withColumn(
+    pages = D.dom_pages(spark, sf_dir, "inlineScripts")
+    return explode_rows(pages, "dom.inlineScripts", "script", "page_id").withColumn(
         "n_urls", F.size(T.extract_urls(F.col("script"))).cast("bigint"))
 
 

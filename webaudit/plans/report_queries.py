@@ -13,6 +13,7 @@ from ..operators.classify import classify_issues
 from ..rules import rule_meta_df
 from ..schemas import ISSUE_FIELDS
 from ..session import scratch_path
+from ..sources.captures import read_captures, read_report
 from ..sources.textfiles import parse_robots
 from . import derived as D
 from .check_queries import BASE, SEO
@@ -200,14 +201,25 @@ def report_reread(spark, sf_dir):
     item = {"check": F.lit("seo"), "severity": F.when(F.col("page_id") % 2 == 0, "error").otherwise("info"),
             "rule": F.lit("x"), "pageUrl": F.col("url")}
     issue = F.struct(*[item.get(n, F.lit(None).cast("string")).alias(n) for n in ISSUE_FIELDS])
-    doc = pages.select(F.col("site").alias("run"), F.lit("2024-01-01T00:00:00Z").alias("startedAt"),
-                       F.array(issue).alias("issues"))
-    doc.write.partitionBy("run").json(out)
-    spark.createDataFrame([('{"startedAt": "2024", "issues": [',)], "value string").write.text(f"{out}/run=broken")
-    runs = spark.read.schema("run string, startedAt string, issues array<struct<severity:string>>").option(
-        "mode", "DROPMALFORMED").json(out)
-    return runs.where("startedAt IS NOT NULL AND issues IS NOT NULL").select("run", F.explode("issues").alias("i")).groupBy("run").agg(
-        F.count("*").alias("issues"), F.count_if(F.col("i.severity") == "error").alias("errors"))
+    pages.select(F.col("site").alias("folder"), F.lit("2024-01-01T00:00:00Z").alias("startedAt"),
+                 F.array(issue).alias("issues")).withColumnRenamed("folder", "run").write.partitionBy(
+        "run").json(out)
+    pages.select(F.lit('{"startedAt": "2024", "issues": [').alias("value")).write.text(f"{out}/broken")
+    return read_report(spark, out, multi_line=False).select("run", F.explode("issues").alias("i")) \
+        .groupBy("run").agg(F.count("*").alias("issues"),
+                            F.count_if(F.col("i.severity") == "error").alias("errors"))
+
+
+@query("captures_scan", f"""WITH {CAPTURES}
+SELECT site, count(*) AS pages, CAST(count_if(has_dom) AS BIGINT) AS read_ok, CAST(count_if(page_id % 5 < 3) AS BIGINT) AS with_console
+FROM cap GROUP BY 1""")
+def captures_scan(spark, sf_dir):
+    """Captures written once and scanned with the contract's schema; unread columns are pruned."""
+    out = scratch_path(spark, "captures")
+    D.captures(spark, sf_dir).write.parquet(out)
+    return read_captures(spark, out).groupBy("site").agg(
+        F.count("*").alias("pages"), F.count("dom").alias("read_ok"),
+        F.count("console").alias("with_console"))
 
 
 # --- frontier -------------------------------------------------------------------------------

@@ -25,15 +25,20 @@ REPORT = (
 )
 
 
-def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """Runs stored as JSON, one file per run; a corrupt or half-written run is not a run."""
-    raw = (spark.read.schema(REPORT + ", _corrupt string").option("multiLine", "true")
-           .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
-           .option("recursiveFileLookup", "true").option("pathGlobFilter", "report.json")
-           .option("ignoreCorruptFiles", "true").json(path))
-    name = F.element_at(F.split(F.input_file_name(), "/"), -2)
-    return (raw.withColumn("run", F.coalesce(F.col("run"), name))
-            .where(F.col("_corrupt").isNull() & F.col("startedAt").isNotNull()).drop("_corrupt"))
+def read_report(spark: SparkSession, path: str, multi_line: bool = True) -> DataFrame:
+    """Runs stored as JSON under ``<path>/<run>/``; a corrupt or half-written run is no run.
+
+    By default each file is one document; ``multi_line=False`` reads JSON lines, which Spark
+    can split.
+    """
+    raw = (spark.read.schema(REPORT + ", _corrupt string")
+           .option("multiLine", str(multi_line).lower()).option("mode", "PERMISSIVE")
+           .option("columnNameOfCorruptRecord", "_corrupt").option("ignoreCorruptFiles", "true")
+           .option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").json(path))
+    folder = F.regexp_extract("_metadata.file_path", "/(?:run=)?([^/]+)/[^/]+$", 1)
+    named = raw.select("*", folder.alias("_folder")).withColumn(
+        "run", F.coalesce("run", "_folder"))
+    return named.where("_corrupt IS NULL AND startedAt IS NOT NULL").drop("_corrupt", "_folder")
 
 
 def read_issues(spark: SparkSession, path: str) -> DataFrame:
