@@ -1,6 +1,5 @@
 """Every per-page rule: must fire, and must stay silent."""
 
-import pytest
 from pyspark.sql import functions as F
 
 from captures import capture, dom, frame, link, rules
@@ -88,7 +87,7 @@ def test_text_files(spark):
     assert got == ["https://dev.example.com/c", "https://staging.example.com/a"]
 
 
-@pytest.mark.parametrize("changes, expected", [
+HTTP_CASES = [
     (dict(), []),
     (dict(navigationError="net::ERR", dom=None, status=0, domError="x"), ["navigation-failed"]),
     (dict(domError="boom", dom=None), ["dom-extraction-failed"]),
@@ -103,9 +102,21 @@ def test_text_files(spark):
     (dict(redirectChain=["a", "b"]), []),
     (dict(redirectChain=["a", "b", "c"]), ["long-redirect-chain"]),
     (dict(redirectChain=["a"], status=404), ["client-error", "redirect-to-error"]),
-])
-def test_http_status(spark, changes, expected):
-    assert rules(C.check_http_status(frame(spark, capture(**changes)), CFG)) == expected
+]
+
+
+def by_case(issues, n):
+    """Rules found per case; cases are numbered by ``seq``."""
+    found = [[] for _ in range(n)]
+    for row in issues.select("seq", "rule").collect():
+        found[row.seq].append(row.rule)
+    return [sorted(f) for f in found]
+
+
+def test_http_status(spark):
+    pages = [capture(seq=i, **changes) for i, (changes, _) in enumerate(HTTP_CASES)]
+    got = by_case(C.check_http_status(frame(spark, *pages), CFG), len(pages))
+    assert got == [expected for _, expected in HTTP_CASES]
 
 
 def test_http_details(spark):
@@ -155,7 +166,7 @@ GOOD = dict(title="A title of fair length", metaDescription="d" * 60,
             og={"og:title": "t", "og:image": "i", "og:description": "d"})
 
 
-@pytest.mark.parametrize("changes, expected", [
+SEO_CASES = [
     ({}, []),
     (dict(title=None), ["missing-title"]),
     (dict(title=""), ["missing-title"]),
@@ -175,10 +186,13 @@ GOOD = dict(title="A title of fair length", metaDescription="d" * 60,
     (dict(htmlLang=""), ["missing-html-lang"]),
     (dict(hreflang=[dict(hreflang="de", href="https://example.com/de")]), ["hreflang-missing-self"]),
     (dict(hreflang=[dict(hreflang="en", href="https://example.com/en/vps/")]), []),
-])
-def test_seo(spark, changes, expected):
-    page = capture(dom=dom(**{**GOOD, **changes}))
-    assert rules(C.check_seo(frame(spark, page), CFG)) == expected
+]
+
+
+def test_seo(spark):
+    pages = [capture(seq=i, dom=dom(**{**GOOD, **c})) for i, (c, _) in enumerate(SEO_CASES)]
+    got = by_case(C.check_seo(frame(spark, *pages), CFG), len(pages))
+    assert got == [expected for _, expected in SEO_CASES]
 
 
 def test_seo_skips_error_pages(spark):
