@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..config import AuditConfig
 
-SLICE = "hour"
+SLICE = "minute"
 
 
 def strike_backoff(log: DataFrame, cfg: AuditConfig, slice_unit: str = SLICE,

@@ -68,7 +68,7 @@ def parse_offers(offers: DataFrame, cfg: AuditConfig, robots: DataFrame | None =
     parsed = offers.withColumn("_u", url_parts("raw", F.coalesce("base", F.lit(""))))
     robots_ok = F.lit(True)
     if robots is not None and cfg.respectRobots:
-        parsed = salted_join(parsed, robots, ["site"], ["raw"], "left")
+        parsed = salted_join(parsed, robots, ["site"], ["seq"], "left")
         target = F.concat(F.col("_u.path"), F.when(F.col("_u.query") == "", F.lit("")).otherwise(
             F.concat(F.lit("?"), F.col("_u.query"))))
         robots_ok = allowed_by(F.col("disallow"), F.col("allow"), target)
@@ -177,7 +177,7 @@ def crawl_frontier(seeds: DataFrame, edges: DataFrame, cfg: AuditConfig,
         # links of one page; the links spread over the salts.
         offers = salted_join(
             graph, accepted.select("site", F.col("key").alias("src_key"), "depth"),
-            ["site", "src_key"], ["raw"],
+            ["site", "src_key"], ["seq"],
         ).select("site", "seq", "raw", (F.col("depth") + 1).alias("depth"), "base",
                  F.col("base").alias("source"), "url", "key", "scope")
     skips = _union(skipped).groupBy("site", VERDICT).agg(F.sum("n").alias("n"))

@@ -27,7 +27,7 @@ def attach_site_config(captures: DataFrame, sites: DataFrame) -> DataFrame:
     fields = [(F.col(n) if n in sites.columns else F.lit(None)).cast(k).alias(n)
               for n, k in SITE_SETTINGS.items()]
     settings = sites.select("site", F.struct(*fields).alias("siteConfig"))
-    return salted_join(captures, settings, ["site"], ["url"], "left")
+    return salted_join(captures, settings, ["site"], ["url", "seq"], "left")
 
 
 def validate_sites(sites: DataFrame) -> DataFrame:

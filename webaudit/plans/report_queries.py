@@ -288,19 +288,19 @@ WITH RECURSIVE p AS (SELECT page_id, regexp_replace(url, '^https?://[^/]+', 'htt
   url LIKE '%/es/%' AS ignored FROM pages),
 rob AS (SELECT *, ignored OR (regexp_matches(url, '^https://example.com/fr/1') AND NOT regexp_matches(url, '^https://example.com/fr/12')) AS stop FROM p),
 edge AS (SELECT a.k AS src, b.k AS dst FROM rob a JOIN rob b ON b.page_id IN (a.page_id * 2 + 1, a.page_id * 2 + 2)),
-walk AS (SELECT DISTINCT k, 0 AS depth FROM rob WHERE page_id % 10 = 0 AND NOT stop
+walk AS (SELECT DISTINCT k, 0 AS depth FROM rob WHERE url LIKE '%/en/%' AND NOT stop
  UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN edge e ON e.src = w.k
   WHERE w.depth < 3 AND e.dst NOT IN (SELECT k FROM rob WHERE stop))
 SELECT k AS key, min(depth) AS depth FROM walk GROUP BY k""")
 def crawl_frontier(spark, sf_dir):
-    """Replay from every tenth page, three links deep, with ignored and forbidden paths."""
+    """Replay from the English pages, three links deep, with ignored and forbidden paths."""
     source = D.pages(spark, sf_dir)
-    seeds = source.where("page_id % 10 = 0").select(
+    seeds = source.where(F.col("url").contains("/en/")).select(
         F.lit("example.com").alias("site"), F.col("page_id").alias("seq"), D.one_host("url").alias("raw"),
         F.lit(0).alias("depth"), F.lit(None).cast("string").alias("base"), F.lit("sitemap").alias("source"))
-    robots = parse_robots(source.limit(1).select(
-        F.lit("example.com").alias("site"), F.lit("https://example.com/robots.txt").alias("url"),
-        F.lit("User-agent: *\nDisallow: /fr/1\nAllow: /fr/12").alias("text")))
+    robots = parse_robots(spark.createDataFrame(
+        [("example.com", "https://example.com/robots.txt",
+          "User-agent: *\nDisallow: /fr/1\nAllow: /fr/12")], "site string, url string, text string"))
     pages, _ = FR.crawl_frontier(seeds, D.edges(source), _CRAWL, robots)
     return pages.select("key", "depth")
 
@@ -321,7 +321,7 @@ s AS (SELECT *, row_number() OVER (PARTITION BY host, epoch ORDER BY us, event_i
 w AS (SELECT *, CAST(least(greatest(10000 * power(2, strike - 1), coalesce(retry, 0)), 60000) AS BIGINT) AS wait_ms FROM s)
 SELECT host, event_id, CAST(strike AS BIGINT) AS strike, wait_ms, CAST(max(us // 1000 + wait_ms) OVER (PARTITION BY host ORDER BY us, event_id) AS BIGINT) AS cooldown_until_ms FROM w""")
 def strike_backoff(spark, sf_dir):
-    return B.strike_backoff(D.rate_log(spark, sf_dir), _BACKOFF, "day").select(
+    return B.strike_backoff(D.rate_log(spark, sf_dir), _BACKOFF).select(
         "host", "event_id", F.col("strike").cast("bigint").alias("strike"), "wait_ms", "cooldown_until_ms")
 
 

@@ -167,7 +167,7 @@ SELECT host, event_id, CAST(strike AS BIGINT) AS strike, wait_ms, CAST(max(us //
 def stream_backoff(spark, sf_dir):
     cfg = CONFIG.with_(forgetMs=86_400_000)
     out, state, mark = (scratch_path(spark, n) for n in ("strikes", "strike-state", "strike-mark"))
-    S.strike_batches(_log(spark, sf_dir), cfg, out, state, mark, "day").awaitTermination()
+    S.strike_batches(_log(spark, sf_dir), cfg, out, state, mark).awaitTermination()
     return spark.read.parquet(out).select(
         "host", "event_id", F.col("strike").cast("bigint").alias("strike"), "wait_ms", "cooldown_until_ms")
 

@@ -91,7 +91,7 @@ def allowed_by(disallow: Column, allow: Column, path: Column) -> Column:
 def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
     """Add ``robots_allowed`` to a table with ``site`` and a URL column."""
     parts = urls.withColumn("_u", url_parts(url))
-    joined = salted_join(parts, robots_by_site(rules), ["site"], [url], how="left")
+    joined = salted_join(parts, robots_by_site(rules), ["site"], urls.columns, how="left")
     target = F.concat(F.col("_u.path"), F.when(F.col("_u.query") == "", F.lit("")).otherwise(
         F.concat(F.lit("?"), F.col("_u.query"))))
     verdict = F.coalesce(allowed_by(F.col("disallow"), F.col("allow"), target), F.lit(False))

@@ -16,7 +16,7 @@ from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from ..config import AuditConfig
 from ..functions.urls import matches_ignore_pattern, normalize_url
-from ..operators.backoff import strike_backoff, strike_state
+from ..operators.backoff import SLICE, strike_backoff, strike_state
 from ..operators.checks import check_links
 from ..plans.audit import run_page_checks
 
@@ -75,7 +75,7 @@ def crawl_sessions(log: DataFrame, gap: str = "5 minutes", delay: str = CAPTURE_
 
 
 def strike_batches(log: DataFrame, cfg: AuditConfig, output: str, state: str, checkpoint: str,
-                   slice_unit: str = "hour"):
+                   slice_unit: str = SLICE):
     """Back-off per host, batch by batch, with the strikes carried in a small table.
 
     Each batch runs the sliced batch scan, so a host with most of the refusals is still cut
@@ -121,8 +121,10 @@ class _Retries(StatefulProcessor):
                 best = done.sort_values("attempt_no").iloc[-1]
                 if final is None or best.attempt_no > final.attempt_no:
                     final = best
-        self.state.update((retried,))
-        if final is not None:
+        if final is None:
+            self.state.update((retried,))
+        else:
+            self.state.clear()
             yield pd.DataFrame([(key[0], int(final.status), int(final.attempt_no), retried)],
                                columns=["url", "status", "attempts", "retried"])
 
@@ -136,7 +138,11 @@ RETRY_SCHEMA = StructType([
 
 
 def final_captures(attempts: DataFrame, cfg: AuditConfig) -> DataFrame:
-    """The fetch that counts of each URL, as soon as it is known: ``url, attempt_no, status``."""
+    """The fetch that counts of each URL, as soon as it is known: ``url, attempt_no, status``.
+
+    Only URLs that wait for a retry are remembered.
+    Needs the RocksDB state store (``session.ROCKSDB_PROVIDER``).
+    """
     return attempts.select("url", "attempt_no", "status").groupBy("url").transformWithStateInPandas(
         _Retries(cfg.blockedRetries), outputStructType=RETRY_SCHEMA, outputMode="Append",
         timeMode="None")
