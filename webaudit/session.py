@@ -38,13 +38,18 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8) -> SparkS
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset (tests, a
-    laptop) do we fall back to a temporary folder.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local master (tests, a laptop) may
+    fall back to a temporary folder: executors elsewhere would each write to their own disk
+    and read back little or nothing.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
         configured = spark.sparkContext.getCheckpointDir()
     if not configured:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError(
+                f"set spark.checkpoint.dir to a folder all executors share (master {master})")
         configured = tempfile.mkdtemp(prefix="spark-webaudit-")
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(configured)
