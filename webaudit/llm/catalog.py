@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from . import sharding
+from . import sharding, warc
 
 QUERIES = {
+    "op4_warc": warc.op4_warc,
     "op7_sharding": sharding.op7_sharding,
 }
-SQL: dict[str, str] = {}
+SQL = {
+    "op4_warc": warc.SQL,
+}
