@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import sharding, warc
+from . import packing, sharding, warc
 
 QUERIES = {
     "op4_warc": warc.op4_warc,
+    "op5_packing": packing.op5_packing,
     "op7_sharding": sharding.op7_sharding,
 }
 SQL = {
