@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 import re
+import sys
+from array import array
 
-import numpy as np
 from tokenizers import Tokenizer
 
-CACHED_WORDS = 300_000  # bounds a Python worker's memory; a full cache starts again
+CACHED_WORDS = 600_000  # bounds a Python worker's memory; a full cache starts again
 
-# Characters of Latin-1 that Python calls word characters though they are numbers (fixed values).
-ODD = re.compile("[²³¹¼½¾]")
-# White space at which a text may be cut: the tokenizer drops it and no word spans it.
+# Numbers that Python calls word characters (fixed values), and whatever is beyond Latin-1.
+ODD = re.compile("[²³¹¼½¾]|[^\x00-\xff]")
+PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+# str.split() cuts at white space, which the tokenizer drops, and at these, which it keeps.
+KEPT = re.compile("[\x1c-\x1f]")
 CUT = re.compile("[ \n]+")
 # Letters, single digits, and the rest: the tokenizer's own classes for Latin-1 without apostrophes.
 CLASSES = re.compile(r"[^\W\d_]+|\d|(?:[^\w\s]|_)+")
@@ -43,29 +46,34 @@ class WordEncoder:
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
             return self._library(text)
-        return b"".join(map(self.words.__getitem__, CUT.split(text)))
+        words = CUT.split(text) if KEPT.search(text) else text.split()
+        return b"".join(map(self.words.__getitem__, words))
 
     def _library(self, text: str) -> bytes:
-        return np.asarray(self.full.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return _bytes(self.full.encode(text, add_special_tokens=False).ids)
 
     def _core(self, core: str) -> bytes:
         if not core.isascii():
             core = core.encode().decode("latin-1").translate(self.letters)
-        return np.asarray([t.id for t in self.model.tokenize(core)], "<u4").tobytes()
+        return _bytes([t.id for t in self.model.tokenize(core)])
 
     def _word(self, word: str) -> bytes:
         if not word:
             return b""
-        if not word.isascii():
-            try:
-                word.encode("latin-1")
-            except UnicodeEncodeError:
-                return self._library(word)
-        if "'" in word or not word.isprintable() or ODD.search(word):
+        if PLAIN.fullmatch(word):
+            return self.cores[word.lower()]
+        if "'" in word or ODD.search(word) or not word.isprintable():
             return self._library(word)
         return b"".join(map(self.cores.__getitem__, CLASSES.findall(word.lower())))
 
 
+def _bytes(ids: list[int]) -> bytes:
+    packed = array("I", ids)
+    if sys.byteorder == "big":
+        packed.byteswap()
+    return packed.tobytes()
+
+
 class _Cache(dict):
     def __init__(self, make):
         super().__init__()
