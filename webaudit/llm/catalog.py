@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import packing, sharding, warc
+from . import ann, media, packing, sharding, warc
 
 QUERIES = {
+    "op3_ann": ann.op3_ann,
     "op4_warc": warc.op4_warc,
     "op5_packing": packing.op5_packing,
     "op7_sharding": sharding.op7_sharding,
+    "op10_media": media.op10_media,
 }
 SQL = {
+    "op3_ann": ann.SQL,
     "op4_warc": warc.SQL,
 }
