@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import ann, media, packing, sharding, warc
+from . import ann, media, ngram_join, packing, sharding, warc
 
 QUERIES = {
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_ann": ann.op3_ann,
     "op4_warc": warc.op4_warc,
     "op5_packing": packing.op5_packing,
