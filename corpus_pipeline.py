@@ -1,11 +1,86 @@
-"""A corpus pipeline: stages over documents, each written and read again by the next."""
+"""A corpus pipeline over ``documents``: language, near duplicates, secrets, packing.
+
+Each stage takes ``(spark, docs, sf_dir)``; its result is written as Parquet and read again as the
+next one's ``docs``. All stages but the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from webaudit.llm import langid, ngram_join, packing, secret_scan
+from webaudit.llm.common import cut_lineage, prepared
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+REJECT_BELOW = 0.3  # a calibrated probability that tells no language apart
+REDACTED = "[SECRET]"
+
+# Models, loops to a fixpoint and packing: not SQL. tests/llm holds each against brute force.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; NULL, empty and letterless texts go."""
+    prepared(spark)
+    docs = docs.select(*COLUMNS)
+    model = langid.train(docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text", "lang"))
+    # Integers travel as text, as nullable ones would pass through floating point.
+    kinds = dict(docs.dtypes)
+    carried = docs.select(*[F.col(c).cast("string").alias(c) for c in COLUMNS])
+    judged = langid.predict(carried, model, COLUMNS)
+    kept = judged.where((F.col("lang_pred") != langid.UNDETERMINED)
+                        & (F.col("score") >= REJECT_BELOW))
+    return kept.select(*[F.col(c).cast(kinds[c]).alias(c) for c in COLUMNS])
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group with five-word shingle sets of similarity 0.8 or more.
+
+    The one of smallest doc_id stays; of repeated rows of that doc_id, one. Documents
+    without a word stay, a row for each doc_id. Of groups without any doc_id one stays.
+    """
+    prepared(spark)
+    docs = docs.select(*COLUMNS)
+    groups = ngram_join.jaccard_groups(docs, words=5, percent=80)
+    keep = cut_lineage(groups.where(
+        (F.col("doc_id") == F.coalesce("comp", "doc_id"))).select("doc_id").distinct(), "keep")
+    kept = docs.join(keep, "doc_id", "left_semi")
+    repeated = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    once = kept.join(repeated, "doc_id", "left_anti").unionByName(
+        kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    lost = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
+    return once.unionByName(lost).select(*COLUMNS)
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with each secret replaced by ``[SECRET]`` wherever the document has it."""
+    docs = docs.select(*COLUMNS)
+    found = cut_lineage(secret_scan.scan(docs).where("is_secret").select(
+        "doc_id", "value").where("doc_id IS NOT NULL").distinct(), "secrets")
+    per_doc = found.groupBy("doc_id").agg(F.sort_array(F.collect_list("value"), False).alias("found"))
+    clean = F.aggregate("found", F.col("text"), lambda t, s: F.replace(t, s, F.lit(REDACTED)))
+    joined = docs.join(per_doc, "doc_id", "left").withColumn(
+        "clean", F.when(F.col("found").isNull(), F.col("text")).otherwise(clean))
+    return joined.select(
+        "doc_id", F.col("clean").alias("text"), "lang", "source",
+        F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(
+            F.char_length("clean")).cast(dict(docs.dtypes)["n_chars"]).alias("n_chars"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every piece of every document in sequences of at most 4,096 tokens."""
+    prepared(spark)
+    return packing.pack_documents(docs)
+
+
+STAGES = [("language ID", language), ("near duplicates", near_duplicates),
+          ("secret scan", secrets), ("packing", pack)]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        docs = cut_lineage(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, media, ngram_join, packing, sharding, warc
+from . import ann, langid, media, ngram_join, packing, secret_scan, sharding, warc
 
 QUERIES = {
+    "op1_secret_scan": secret_scan.op1_secret_scan,
+    "op8_langid": langid.op8_langid,
     "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_ann": ann.op3_ann,
     "op4_warc": warc.op4_warc,
