@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from . import ann, langid, media, ngram_join, packing, secret_scan, sharding, warc
+from . import ann, langid, media, ngram_join, packing, pieces, pii, secret_scan, sharding, warc
 
 QUERIES = {
+    "op6_pii": pii.op6_pii,
+    "op9_pieces": pieces.op9_pieces,
     "op1_secret_scan": secret_scan.op1_secret_scan,
     "op8_langid": langid.op8_langid,
     "op2_ngram_join": ngram_join.op2_ngram_join,
