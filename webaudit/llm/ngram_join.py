@@ -20,41 +20,75 @@ SLICE = 1 << 15        # buckets of a slice of them
 PAIRS_UP_TO = 640      # sets up to this size index pairs of frequent tokens, larger ones singles
 PARITY = 16            # 64-bit words of a set's parity bitmap
 NEEDED_BITS = 26       # bits of the map of sets whose tokens are fetched for verification
-CACHED_WORDS = 500_000
+BLOCK_BYTES = 1 << 20  # text hashed at once
+SEEN_SETS = 500_000    # sets a task remembers, to index copies once
 NO_ID = 1 << 62        # nodes of sets without any doc_id lie above
 
 MIX1, MIX2, MIX3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9  # odd constants
 
 
-class _WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHED_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
 def _mix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(29))) * np.uint64(MIX1)
     x = (x ^ (x >> np.uint64(32))) * np.uint64(MIX2)
     return x ^ (x >> np.uint64(31))
 
 
-def tokens_of(text: str | None, words: int, cache: dict) -> np.ndarray:
+class Words:
+    """64-bit hashes of a text's words: polynomials of random byte values, mixed."""
+
+    def __init__(self):
+        rng = np.random.default_rng(5)
+        self.value = rng.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+        self.base = int(rng.integers(0, 1 << 62)) * 8 + 5  # odd, so it has an inverse
+        self.inverse = pow(self.base, -1, 1 << 64)
+        self.powers, self.inverses = np.ones(1, np.uint64), np.ones(1, np.uint64)
+        self.space = np.isin(np.arange(256), [32, *range(9, 14)])
+
+    def _grow(self, n: int) -> None:
+        while len(self.powers) < n:
+            size = len(self.powers)
+            for name, base in (("powers", self.base), ("inverses", self.inverse)):
+                old = getattr(self, name)
+                setattr(self, name, np.concatenate(
+                    [old, old * np.uint64(pow(base, size, 1 << 64))]))
+
+    def hashes(self, data: bytes) -> np.ndarray:
+        """Of the words of ``data``, a block at a time, cut at white space."""
+        out, at = [], 0
+        while at < len(data):
+            end = min(at + BLOCK_BYTES, len(data))
+            while end < len(data) and not self.space[data[end]]:
+                end += 1
+            out.append(self._block(np.frombuffer(data, np.uint8, end - at, at)))
+            at = end
+        return np.concatenate(out) if out else np.empty(0, np.uint64)
+
+    def _block(self, b: np.ndarray) -> np.ndarray:
+        self._grow(len(b))
+        inside = np.zeros(len(b) + 2, bool)
+        inside[1:-1] = ~self.space[b]
+        change = np.nonzero(inside[1:] != inside[:-1])[0]
+        starts, ends = change[::2], change[1::2]
+        sums = np.zeros(len(b) + 1, np.uint64)
+        np.cumsum(self.value[b] * self.powers[:len(b)], out=sums[1:])
+        return _mix((sums[ends] - sums[starts]) * self.inverses[starts]
+                    + (ends - starts).astype(np.uint64))
+
+
+def tokens_of(text: str | None, words: int, hasher: Words) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word n-grams of a text.
 
     Words: runs without ASCII white space, A-Z lowered. Fewer than ``words``: the whole
     sequence is the only n-gram. No text or word: none.
     """
-    found = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not found:
-        return np.empty(0, np.uint64)
-    hashes = np.fromiter(map(cache.__getitem__, found), np.uint64, len(found))
+    hashes = hasher.hashes((text or "").encode("utf-8", "surrogatepass").lower())
+    if not len(hashes):
+        return hashes
     size = min(words, len(hashes))
     grams = np.full(len(hashes) - size + 1, size, np.uint64)
     for k in range(size):
-        grams = _mix(grams * np.uint64(MIX3) + hashes[k:len(hashes) - size + 1 + k])
-    return np.unique(grams)
+        grams = grams * np.uint64(MIX3) + hashes[k:len(hashes) - size + 1 + k]
+    return np.unique(_mix(grams))
 
 
 def set_key(tokens: np.ndarray) -> tuple[int, int]:
@@ -107,52 +141,40 @@ def parity(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(np.int64)
 
 
-def _scan(docs: DataFrame, words: int, each, columns: list[str], schema: str, end=None) -> DataFrame:
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache, state = _WordHashes(), {}
-        for pdf in batches:
-            parts = []
-            for doc_id, text in zip(pdf["doc_id"].array, pdf["text"].array):
-                if (row := each(doc_id, tokens_of(text, words, cache), state)) is not None:
-                    parts.append(row)
-            if parts:
-                yield _frame(parts, columns)
-        if end is not None:
-            yield from end(state)
-
-    return docs.mapInPandas(run, schema)
-
-
-def _frame(parts: list, columns: list[str]) -> pd.DataFrame:
-    if isinstance(parts[0], pd.DataFrame):
-        return pd.concat(parts, ignore_index=True)
-    return pd.DataFrame(parts, columns=columns)
-
-
-def document_sets(docs: DataFrame, words: int) -> DataFrame:
-    """``doc_id`` (as text), ``n``, and the set's key ``h1, h2``."""
-    return _scan(docs, words, lambda d, t, s: (d, len(t), *set_key(t)),
-                 ["doc_id", "n", "h1", "h2"], "doc_id string, n long, h1 long, h2 long")
+PARITY_COLUMNS = [f"p{i}" for i in range(PARITY)]
 
 
-def frequent_buckets(docs: DataFrame, words: int) -> np.ndarray:
-    """Which hash buckets hold a frequent token, from counts over all documents.
+def document_sets(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
+    """One scan: ``doc_id`` (as text), ``n``, key ``h1, h2`` and parity bitmap of each document's
+    set; and which hash buckets hold a frequent token.
 
-    Counts are summed by slices; what reaches the driver is a flag per bucket. A bucket
-    is frequent if its count stands out from the mean by far more than chance allows. A wrong
-    flag costs time, never a link.
+    Token counts cover all documents. They are summed by slices of the buckets; what
+    reaches the driver is ``2^SKETCH_BITS`` numbers, whatever the corpus. A bucket is frequent if
+    its count stands out from the mean by far more than chance allows. A wrong flag costs time, never
+    a link.
     """
     buckets = 1 << SKETCH_BITS
+    columns = ["doc_id", "n", "h1", "h2", *PARITY_COLUMNS, "slice", "counts"]
 
-    def each(_, tokens, state):
-        counts = state.setdefault("counts", np.zeros(buckets, np.int64))
-        np.add.at(counts, (tokens >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), 1)
-
-    def end(state):
-        if "counts" in state:
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache, counts = Words(), np.zeros(buckets, np.uint32)
+        for pdf in batches:
+            rows, found = [], []
+            for doc_id, text in zip(pdf["doc_id"].array, pdf["text"].array):
+                tokens = tokens_of(text, words, cache)
+                found.append(tokens)
+                rows.append((doc_id, len(tokens), *set_key(tokens), *parity(tokens).tolist(), -1, b""))
+            at = (np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+            counts += np.bincount(at, minlength=buckets).astype(np.uint32)
+            yield pd.DataFrame(rows, columns=columns)
+        if counts.any():
             for i in range(0, buckets, SLICE):
-                part = state["counts"][i:i + SLICE].astype(np.uint32)
-                yield pd.DataFrame({"slice": [i // SLICE], "counts": [part.tobytes()]})
+                yield pd.DataFrame([("", *[0] * (PARITY + 3), i // SLICE,
+                                     counts[i:i + SLICE].tobytes())], columns=columns)
+
+    schema = ("doc_id string, n long, h1 long, h2 long, "
+              + ", ".join(f"{p} long" for p in PARITY_COLUMNS) + ", slice int, counts binary")
+    both = cut_lineage(docs.mapInPandas(run, schema), "ngram-sets")
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(SLICE, np.int64)
@@ -160,69 +182,79 @@ def frequent_buckets(docs: DataFrame, words: int) -> np.ndarray:
             total += np.frombuffer(c, np.uint32)
         return pd.DataFrame({"slice": pdf["slice"][:1], "counts": [total.tobytes()]})
 
-    sums = (_scan(docs, words, each, [], "slice int, counts binary", end)
-            .groupBy("slice").applyInPandas(add, "slice int, counts binary"))
-    sums = cut_lineage(sums, "token-counts")
     total = np.zeros(buckets, np.int64)
-    for row in sums.collect():  # 2^SKETCH_BITS numbers, whatever the corpus
+    for row in (both.where("slice >= 0").select("slice", "counts").groupBy("slice")
+                .applyInPandas(add, "slice int, counts binary").collect()):
         total[row["slice"] * SLICE:(row["slice"] + 1) * SLICE] = np.frombuffer(row["counts"], np.int64)
     mean = total.mean()
-    return total > mean + 6 * np.sqrt(mean) + 16
+    members = both.where("slice < 0").drop("slice", "counts").withColumn(
+        "doc_id", F.col("doc_id").cast("long"))
+    return members, total > mean + 6 * np.sqrt(mean) + 16
 
 
 def index_entries(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
     """``sig, h1, h2``: the index, with each set once a task."""
     flags = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
 
-    def each(_, tokens, state):
-        if len(tokens) < 2:
-            return None
-        key = set_key(tokens)
-        seen = state.setdefault("seen", set())
-        if key in seen:
-            return None
-        if len(seen) > 1_000_000:
-            seen.clear()
-        seen.add(key)
-        if "flags" not in state:
-            state["flags"] = np.unpackbits(flags.value).astype(bool)
-        sigs = signatures(tokens, state["flags"], percent)
-        return pd.DataFrame({"sig": sigs.view(np.int64), "h1": key[0], "h2": key[1]})
-
-    return _scan(docs, words, each, [], "sig long, h1 long, h2 long")
-
-
-PARITY_COLUMNS = [f"p{i}" for i in range(PARITY)]
-
-
-def fetch(docs: DataFrame, words: int, needed: DataFrame, with_tokens: bool) -> DataFrame:
-    """A row per needed set (``h1, h2``): parity bitmap, or its tokens."""
-    slot = F.pmod(F.col("h1"), F.lit(1 << NEEDED_BITS))
-    maps = needed.select(slot.alias("slot")).groupBy(
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache, seen = Words(), set()
+        common = np.unpackbits(flags.value).astype(bool)
+        for pdf in batches:
+            sigs, keys = [], []
+            for text in pdf["text"].array:
+                tokens = tokens_of(text, words, cache)
+                if len(tokens) < 2 or (key := set_key(tokens)) in seen:
+                    continue
+                if len(seen) >= SEEN_SETS:
+                    seen.clear()
+                seen.add(key)
+                sigs.append(signatures(tokens, common, percent).view(np.int64))
+                keys.append(key)
+            if sigs:
+                sizes = list(map(len, sigs))
+                h = np.array(keys, np.int64)
+                yield pd.DataFrame({"sig": np.concatenate(sigs), "h1": np.repeat(h[:, 0], sizes),
+                                    "h2": np.repeat(h[:, 1], sizes)})
+
+    return docs.select("text").mapInPandas(run, "sig long, h1 long, h2 long")
+
+
+def fetch_tokens(docs: DataFrame, words: int, needed: DataFrame) -> DataFrame:
+    """``node, tokens`` of the needed sets (``node, h1, h2, id``; id: a document that has the set).
+
+    A bitmap of the needed ids, of ``2^NEEDED_BITS`` bits at most, spares the other documents'
+    texts the work; the join behind it is exact. Rows without doc_id are all read.
+    """
+    slot = F.pmod(F.col("id"), F.lit(1 << NEEDED_BITS))
+    maps = needed.where("id IS NOT NULL").select(slot.alias("slot")).groupBy(
         F.bitmap_bucket_number("slot").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
-    # 2^NEEDED_BITS bits at most. Bucket numbers begin at 0 for slot 0, then at 1.
+    # Bucket numbers begin at 0 for slot 0 alone, then at 1 for every 32,768 slots.
     flags = np.zeros((1 << NEEDED_BITS) // 8 + 8192, np.uint8)
     for row in maps:
         at = row["bucket"] * 4096
         flags[at:at + 4096] |= np.frombuffer(bytes(row["bits"]), np.uint8)
     shared = docs.sparkSession.sparkContext.broadcast(flags)
 
-    def each(_, tokens, state):
-        if len(tokens) < 2:
-            return None
-        h1, h2 = set_key(tokens)
-        at = h1 % (1 << NEEDED_BITS)
+    def wanted(doc_id: str | None) -> bool:
+        if doc_id is None:
+            return True
+        at = int(doc_id) % (1 << NEEDED_BITS)
         bucket, bit = (0, 0) if at == 0 else (1 + (at - 1) // 32768, (at - 1) % 32768)
-        if not shared.value[bucket * 4096 + bit // 8] >> (bit % 8) & 1:
-            return None
-        return (h1, h2, tokens.tobytes()) if with_tokens else (h1, h2, *parity(tokens).tolist())
+        return bool(shared.value[bucket * 4096 + bit // 8] >> (bit % 8) & 1)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        cache = Words()
+        for pdf in batches:
+            rows = []
+            for doc_id, text in zip(pdf["doc_id"].array, pdf["text"].array):
+                if wanted(doc_id) and len(tokens := tokens_of(text, words, cache)) > 1:
+                    rows.append((*set_key(tokens), tokens.tobytes()))
+            yield pd.DataFrame(rows, columns=["h1", "h2", "tokens"])
 
-    names = ["tokens"] if with_tokens else PARITY_COLUMNS
-    kinds = "tokens binary" if with_tokens else ", ".join(f"{p} long" for p in PARITY_COLUMNS)
-    rows = _scan(docs, words, each, ["h1", "h2", *names], f"h1 long, h2 long, {kinds}")
-    return (rows.join(needed.select("h1", "h2").distinct(), ["h1", "h2"])
-            .groupBy("h1", "h2").agg(*[F.first(c).alias(c) for c in names]))
+    rows = docs.mapInPandas(run, "h1 long, h2 long, tokens binary")
+    return rows.join(needed.select("node", "h1", "h2"), ["h1", "h2"]).groupBy("node").agg(
+        F.first("tokens").alias("tokens"))
 
 
 def _possible(percent: int) -> Column:
@@ -239,9 +271,8 @@ def verify(docs: DataFrame, pairs: DataFrame, sets: DataFrame, words: int, perce
     """The pairs ``a, b`` of set nodes whose token sets are as similar as asked, by exact count."""
     ends = pairs.select(F.col("a").alias("node")).unionByName(
         pairs.select(F.col("b").alias("node"))).distinct()
-    needed = cut_lineage(ends.join(sets, "node").select("node", "h1", "h2"), "ngram-needed")
-    tokens = cut_lineage(fetch(docs, words, needed, True).join(needed, ["h1", "h2"])
-                         .select("node", "tokens"), "ngram-tokens")
+    needed = cut_lineage(ends.join(sets, "node").select("node", "h1", "h2", "id"), "ngram-needed")
+    tokens = cut_lineage(fetch_tokens(docs, words, needed), "ngram-tokens")
 
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -273,21 +304,19 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     table gives no rows.
     """
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    members = cut_lineage(document_sets(docs, words).withColumn(
-        "doc_id", F.col("doc_id").cast("long")), "ngram-sets")
+    found, frequent = document_sets(docs, words)
+    members = found.select("doc_id", "n", "h1", "h2")
     without = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("h1", "h2"), 2)
-    sets = cut_lineage(members.where("n > 0").groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("id"), F.first("n").alias("n")).select(
-        "h1", "h2", "n", F.coalesce("id", without).alias("node")), "ngram-nodes")
-    frequent = frequent_buckets(docs, words)
+    sets = cut_lineage(found.where("n > 0").groupBy("h1", "h2").agg(
+        F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in ("n", *PARITY_COLUMNS)])
+        .withColumn("node", F.coalesce("id", without)), "ngram-nodes")
     entries = index_entries(docs, words, percent, frequent)
     bucket = W.partitionBy("sig")
     shared = cut_lineage(
         entries.repartition("sig").dropDuplicates(["sig", "h1", "h2"])
         .withColumn("size", F.count("*").over(bucket)).where("size > 1").drop("size"),
         "ngram-shared")
-    sketches = cut_lineage(fetch(docs, words, shared.select("h1", "h2").distinct(), False)
-                           .join(sets, ["h1", "h2"]).drop("h1", "h2"), "ngram-parity")
+    sketches = sets.select("node", "n", *PARITY_COLUMNS)
     named = cut_lineage(shared.join(sets, ["h1", "h2"]).select("sig", "node"), "ngram-named")
 
     def judged(pairs: DataFrame) -> DataFrame:
@@ -318,7 +347,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
         & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
     more = judged(rest)
     comp = components(links.unionByName(more))
-    return (members.join(sets.drop("n"), ["h1", "h2"], "left").join(comp, "node", "left")
+    return (members.join(sets.select("h1", "h2", "node"), ["h1", "h2"], "left").join(comp, "node", "left")
             .select("doc_id", "n", "node", F.coalesce("comp", "node", "doc_id").alias("comp")))
 
 
