@@ -121,7 +121,7 @@ def write_monolithic(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE
     return keyed.mapInPandas(write, WRITTEN)
 
 
-def normalise(roles: DataFrame, source: str, target: str) -> DataFrame:
+def normalise(roles: DataFrame, source: str, target: str, archives: int) -> DataFrame:
     """Rewrite monolithic archives: inflate each once, every record becomes its own member.
 
     ``roles``: ``archive, seq, revisit, refers_to``, one row per record; an archive's rows
@@ -158,7 +158,8 @@ def normalise(roles: DataFrame, source: str, target: str) -> DataFrame:
         store.move(attempt + ".idx", f"{out_root}/{archive}.idx")
         return pd.DataFrame({"archive": [archive], "records": [len(index)], "bytes": [offset]})
 
-    return roles.groupBy("archive").applyInPandas(
+    # As many partitions as archives: the rows are few and small, the work behind them is not.
+    return roles.repartition(max(1, archives), "archive").groupBy("archive").applyInPandas(
         rewrite, "archive string, records long, bytes long")
 
 
@@ -218,8 +219,8 @@ def archive_pages(pages: DataFrame, folder: str, archive_bytes: int = ARCHIVE_BY
         F.coalesce(~((F.col("archive") == F.col("first.archive"))
                      & (F.col("seq") == F.col("first.seq"))), F.lit(False)).alias("revisit"),
         F.coalesce(F.col("first.page_id").cast("string"), F.lit("null")).alias("refers_to"))
-    done = cut_lineage(normalise(roles, source, folder), "warc-done")
-    archives = done.count()
+    archives = written.select("archive").distinct().count()
+    done = cut_lineage(normalise(roles, source, folder, archives), "warc-done")
     drop_folder(spark, source)
     return read_archives(done.repartition(max(1, archives)), folder)
 
