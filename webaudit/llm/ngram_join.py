@@ -19,6 +19,8 @@ SKETCH_BITS = 21       # buckets of the token-frequency counts: 2 MB a task
 SLICE = 1 << 15        # buckets of a slice of them
 PAIRS_UP_TO = 640      # sets up to this size index pairs of frequent tokens, larger ones singles
 PARITY = 16            # 64-bit words of a set's parity bitmap
+FOLDED = 4             # words of it, folded, that join with the index
+STAR_ROUNDS = 2        # rounds that join each bucket's sets to one of them
 NEEDED_BITS = 26       # bits of the map of sets whose tokens are fetched for verification
 BLOCK_BYTES = 1 << 20  # text hashed at once
 SEEN_SETS = 500_000    # sets a task remembers, to index copies once
@@ -257,10 +259,10 @@ def fetch_tokens(docs: DataFrame, words: int, needed: DataFrame) -> DataFrame:
         F.first("tokens").alias("tokens"))
 
 
-def _possible(percent: int) -> Column:
+def _possible(percent: int, columns: list[str] = PARITY_COLUMNS) -> Column:
     """Whether the parity bitmaps of two sets leave room for enough overlap."""
     differ = reduce(lambda a, b: a + b,
-                    (F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in PARITY_COLUMNS))
+                    (F.bit_count(F.col(f"x.{p}").bitwiseXOR(F.col(f"y.{p}"))) for p in columns))
     n, m = F.col("x.n"), F.col("y.n")
     # overlap <= (n + m - differ) / 2, and (100 + percent) * overlap >= percent * (n + m)
     return ((100 + percent) * (n + m - differ) >= 2 * percent * (n + m)) & (
@@ -293,10 +295,9 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
 
     Two documents link when their n-gram sets are as similar as ``percent`` says; ``comp`` is the
     smallest doc_id reachable by links. Equal sets are one set from the start, so copies cost
-    nothing more. Round 1 verifies each indexed set against the first of its bucket, which
-    joins large groups without their pairs; round 2 verifies, within each bucket, the pairs of
-    sets that are still in different groups. A parity bitmap of the set bounds the overlap before
-    tokens are fetched. No link is lost: every pair of different sets that links shares a bucket.
+    nothing more. Star rounds verify each indexed set against one of its bucket, which joins
+    large groups without their pairs; the last round verifies, within each bucket, all pairs of
+    sets that are still in different groups and whose parity bitmaps leave room for enough overlap. No link is lost: every pair of different sets that links shares a bucket.
 
     NULL, empty and blank texts have n = 0 and link with nothing. Rows of the same doc_id are the
     same document. Rows without doc_id take part, and get a ``comp`` above ``NO_ID`` if no
@@ -326,25 +327,32 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
             .where(_possible(percent)).select("a", "b"), "ngram-pairs")
         return cut_lineage(verify(docs, kept, sets, words, percent), "ngram-links")
 
-    first = named.groupBy("sig").agg(F.min("node").alias("a"))
-    stars = named.join(first, "sig").where("node <> a").select(
-        "a", F.col("node").alias("b")).distinct()
-    links = judged(stars)
-    group = cut_lineage(components(links), "ngram-groups")
-    placed = named.join(group, "node", "left").select(
-        "sig", "node", F.coalesce("comp", "node").alias("comp"))
+    links, placed = None, named.withColumn("comp", F.col("node"))
+    for turn in range(STAR_ROUNDS):
+        order = F.xxhash64("node", F.lit(turn))
+        first = placed.groupBy("sig").agg(
+            F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+            F.min_by(F.struct("node", "comp"), order).alias("first")).where("lo < hi").select(
+            "sig", F.col("first.node").alias("head"), F.col("first.comp").alias("own"))
+        stars = placed.join(first, "sig").where("comp <> own").select(
+            F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+        new = judged(stars)
+        links = new if links is None else links.unionByName(new)
+        group = cut_lineage(components(links), "ngram-groups")
+        placed = named.join(group, "node", "left").select(
+            "sig", "node", F.coalesce("comp", "node").alias("comp"))
+    folded = [reduce(lambda x, y: x.bitwiseXOR(y), map(F.col, PARITY_COLUMNS[i::FOLDED]))
+              .alias(f"f{i}") for i in range(FOLDED)]
     mixed = cut_lineage(placed.join(
-        placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                  F.min("node").alias("star")).where("lo < hi").drop("lo", "hi"),
-        "sig").join(sets.select("node", "n"), "node"), "ngram-mixed")
-    left = mixed.select("sig", "star", F.col("node").alias("a"), F.col("comp").alias("ca"),
-                        F.col("n").alias("na"))
-    right = mixed.select("sig", F.col("node").alias("b"), F.col("comp").alias("cb"),
-                         F.col("n").alias("nb"))
-    # Pairs with the first of a bucket were judged in round 1.
-    rest = left.join(right, "sig").where(
-        (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & (F.col("a") != F.col("star"))
-        & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
+        placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+        .where("lo < hi").select("sig"), "sig").join(sets.select("node", "n", *folded), "node"),
+        "ngram-mixed")
+    x, y = mixed.alias("x"), mixed.alias("y")
+    # The bound is part of the join: pairs that it rules out are never rows.
+    rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node"))
+                  & (F.col("x.comp") != F.col("y.comp"))
+                  & _possible(percent, [f"f{i}" for i in range(FOLDED)])).select(
+        F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     more = judged(rest)
     comp = components(links.unionByName(more))
     return (members.join(sets.select("h1", "h2", "node"), ["h1", "h2"], "left").join(comp, "node", "left")
