@@ -42,6 +42,10 @@ class Pieces:
         self.spelled = {i: p.encode() for p, (i, _) in self.piece.items()}
         self.spelled |= {i: bytes([b]) for b, i in enumerate(self.byte)}
         self.longest = max(map(len, self.piece))
+        # Score of each piece, and minus infinity for beginnings of pieces that are none themselves:
+        # a search ends where no piece goes on.
+        self.begins = {p[:k]: NONE for p in self.piece for k in range(1, len(p))}
+        self.begins |= {p: score for p, (_, score) in self.piece.items()}
         self.cache: dict[str, tuple[bytes, float]] = {}
         # No piece crosses from another character into a space mark, or touches a line end: the
         # best path passes through these cuts. Checked, as it depends on the vocabulary.
@@ -53,28 +57,25 @@ class Pieces:
         known = self.piece.get(piece)
         return [known[0]] if known else [self.byte[b] for b in piece.encode("utf-8", "surrogatepass")]
 
-    def steps(self, s: str, p: int) -> Iterator[tuple[int, float]]:
-        """Lengths and scores of the pieces that begin at ``p``."""
-        single = False
-        for size in range(1, min(self.longest, len(s) - p) + 1):
-            if (known := self.piece.get(s[p:p + size])) is not None:
-                single |= size == 1
-                yield size, known[1]
-        if not single:
-            yield 1, self.unknown
-
     def path(self, s: str, begin: list[float], stop: int) -> tuple[list[float], list[int]]:
         """Best scores at the positions of ``s``, and where the last piece begins (-1: it is an
         entry). ``begin``: scores of the entry positions 0, 1, …; pieces begin before ``stop``."""
         best, back = [NONE] * (len(s) + 1), [-1] * (len(s) + 1)
         best[:len(begin)] = begin
+        begins, n, unknown = self.begins, len(s), self.unknown
         for p in range(stop):
             here = best[p]
             if here == NONE:
                 continue
-            for size, score in self.steps(s, p):
-                if here + score > best[p + size]:
-                    best[p + size], back[p + size] = here + score, p
+            single, end = False, p + 1
+            while end <= n and (score := begins.get(s[p:end])) is not None:
+                if score > NONE:
+                    single |= end == p + 1
+                    if here + score > best[end]:
+                        best[end], back[end] = here + score, p
+                end += 1
+            if not single and here + unknown > best[p + 1]:
+                best[p + 1], back[p + 1] = here + unknown, p
         return best, back
 
     def trace(self, s: str, back: list[int], end: int) -> tuple[int, bytes]:
