@@ -13,7 +13,7 @@ from .checks.common import issue
 from .skew import first_k_list, salted_join
 
 LISTED = 50  # fixed value: URLs named in a drift finding
-INLINE = 1000  # URLs a duplicate finding names itself; duplicate_members has every one
+INLINE = 1000  # URLs a row of a duplicate finding names; larger groups take several rows
 
 
 def ok_pages(captures: DataFrame) -> DataFrame:
@@ -54,24 +54,45 @@ def duplicate_groups(captures: DataFrame, field: str = "title", inline: int = IN
         F.col("first.url").alias("first_url"), "urls")
 
 
-def _url_list() -> Column:
-    rest = F.col("n") - F.size("urls")
-    more = F.when(rest > 0, F.concat(F.lit("… and "), rest.cast("string"), F.lit(" more")))
-    return F.concat_ws("\n", F.array_join("urls", "\n"), more)
+def duplicate_parts(captures: DataFrame, field: str = "title", inline: int = INLINE) -> DataFrame:
+    """``site, value, n, first_url, part, urls``: every page of every group, in bounded lists.
+
+    A group of up to ``inline`` pages is one row, with ``part`` 0. A larger one has a row for
+    each stretch of ``inline`` crawl positions that it touches, numbered by the stretch, so
+    no list outgrows a row and no task has a whole group. Pages keep their crawl order.
+    """
+    pages = _valued(captures, field)
+    groups = pages.groupBy("site", "value").agg(
+        F.count("*").alias("n"), F.min(F.struct("seq", "url"))["url"].alias("first_url")).where(
+        "n >= 2")
+    members = salted_join(pages, groups, ["site", "value"], ["seq", "url"])
+    stretch = F.when(F.col("n") > inline, F.floor(F.col("seq") / inline)).otherwise(0)
+    listed = members.groupBy("site", "value", "n", "first_url", stretch.alias("part")).agg(
+        F.array_sort(F.collect_list(F.struct("seq", "url"))).alias("m"))
+    return listed.select("site", "value", "n", "first_url", "part", F.col("m.url").alias("urls"))
 
 
 def duplicate_issues(captures: DataFrame, inline: int = INLINE) -> DataFrame:
+    """A finding per group of duplicates, naming every page.
+
+    Groups above ``inline`` pages take several rows that say which crawl positions they list.
+    """
     count = F.col("n").cast("string")
-    titles = _as_issues(duplicate_groups(captures, "title", inline), issue(
+    start = F.col("part") * inline
+    stretch = F.when(F.col("n") > inline, F.concat(
+        F.lit(" (crawl positions "), start.cast("string"), F.lit(" to "),
+        (start + inline - 1).cast("string"), F.lit(")"))).otherwise("")
+    urls = F.array_join("urls", "\n")
+    titles = _as_issues(duplicate_parts(captures, "title", inline), issue(
         "cross-page", "warning", "duplicate-title",
         F.concat(count, F.lit(' pages share the title "'), truncate(F.col("value"), 80),
-                 F.lit('"')),
-        page_url=F.col("first_url"), detail=_url_list()))
-    descriptions = _as_issues(duplicate_groups(captures, "metaDescription", inline), issue(
+                 F.lit('"'), stretch),
+        page_url=F.col("first_url"), detail=urls))
+    descriptions = _as_issues(duplicate_parts(captures, "metaDescription", inline), issue(
         "cross-page", "warning", "duplicate-meta-description",
-        F.concat(count, F.lit(" pages share the same meta description")),
+        F.concat(count, F.lit(" pages share the same meta description"), stretch),
         page_url=F.col("first_url"),
-        detail=F.concat(F.lit('"'), truncate(F.col("value"), 100), F.lit('"\n'), _url_list())))
+        detail=F.concat(F.lit('"'), truncate(F.col("value"), 100), F.lit('"\n'), urls)))
     return titles.unionByName(descriptions)
 
 
@@ -84,20 +105,21 @@ def hreflang_edges(captures: DataFrame) -> DataFrame:
 
 
 def hreflang_issues(captures: DataFrame) -> DataFrame:
-    """Alternates that were crawled and do not point back.
+    """Alternates that were crawled for the same site and do not point back.
 
-    Each crawled URL is reduced to the alternates of its last capture, so one join answers
+    Each crawled URL of a site is reduced to the alternates of its last capture, so one join answers
     both "was it crawled" and "does it point back".
     """
     alternates = F.transform(F.coalesce(
         F.col("dom.hreflang"), F.array().cast("array<struct<hreflang:string,href:string>>")),
         lambda a: dedupe_key(a["href"]))
     crawled = (ok_pages(captures)
-               .select(dedupe_key("finalUrl").alias("alt_key"), "seq", alternates.alias("back"))
-               .where("alt_key IS NOT NULL").groupBy("alt_key")
+               .select("site", dedupe_key("finalUrl").alias("alt_key"), "seq",
+                       alternates.alias("back"))
+               .where("alt_key IS NOT NULL").groupBy("site", "alt_key")
                .agg(F.max_by("back", "seq").alias("back")))
     edges = hreflang_edges(captures).where("alt_key <> self_key")
-    one_way = salted_join(edges, crawled, ["alt_key"], ["seq", "self_key"]).where(
+    one_way = salted_join(edges, crawled, ["site", "alt_key"], ["seq", "self_key"]).where(
         ~F.coalesce(F.array_contains("back", F.col("self_key")), F.lit(False)))
     tag = F.concat(F.lit("link[hreflang="), F.col("hreflang"), F.lit("]"))
     found = issue("cross-page", "warning", "hreflang-not-reciprocal",
@@ -124,20 +146,23 @@ def missing_keys(have: DataFrame, want: DataFrame) -> DataFrame:
     return absent.groupBy("site").agg(F.count("*").alias("n")).join(listed, "site")
 
 
-def sitemap_issues(captures: DataFrame, sitemap: DataFrame, cfg: AuditConfig) -> DataFrame:
+def sitemap_issues(captures: DataFrame, sitemap: DataFrame, cfg: AuditConfig,
+                   bases: DataFrame | None = None) -> DataFrame:
     """One finding per site that has a sitemap lacking crawled pages.
 
-    ``sitemap`` has ``site, url, pos``.
+    ``sitemap`` has ``site, url, pos``; ``bases`` (``site, baseUrl``) names the page it is about.
     """
     crawled = _keys(ok_pages(captures), "finalUrl", "seq")
     listed = _keys(sitemap, "url", "pos")
     has_sitemap = sitemap.select("site").distinct()
     drift = missing_keys(crawled, listed).join(has_sitemap, "site", "left_semi")
+    page = F.lit(cfg.baseUrl) if cfg.baseUrl else F.concat(F.lit("https://"), F.col("site"))
+    if bases is not None:
+        drift, page = drift.join(bases, "site", "left"), F.coalesce("baseUrl", page)
     return _as_issues(drift, issue(
         "cross-page", "warning", "page-missing-from-sitemap",
         F.concat(F.col("n").cast("string"), F.lit(" crawled pages are not listed in the sitemap")),
-        page_url=F.lit(cfg.baseUrl) if cfg.baseUrl else F.concat(F.lit("https://"), F.col("site")),
-        detail=F.array_join("urls", "\n")))
+        page_url=page, detail=F.array_join("urls", "\n")))
 
 
 def llms_link_issues(links: DataFrame, link_status: DataFrame) -> DataFrame:

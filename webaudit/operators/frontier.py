@@ -20,6 +20,7 @@ from ..functions.urls import (
 )
 from ..session import cut_lineage
 from ..sources.textfiles import allowed_by, robots_by_site
+from .sites import attach_site_config
 from .skew import salted_join, top_k
 
 VERDICT = "reason"  # NULL = accepted
@@ -33,8 +34,10 @@ def seed_offers(sitemap: DataFrame, llms: DataFrame, sites: DataFrame) -> DataFr
                          F.col("url").alias("raw"), F.lit(0).alias("depth"),
                          F.lit(None).cast("string").alias("base"), F.lit(source).alias("source"))
 
-    base = sites.select("site", F.concat(F.lit("https://"), F.col("site")).alias("url"),
-                        F.lit(0).alias("pos"))
+    start = F.concat(F.lit("https://"), F.col("site"))
+    if "baseUrl" in sites.columns:
+        start = F.coalesce("baseUrl", start)
+    base = sites.select("site", start.alias("url"), F.lit(0).alias("pos"))
     return offers(sitemap, "sitemap", 0, "pos").unionByName(
         offers(llms, "llms.txt", 1, "line")).unionByName(offers(base, "seed", 2, "pos"))
 
@@ -63,7 +66,8 @@ def parse_offers(offers: DataFrame, cfg: AuditConfig, robots: DataFrame | None =
                  ) -> DataFrame:
     """Add ``url, key, scope`` to rows with ``site, raw, base``: what needs no other offer.
 
-    ``robots`` has one row per site (``robots_by_site``).
+    ``robots`` has one row per site (``robots_by_site``). With ``perSite``, offers carry
+    ``siteConfig``.
     """
     parsed = offers.withColumn("_u", url_parts("raw", F.coalesce("base", F.lit(""))))
     robots_ok = F.lit(True)
@@ -84,23 +88,26 @@ def settle_offers(offers: DataFrame, cfg: AuditConfig, seen: DataFrame | None =
     ``seen`` (``site, key``) holds identities already settled and ``taken`` (``site, taken``)
     the pages already accepted, when the offers continue an earlier batch.
     """
-    judged = offers.withColumn("_eligible", F.col("depth") <= cfg.maxDepth)
+    judged = offers.withColumn("_eligible", F.col("depth") <= cfg.setting("maxDepth"))
     counted = judged.where("key IS NOT NULL AND _eligible").select(
-        "site", "key", "seq", "scope", F.lit(False).alias("_settled"))
+        "site", "key", "seq", "scope", F.lit(False).alias("_settled"),
+        cfg.setting("maxPages").alias("_limit"))
     if seen is not None:
         blank = [F.lit(None).cast(offers.schema[c].dataType).alias(c) for c in ("seq", "scope")]
         counted = counted.unionByName(seen.select(
-            "site", "key", *blank, F.lit(True).alias("_settled")))
+            "site", "key", *blank, F.lit(True).alias("_settled"),
+            F.lit(None).cast("int").alias("_limit")))
     per_key = counted.groupBy("site", "key").agg(
         F.min(F.when(F.col("scope").isNull(), F.col("seq"))).alias("_in"),
         F.min(F.when(F.col("scope").isNotNull(), F.col("seq"))).alias("_out"),
-        F.max("_settled").alias("_seen"))
+        F.max("_settled").alias("_seen"), F.max("_limit").alias("_limit"))
     candidates = per_key.where(
         "NOT _seen AND _in IS NOT NULL AND (_out IS NULL OR _in < _out)")
-    ranked = top_k(candidates, ["site"], [F.col("_in")], cfg.maxPages, ["key"], rank="_rank")
+    limit = F.col("_limit") if cfg.perSite else F.lit(cfg.maxPages)
+    ranked = top_k(candidates, ["site"], [F.col("_in")], limit, ["key"], rank="_rank")
     if taken is not None:
         ranked = ranked.join(taken, "site", "left").where(
-            F.col("_rank") + F.coalesce("taken", F.lit(0)) <= cfg.maxPages)
+            F.col("_rank") + F.coalesce("taken", F.lit(0)) <= limit)
     accepted = ranked.select("site", "key", F.lit(True).alias("_accepted"))
     marks = per_key.join(accepted, ["site", "key"], "left").select(
         "site", "key", "_seen",
@@ -112,15 +119,18 @@ def settle_offers(offers: DataFrame, cfg: AuditConfig, seen: DataFrame | None =
         .when(~F.col("_eligible"), "too-deep")
         .when(F.col("seq") == F.col("_mark"), F.col("scope"))
         .otherwise("max-pages"))
-    return joined.select(*[c for c in offers.columns if c != "scope"], reason.alias(VERDICT))
+    return joined.select(*[c for c in offers.columns if c not in ("scope", "siteConfig")], reason.alias(VERDICT))
 
 
-def judge_offers(offers: DataFrame, cfg: AuditConfig, robots: DataFrame | None = None
-                 ) -> DataFrame:
+def judge_offers(offers: DataFrame, cfg: AuditConfig, robots: DataFrame | None = None,
+                 sites: DataFrame | None = None) -> DataFrame:
     """``url, key, reason`` for offers ``site, seq, raw, depth, base, source``.
 
-    ``robots`` is a rule table from ``parse_robots``.
+    ``robots`` is a rule table from ``parse_robots``; ``sites`` holds each site's own
+    settings and is needed with ``perSite``.
     """
+    if sites is not None:
+        offers = attach_site_config(offers, sites, ["seq", "raw"])
     compiled = robots_by_site(robots) if robots is not None and cfg.respectRobots else None
     return settle_offers(parse_offers(offers, cfg, compiled), cfg)
 
@@ -145,23 +155,32 @@ def found_on(edges: DataFrame) -> DataFrame:
 
 
 def crawl_frontier(seeds: DataFrame, edges: DataFrame, cfg: AuditConfig,
-                   robots: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+                   robots: DataFrame | None = None, sites: DataFrame | None = None
+                   ) -> tuple[DataFrame, DataFrame]:
     """Replay a crawl breadth-first: ``(pages, skipped)``.
 
     ``seeds`` are offers at depth 0; ``edges`` has ``site, src_url, dst_url, seq``. Pages come
-    out with their least depth and the page that led to them. Each level is written to
+    out with their least depth and the page that led to them. ``sites`` as in ``judge_offers``. Each level is written to
     reliable storage, so lineage stays short and a lost executor costs one level at most.
     """
     compiled = None
     if robots is not None and cfg.respectRobots:
         compiled = cut_lineage(robots_by_site(robots), "robots")
-    # Each link is parsed and scoped once, before the loop that only orders and counts.
-    graph = cut_lineage(parse_offers(edges.select(
+    links = edges.select(
         "site", dedupe_key("src_url").alias("src_key"), F.col("src_url").alias("base"),
-        F.col("dst_url").alias("raw"), "seq"), cfg, compiled), "graph")
+        F.col("dst_url").alias("raw"), "seq")
+    deepest, own = cfg.maxDepth, []
+    if sites is not None:
+        links = attach_site_config(links, sites, ["seq"])
+        seeds = attach_site_config(seeds, sites, ["seq", "raw"])
+        own = ["siteConfig"]
+        if "maxDepth" in sites.columns:
+            deepest = max(deepest, sites.agg(F.max("maxDepth")).first()[0] or 0)
+    # Each link is parsed and scoped once, before the loop that only orders and counts.
+    graph = cut_lineage(parse_offers(links, cfg, compiled), "graph")
     offers, seen, taken = parse_offers(seeds, cfg, compiled), None, None
     pages, skipped = [], []
-    for _ in range(cfg.maxDepth + 2):
+    for _ in range(deepest + 2):
         level = cut_lineage(settle_offers(offers, cfg, seen, taken), "level")
         accepted = level.where(F.col(VERDICT).isNull())
         pages.append(accepted.select("site", "url", "key", "depth", "source"))
@@ -179,7 +198,7 @@ def crawl_frontier(seeds: DataFrame, edges: DataFrame, cfg: AuditConfig,
             graph, accepted.select("site", F.col("key").alias("src_key"), "depth"),
             ["site", "src_key"], ["seq"],
         ).select("site", "seq", "raw", (F.col("depth") + 1).alias("depth"), "base",
-                 F.col("base").alias("source"), "url", "key", "scope")
+                 F.col("base").alias("source"), "url", "key", "scope", *own)
     skips = _union(skipped).groupBy("site", VERDICT).agg(F.sum("n").alias("n"))
     return _union(pages), skips
 

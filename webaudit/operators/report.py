@@ -120,10 +120,17 @@ def run_name(name: Column, include_paths: Column) -> Column:
 
 
 def write_report(issues: DataFrame, runs: DataFrame, path: str, run: str) -> None:
-    """Issue rows by site and run as Parquet, and one JSON summary per run."""
+    """Issue rows by site and run as Parquet, and the run as JSON lines.
+
+    The lines are the summary rows and one line for each page and rule with issues, so no line
+    holds a whole run; ``read_report(…, multi_line=False)`` reads them back.
+    """
     issues.withColumn("run", F.lit(run)).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic").partitionBy("run", "site").parquet(f"{path}/issues")
-    runs.write.mode("overwrite").json(f"{path}/{run}")
+    lines = issues.groupBy("site", "pageUrl", "rule").agg(
+        F.collect_list(F.struct(*ISSUE_FIELDS)).alias("issues")).select(
+        F.lit(run).alias("run"), "site", "issues")
+    runs.unionByName(lines, allowMissingColumns=True).write.mode("overwrite").json(f"{path}/{run}")
 
 
 def slim(captures: DataFrame) -> DataFrame:

@@ -22,12 +22,16 @@ def with_defaults(sites: DataFrame, cfg: AuditConfig) -> DataFrame:
     return sites.withColumns(columns)
 
 
-def attach_site_config(captures: DataFrame, sites: DataFrame) -> DataFrame:
-    """Add ``siteConfig`` to captures; use with ``cfg.with_(perSite=True)``."""
+def attach_site_config(captures: DataFrame, sites: DataFrame,
+                       spread: Sequence[str] = ("url", "seq")) -> DataFrame:
+    """Add ``siteConfig`` to captures; use with ``cfg.with_(perSite=True)``.
+
+    ``spread`` names columns that tell the rows of a site apart.
+    """
     fields = [(F.col(n) if n in sites.columns else F.lit(None)).cast(k).alias(n)
               for n, k in SITE_SETTINGS.items()]
     settings = sites.select("site", F.struct(*fields).alias("siteConfig"))
-    return salted_join(captures, settings, ["site"], ["url", "seq"], "left")
+    return salted_join(captures, settings, ["site"], spread, "left")
 
 
 def validate_sites(sites: DataFrame) -> DataFrame:
@@ -71,4 +75,6 @@ def landing_pages(sites: DataFrame, locales: Sequence[str]) -> DataFrame:
     """``site, url`` of every landing page to probe for a consent banner."""
     from ..functions.texts import landing_routes
     base = F.concat(F.lit("https://"), F.col("site"))
+    if "baseUrl" in sites.columns:
+        base = F.coalesce(F.regexp_replace("baseUrl", "/+$", ""), base)
     return sites.select("site", F.explode(landing_routes(base, locales)).alias("url"))

@@ -31,7 +31,7 @@ def salted_join(
 
 
 def top_k(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int,
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], k: int | Column,
     spread: Sequence[str | Column], rank: str = "rank", buckets: int = 16,
 ) -> DataFrame:
     """The first ``k`` rows per key with their ``rank``.

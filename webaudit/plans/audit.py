@@ -15,15 +15,15 @@ from ..operators.checks.http_status import (
 )
 from ..operators.classify import classify_issues
 from ..operators.crosspage import (
-    consent_issues, duplicate_issues, hreflang_issues, llms_coverage_issues, llms_link_issues,
-    sitemap_issues,
+    consent_issues, duplicate_issues, duplicate_members, hreflang_issues, llms_coverage_issues,
+    llms_link_issues, sitemap_issues,
 )
 from ..operators.report import (
     counts_by_priority, counts_by_rule, counts_by_severity, filter_issues, top_findings,
 )
 from ..rules import rule_meta_df
 from ..schemas import ISSUE_FIELDS
-from ..sources.textfiles import parse_llms_txt, parse_sitemap
+from ..sources.textfiles import expand_sitemaps, origin_of, parse_llms_txt, sitemap_entries
 
 
 def custom_rules(cfg: AuditConfig) -> dict:
@@ -74,8 +74,9 @@ def _custom_issues(captures: DataFrame, link_status: DataFrame | None, custom: C
                    ) -> DataFrame:
     """Rows of a DataFrame check; findings on blocked pages fall to the cull as well."""
     rows = custom.fn(captures, link_status)
-    blocked = captures.where(is_blocked()).select(F.col("url").alias("pageUrl")).distinct()
-    kept = rows.join(blocked, "pageUrl", "left_anti")
+    on = ["site", "pageUrl"] if "site" in rows.columns else ["pageUrl"]
+    blocked = captures.where(is_blocked()).withColumn("pageUrl", F.col("url")).select(*on).distinct()
+    kept = rows.join(blocked, on, "left_anti")
     extra = {c: F.lit(None).cast(t) for c, t in (("site", "string"), ("seq", "bigint"))
              if c not in kept.columns}
     return kept.withColumns(extra).select("site", "seq", *ISSUE_FIELDS)
@@ -83,11 +84,12 @@ def _custom_issues(captures: DataFrame, link_status: DataFrame | None, custom: C
 
 def run_cross_page_checks(captures: DataFrame, cfg: AuditConfig, sitemap: DataFrame,
                           llms_docs: DataFrame | None = None, llms: DataFrame | None = None,
-                          link_status: DataFrame | None = None) -> DataFrame | None:
+                          link_status: DataFrame | None = None,
+                          bases: DataFrame | None = None) -> DataFrame | None:
     enabled, parts = cfg.enabled_checks(), []
     if "cross-page" in enabled:
         parts += [duplicate_issues(captures), hreflang_issues(captures),
-                  sitemap_issues(captures, sitemap, cfg)]
+                  sitemap_issues(captures, sitemap, cfg, bases)]
     if "llms-txt" in enabled and llms is not None:
         if link_status is not None:
             parts.append(llms_link_issues(llms, link_status))
@@ -103,6 +105,16 @@ class AuditResult:
     issues: DataFrame  # classified
     counts: DataFrame  # per site and severity
     rules: DataFrame  # per site and rule, ranked
+    members: DataFrame  # field, site, value, seq, url of every page with a duplicate text
+    sitemap_errors: DataFrame | None = None  # site, url, error of files the walk could not read
+
+
+def base_urls(captures: DataFrame, cfg: AuditConfig) -> DataFrame:
+    """``site, baseUrl``: as configured, else the origin of the page a site's crawl began with."""
+    given = (F.max(cfg.setting("baseUrl")) if cfg.perSite or cfg.baseUrl
+             else F.lit(None).cast("string"))
+    first = F.min_by(origin_of(F.col("url")), "seq")
+    return captures.groupBy("site").agg(F.coalesce(given, first).alias("baseUrl"))
 
 
 def audit(captures: DataFrame, cfg: AuditConfig, files: DataFrame | None = None,
@@ -110,12 +122,13 @@ def audit(captures: DataFrame, cfg: AuditConfig, files: DataFrame | None = None,
           sitemap: DataFrame | None = None, filter_global: bool = False) -> AuditResult:
     """Everything: page findings, cross-page findings, text files, consent.
 
-    ``files`` is a ``site_files`` table. The report filters apply to page findings only,
+    ``files`` is a ``site_files`` table. Its sitemaps are walked from ``/sitemap.xml`` of each
+    site's base URL and from ``extraSitemaps``, through indexes; the walk stores its levels. The report filters apply to page findings only,
     unless ``filter_global`` is set.
     """
     enabled = cfg.enabled_checks()
     out = run_page_checks(captures, cfg, link_status)
-    docs = llms = None
+    docs = llms = bases = failed = None
     extra: list[DataFrame] = []
     if files is not None:
         texts = files.where((F.col("kind") == "llms") & F.col("text").isNotNull())
@@ -124,10 +137,13 @@ def audit(captures: DataFrame, cfg: AuditConfig, files: DataFrame | None = None,
         if "forbidden-hosts" in enabled:
             extra.append(scan_text_files(texts, cfg))
         if sitemap is None:
-            sitemap = parse_sitemap(files.where("kind = 'sitemap'"))
+            bases = base_urls(captures, cfg)
+            sitemap, failed = expand_sitemaps(
+                sitemap_entries(bases, cfg.includePaths, cfg.excludePaths, cfg.extraSitemaps,
+                                cfg.knownLocales), files.where("kind = 'sitemap'"))
     if sitemap is None:
         sitemap = captures.sparkSession.createDataFrame([], "site string, url string, pos bigint")
-    cross = run_cross_page_checks(captures, cfg, sitemap, docs, llms, link_status)
+    cross = run_cross_page_checks(captures, cfg, sitemap, docs, llms, link_status, bases)
     if cross is not None:
         extra.append(cross)
     if landing is not None and "consent-banner" in enabled:
@@ -137,8 +153,11 @@ def audit(captures: DataFrame, cfg: AuditConfig, files: DataFrame | None = None,
     custom = custom_rules(cfg)
     meta = rule_meta_df(captures.sparkSession, custom) if custom else None
     classified = classify_issues(out, meta)
+    members = [duplicate_members(captures, name).select(F.lit(name).alias("field"), "*")
+               for name in ("title", "metaDescription")]
     return AuditResult(classified, counts_by_severity(classified, "site"),
-                       counts_by_rule(classified, "site"))
+                       counts_by_rule(classified, "site"), members[0].unionByName(members[1]),
+                       failed)
 
 
 def summary(classified: DataFrame) -> dict[str, DataFrame]:

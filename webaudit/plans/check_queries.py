@@ -231,9 +231,11 @@ SEO = union(
     _seo("warning", "missing-html-lang", "'Missing <html lang> attribute'", "page_id % 10 = 9"),
 )
 _ALT = f"""
-alt AS (SELECT a.page_id, {key('a.url')} AS self_key, {key('b.url')} AS alt_key
- FROM pages a JOIN pages b ON b.page_id = a.page_id + 1 - 2 * (a.page_id % 2)
- WHERE a.page_id % 6 IN (0, 1, 2))"""
+pair AS (SELECT a.page_id, a.url, CASE WHEN a.page_id = e.low THEN e.last_url ELSE e.first_url END AS other
+ FROM pages a JOIN (SELECT {site('url')} AS site, min(page_id) AS low, arg_min(url, page_id) AS first_url,
+  arg_max(url, page_id) AS last_url FROM pages GROUP BY 1) e ON e.site = {site('a.url')}
+ WHERE a.page_id % 6 IN (0, 1, 2)),
+alt AS (SELECT page_id, {key('url')} AS self_key, {key('other')} AS alt_key FROM pair)"""
 HREFLANG_SELF = ("SELECT page_id, site, 'seo' AS \"check\", 'warning' AS severity, "
                  "'hreflang-missing-self' AS rule, 'hreflang cluster does not include a self-reference' AS message, "
                  "url AS \"pageUrl\", NULL AS target, NULL AS \"where\", 'de' AS detail "
@@ -380,10 +382,12 @@ def custom_check(spark, sf_dir):
 # --- cross-page -----------------------------------------------------------------------------
 
 @query("duplicate_descriptions", f"""{BASE},
-g AS (SELECT site, description, count(*) AS n, arg_min(url, page_id) AS first_url,
-  string_agg(url, chr(10) ORDER BY page_id) AS urls FROM cap
- WHERE has_dom AND status BETWEEN 200 AND 299 AND description IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2)
-SELECT site, 'duplicate-meta-description' AS rule, n || ' pages share the same meta description' AS message, first_url AS "pageUrl",
+m AS (SELECT site, description, page_id, url, count(*) OVER g AS n, first_value(url) OVER (g ORDER BY page_id) AS first_url
+ FROM cap WHERE has_dom AND status BETWEEN 200 AND 299 AND description IS NOT NULL WINDOW g AS (PARTITION BY site, description)),
+g AS (SELECT site, description, n, first_url, CASE WHEN n > 1000 THEN page_id // 1000 ELSE 0 END AS part,
+  string_agg(url, chr(10) ORDER BY page_id) AS urls FROM m WHERE n >= 2 GROUP BY 1, 2, 3, 4, 5)
+SELECT site, 'duplicate-meta-description' AS rule, n || ' pages share the same meta description' || CASE WHEN n > 1000
+ THEN ' (crawl positions ' || (part * 1000) || ' to ' || (part * 1000 + 999) || ')' ELSE '' END AS message, first_url AS "pageUrl",
  '"' || CASE WHEN length(description) > 100 THEN left(description, 100) || '…' ELSE description END || '"' || chr(10) || urls AS detail FROM g""")
 def duplicate_descriptions(spark, sf_dir):
     return X.duplicate_issues(D.captures(spark, sf_dir)).where(
@@ -392,10 +396,10 @@ def duplicate_descriptions(spark, sf_dir):
 
 @query("hreflang_reciprocity", f"""{BASE}, {_ALT},
 ok AS (SELECT * FROM cap WHERE status BETWEEN 200 AND 299),
-last AS (SELECT {key('url')} AS k, max(page_id) AS page_id FROM ok GROUP BY 1)
+last AS (SELECT site, {key('url')} AS k, max(page_id) AS page_id FROM ok GROUP BY 1, 2)
 SELECT o.page_id, o.site, o.url AS "pageUrl", e.alt_key AS target,
  'Declares hreflang="de" alternate that does not point back' AS message
-FROM alt e JOIN ok o USING (page_id) JOIN last t ON t.k = e.alt_key
+FROM alt e JOIN ok o USING (page_id) JOIN last t ON t.k = e.alt_key AND t.site = o.site
 WHERE o.has_dom AND e.alt_key <> e.self_key AND NOT EXISTS (
  SELECT 1 FROM alt r JOIN cap c USING (page_id) WHERE r.page_id = t.page_id AND c.has_dom AND r.alt_key = e.self_key)""")
 def hreflang_reciprocity(spark, sf_dir):
@@ -491,7 +495,7 @@ SELECT url, CASE WHEN n % 12 = 4 THEN 0 ELSE 200 END AS status,
  CASE WHEN n % 12 <> 4 AND n % 5 = 1 THEN url || '/x' END AS "finalUrl",
  CASE WHEN n % 12 <> 4 AND n % 5 = 1 THEN 1 ELSE 0 END AS redirects,
  CASE WHEN n % 12 = 4 THEN 'reset (retried once)' END AS error,
- CASE WHEN n % 3 = 0 OR n % 12 = 4 THEN 80 ELSE 40 END AS "durationMs" FROM p""")
+ CAST(CASE WHEN n % 12 = 4 THEN 80 WHEN n % 3 = 0 THEN 120 ELSE 40 END AS BIGINT) AS "durationMs" FROM p""")
 def probe_reduce(spark, sf_dir):
     return L.reduce_probe_attempts(D.probe_attempts(D.pages(spark, sf_dir)))
 
@@ -594,11 +598,11 @@ def per_site_thresholds(spark, sf_dir):
 , dup AS (SELECT site, 'duplicate-title' AS rule, title AS v FROM cap WHERE has_dom AND status = 200 AND title <> '' GROUP BY 1, 3 HAVING count(*) > 1
  UNION ALL SELECT site, 'duplicate-meta-description', description FROM cap WHERE has_dom AND status = 200 AND description <> '' GROUP BY 1, 3 HAVING count(*) > 1),
 {_DRIFT.strip()},
-ok AS (SELECT * FROM cap WHERE status = 200), last AS (SELECT {key('url')} AS k, max(page_id) AS page_id FROM ok GROUP BY 1),
+ok AS (SELECT * FROM cap WHERE status = 200), last AS (SELECT site, {key('url')} AS k, max(page_id) AS page_id FROM ok GROUP BY 1, 2),
 whole AS (SELECT site, rule FROM dup
  UNION ALL SELECT DISTINCT site, 'page-missing-from-sitemap' FROM crawled c WHERE NOT EXISTS (
   SELECT 1 FROM listed l WHERE l.site = c.site AND l.k = c.k) AND site IN (SELECT site FROM listed)
- UNION ALL SELECT o.site, 'hreflang-not-reciprocal' FROM alt e JOIN ok o USING (page_id) JOIN last t ON t.k = e.alt_key
+ UNION ALL SELECT o.site, 'hreflang-not-reciprocal' FROM alt e JOIN ok o USING (page_id) JOIN last t ON t.k = e.alt_key AND t.site = o.site
   WHERE o.has_dom AND e.alt_key <> e.self_key AND NOT EXISTS (SELECT 1 FROM alt r JOIN cap c USING (page_id)
    WHERE r.page_id = t.page_id AND c.has_dom AND r.alt_key = e.self_key)
  UNION ALL SELECT {site('url')}, CASE WHEN page_id % 9 = 4 THEN 'consent-banner-check-failed' ELSE 'consent-banner-missing' END

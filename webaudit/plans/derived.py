@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.urls import site_of
+from ..operators.skew import salted_join
 from ..schemas import AXE, CAPTURE_FIELDS, DOM
 from ..session import spread
 from ..sources.html import extract_dom
@@ -125,16 +126,19 @@ _DOM = {
 
 
 def captures(spark: SparkSession, sf_dir: str, hreflang: bool = False) -> DataFrame:
-    """Page captures; ``hreflang`` adds alternates between neighbouring pages (one join)."""
+    """Page captures; ``hreflang`` adds alternates: a site's first page, and its last to that."""
     return captures_of(pages(spark, sf_dir), hreflang)
 
 
 def captures_of(source: DataFrame, hreflang: bool = False) -> DataFrame:
     alternates = F.lit(None)
     if hreflang:
-        other = source.select((F.col("page_id") + 1 - 2 * (F.col("page_id") % 2)).alias("page_id"),
-                              F.col("url").alias("_other"))
-        source = source.join(other, "page_id", "left")
+        ends = source.groupBy("site").agg(
+            F.min("page_id").alias("_first"), F.min_by("url", "page_id").alias("_first_url"),
+            F.max_by("url", "page_id").alias("_last_url"))
+        source = salted_join(source, ends, ["site"], ["page_id"], "left").withColumn(
+            "_other", F.when(F.col("page_id") == F.col("_first"), F.col("_last_url"))
+            .otherwise(F.col("_first_url")))
         alternates = F.expr(
             "CASE WHEN page_id % 6 IN (0, 1, 2) AND _other IS NOT NULL "
             "THEN array(named_struct('hreflang', 'de', 'href', _other)) ELSE array() END")

@@ -10,11 +10,12 @@ from ..functions import urls as U
 from ..functions.lets import explode_rows
 from ..operators.checks import check_links
 from ..operators.classify import classify_issues
-from ..operators.crosspage import duplicate_groups, duplicate_members
+from ..operators.crosspage import duplicate_members, duplicate_parts
 from ..operators.frontier import found_on, link_edges, probe_worklist
 from ..operators.report import counts_by_rule
 from ..sources import textfiles as X
 from ..sources.captures import with_site
+from ..session import cut_lineage
 from . import derived as D
 from .audit import run_page_checks
 from .registry import CONFIG, LINKS, LINK_STATUS, host, key, norm, path, query, site
@@ -235,14 +236,21 @@ _TITLES = f"""t AS (SELECT page_id, url, {site('url')} AS site,
  '&amp;', '&'), '&amp', '&')), '') AS title FROM pages)"""
 
 
+def _titled(spark, sf_dir):
+    """Titles of all pages, taken from the HTML once and stored."""
+    return cut_lineage(D.html_captures(spark, sf_dir, "title").select(
+        "site", "seq", "url", "status", F.struct("dom.title").alias("dom")), "titles")
+
+
 @query("duplicate_titles", f"""
 WITH {_TITLES}
-SELECT site, title AS value, count(*) AS n, arg_min(url, page_id) AS first_url,
+SELECT site, title AS value, n, first_url, CAST(CASE WHEN n > 1000 THEN page_id // 1000 ELSE 0 END AS BIGINT) AS part,
  string_agg(url, chr(10) ORDER BY page_id) AS urls
-FROM t WHERE title IS NOT NULL GROUP BY site, title HAVING count(*) >= 2""")
+FROM (SELECT *, count(*) OVER g AS n, first_value(url) OVER (g ORDER BY page_id) AS first_url
+ FROM t WHERE title IS NOT NULL WINDOW g AS (PARTITION BY site, title)) WHERE n >= 2 GROUP BY 1, 2, 3, 4, 5""")
 def duplicate_titles(spark, sf_dir):
-    return duplicate_groups(D.html_captures(spark, sf_dir, "title"), "title").select(
-        "site", "value", "n", "first_url", F.array_join("urls", "\n").alias("urls"))
+    return duplicate_parts(_titled(spark, sf_dir), "title").select(
+        "site", "value", "n", "first_url", "part", F.array_join("urls", "\n").alias("urls"))
 
 
 @query("duplicate_members", f"""
@@ -250,7 +258,7 @@ WITH {_TITLES}
 SELECT site, title AS value, page_id, url FROM t
 QUALIFY title IS NOT NULL AND count(*) OVER (PARTITION BY site, title) >= 2""")
 def title_members(spark, sf_dir):
-    return duplicate_members(D.html_captures(spark, sf_dir, "title"), "title").select(
+    return duplicate_members(_titled(spark, sf_dir), "title").select(
         "site", "value", F.col("seq").alias("page_id"), "url")
 
 

@@ -74,12 +74,15 @@ def console_issues_from_log(events: DataFrame, cfg: AuditConfig) -> DataFrame:
 def reduce_probe_attempts(attempts: DataFrame) -> DataFrame:
     """Link status per URL from its probe log.
 
-    A later attempt supersedes an earlier one (GET after a refused HEAD, one retry after no
-    answer); a URL that failed in both rounds says so.
+    ``duration_ms`` is the time of one attempt. A later attempt supersedes an earlier one
+    (GET after a refused HEAD, one retry after no answer); a URL that failed in both rounds
+    says so. The time of a URL is that of its last round, from HEAD to the end of GET.
     """
-    last = attempts.groupBy("url").agg(
-        F.max_by(F.struct("status", "final_url", "redirected", "error", "duration_ms", "round"),
-                 F.struct("round", "attempt_no")).alias("a"))
+    rounds = attempts.groupBy("url", "round").agg(
+        F.max_by(F.struct("status", "final_url", "redirected", "error"), "attempt_no").alias("a"),
+        F.sum("duration_ms").alias("spent"))
+    last = rounds.groupBy("url").agg(
+        F.max_by(F.struct("a.*", "round", "spent"), "round").alias("a"))
     failed = F.col("a.status") == 0
     error = F.coalesce(F.col("a.error"), F.lit("request failed"))
     return last.select(
@@ -90,7 +93,7 @@ def reduce_probe_attempts(attempts: DataFrame) -> DataFrame:
         .alias("redirects"),
         F.when(failed & (F.col("a.round") > 1), F.concat(error, F.lit(" (retried once)")))
         .when(failed, error).alias("error"),
-        F.col("a.duration_ms").alias("durationMs"))
+        F.col("a.spent").alias("durationMs"))
 
 
 def reduce_page_attempts(attempts: DataFrame, blocked_retries: int = 2

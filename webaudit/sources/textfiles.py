@@ -102,6 +102,12 @@ def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataF
 # --- sitemaps -----------------------------------------------------------------------------
 
 
+def origin_of(url: Column) -> Column:
+    """Scheme, host and port of an http(s) URL, else NULL."""
+    found = F.regexp_extract(url, "(?i)^https?://[^/?#]+", 0)
+    return F.when(found != "", found)
+
+
 def is_sitemap_index(text: Column) -> Column:
     return text.rlike(r"(?i)<sitemapindex[\s>]")
 
@@ -117,9 +123,14 @@ def parse_sitemap(files: DataFrame, *keep: str) -> DataFrame:
 
 def sitemap_entries(sites: DataFrame, include: Sequence[str] = (), exclude: Sequence[str] = (),
                     extra: Sequence[str] = (), locales: Sequence[str] = ()) -> DataFrame:
-    """Where a walk starts: ``/sitemap.xml`` of each site, and extra files in scope."""
-    own = sites.select("site", F.concat(F.lit("https://"), F.col("site"),
-                                        F.lit("/sitemap.xml")).alias("url"))
+    """Where a walk starts: ``/sitemap.xml`` of each site, and extra files in scope.
+
+    ``sites`` has ``site`` and may have ``baseUrl``; without one, https is assumed.
+    """
+    base = F.concat(F.lit("https://"), F.col("site"))
+    if "baseUrl" in sites.columns:
+        base = F.coalesce(origin_of(F.col("baseUrl")), base)
+    own = sites.select("site", F.concat(base, F.lit("/sitemap.xml")).alias("url"))
     if not extra:
         return own
     more = sites.select("site", F.explode(F.array(*map(F.lit, extra))).alias("url"))
@@ -130,7 +141,7 @@ def sitemap_entries(sites: DataFrame, include: Sequence[str] = (), exclude: Sequ
 
 def expand_sitemaps(entries: DataFrame, files: DataFrame, max_depth: int = 3
                     ) -> tuple[DataFrame, DataFrame]:
-    """Walk sitemap indexes level by level: ``(urls, errors)``.
+    """Walk sitemap indexes level by level: ``(urls, errors)``, urls as ``site, url, pos``.
 
     Each file is visited once per site however many indexes name it; a missing or failed
     file yields an error row.
@@ -149,14 +160,15 @@ def expand_sitemaps(entries: DataFrame, files: DataFrame, max_depth: int = 3
             "site", "url", F.coalesce("error", F.lit("not fetched")).alias("error")))
         good = read.where(F.col("text").isNotNull())
         index = is_sitemap_index(F.col("text"))
-        found.append(parse_sitemap(good.where(~index)).select("site", "url"))
+        found.append(parse_sitemap(good.where(~index)).select(
+            "site", "url", (F.col("pos") + (depth << 40)).alias("pos")))
         if depth == max_depth or level.isEmpty():
             break
         level = parse_sitemap(good.where(index)).select("site", "url").distinct()
     urls, failed = found[0], errors[0]
     for more, worse in zip(found[1:], errors[1:]):
         urls, failed = urls.unionByName(more), failed.unionByName(worse)
-    return urls.distinct(), failed
+    return urls.groupBy("site", "url").agg(F.min("pos").alias("pos")), failed
 
 
 # --- llms.txt -----------------------------------------------------------------------------
@@ -165,14 +177,15 @@ def expand_sitemaps(entries: DataFrame, files: DataFrame, max_depth: int = 3
 def parse_llms_txt(files: DataFrame) -> DataFrame:
     """``site, file, section, title, url, line``: markdown links and bare URLs.
 
-    ``##`` and deeper headings open a section. A URL counts once per line.
+    ``##`` and deeper headings open a section. A URL counts once per line. Relative links
+    start at the host the file came from.
     """
     lines = lines_of(files)
     heading = trim_space(F.regexp_extract("line", HEADING, 1))
     is_heading = F.col("line").rlike(HEADING)
     opened = F.when(is_heading & F.col("line").startswith("##") & (heading != ""), heading)
     fill = W.partitionBy("site", "url").orderBy("line_no")
-    base = F.concat(F.lit("https://"), F.col("site"))
+    base = F.coalesce(origin_of(F.col("url")), F.concat(F.lit("https://"), F.col("site")))
 
     def pieces(pattern: str, group: int) -> Column:
         return F.regexp_extract_all(F.col("line"), F.lit(pattern), F.lit(group))
