@@ -227,6 +227,25 @@ def test_language(spark, docs, none):
     assert langid.identify(none, none["doc_id"].isNotNull()).count() == 0
 
 
+def test_language_sample_is_bounded_whatever_the_skew(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LEAST_PER_LANG", 8)
+    fitted = []
+    monkeypatch.setattr(langid, "fit_ftrl", lambda rows, n: fitted.append(
+        [r[0] for r in rows]) or np.zeros((langid.DIM, n)))
+    rows = [(str(i), f"the cat number {chr(97 + i % 26)}{chr(97 + i // 26)}", "en") for i in range(600)]
+    rows += [("1", "le chat", "fr")] * 200 + [("2", "der Hund", "de"), ("3", None, "de"), ("4", "x", None)]
+    langid.train(spark.createDataFrame(rows, "doc_id string, text string, lang string"), 24)
+    # Eight English rows, every fourth of them held for calibration; repeated rows teach once.
+    assert sorted(fitted[0]) == [0, *[1] * 6, 2]
+
+
+def test_dictionary_counts_all_documents(spark, monkeypatch):
+    monkeypatch.setattr(secret_scan, "DICTIONARY_WORDS", 2)
+    rows = [(i, "Common words" if i % 2 else "common pad") for i in range(3000)] + [(None, None), (1, "")]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    assert secret_scan.dictionary(table) == ["common", "words"]
+
+
 def test_secrets(docs, none, texts):
     rows = secret_scan.scan(docs).collect()
     text = dict(texts[:-1])

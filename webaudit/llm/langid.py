@@ -17,6 +17,7 @@ DIM = 1 << 15          # hashed n-gram features
 ORDERS = 3             # n-grams of 1 to 3 characters
 SAMPLE_ROWS = 4096     # labelled rows the classifier is fitted on, shared evenly by the languages
 LEAST_PER_LANG = 64
+SALTS = 256            # parts in which a language's rows are ranked first
 CALIBRATION = 4        # every fourth sampled row sets the temperature and is not fitted on
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-5
@@ -131,8 +132,8 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
 
     Document frequencies come from all rows. The classifier itself is fitted on a bounded
     sample: at most ``sample_rows`` rows in all (``LEAST_PER_LANG`` for each language at
-    least), those of smallest hash in each language. Rows without a language or a letter teach
-    nothing. No labelled row: a model that knows no language.
+    least), those of smallest hash in each language; repeated rows teach once. Rows without a
+    language or a letter teach nothing. No labelled row: a model that knows no language.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()
                           & (F.col("lang") != UNDETERMINED))
@@ -142,9 +143,19 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     if not langs:
         return Model([], idf, np.zeros((DIM, 0)), 1.0)
     each = max(LEAST_PER_LANG, sample_rows // len(langs))
+    keyed = labelled.select("lang", "doc_id", "text",
+                            F.xxhash64("doc_id", "text", F.lit("sample")).alias("hash"))
+    # The hash of each language's last sampled row, from the best of every salt: one
+    # language may hold most rows, and the texts of the others never move.
+    salted = W.partitionBy("lang", F.pmod("hash", F.lit(SALTS))).orderBy("hash")
+    best = (keyed.select("lang", "hash").distinct()
+            .withColumn("rank", F.row_number().over(salted)).where(F.col("rank") <= each))
+    last = (best.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("hash")))
+            .where(F.col("rank") <= each).groupBy("lang").agg(F.max("hash").alias("last")).collect())
+    limits = F.create_map(*[F.lit(v) for r in last for v in (r["lang"], r["last"])])
     order = W.partitionBy("lang").orderBy("hash", "doc_id", "text")
-    chosen = (labelled.select("lang", "doc_id", "text",
-                              F.xxhash64("doc_id", F.lit("sample")).alias("hash"))
+    chosen = (keyed.where(F.col("hash") <= limits[F.col("lang")])
+              .dropDuplicates(["lang", "hash"])
               .withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= each))
 
     def vectors(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -23,7 +23,6 @@ KNOWN_NUMBER = r"^[0-9][0-9_./=-]*$"
 
 CONTEXT = 48              # characters read on either side for neighbouring words and paths
 SAMPLE_FINDINGS = 5000    # labelled findings the forest is fitted on
-DICTIONARY_DOCS = 2000    # documents the dictionary is taken from
 DICTIONARY_WORDS = 2000
 TREES, DEPTH, SEED = 20, 6, 7
 FEATURES = ["length", "switches", "switch_rate", "digit_share", "letter_kinds", "distinct_share",
@@ -51,10 +50,11 @@ def candidates(docs: DataFrame) -> DataFrame:
 
 
 def dictionary(docs: DataFrame) -> list[str]:
-    """Frequent letter runs (four letters or more) of a bounded sample of documents."""
-    some = (docs.where(F.col("text").isNotNull()).select("text", F.xxhash64("doc_id").alias("h"))
-            .orderBy("h", "text").limit(DICTIONARY_DOCS))
-    words = some.select(F.explode(F.regexp_extract_all(
+    """The ``DICTIONARY_WORDS`` letter runs (four letters or more) most frequent in all documents.
+
+    Counts combine before the shuffle, so a frequent word costs a row per task; ties go by word.
+    """
+    words = docs.select(F.explode(F.regexp_extract_all(
         F.lower("text"), F.lit(r"(\p{L}{4,24})"), F.lit(1))).alias("word"))
     rows = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(DICTIONARY_WORDS)
     return [r["word"] for r in rows.collect()]
