@@ -17,7 +17,6 @@ DIM = 1 << 15          # hashed n-gram features
 ORDERS = 3             # n-grams of 1 to 3 characters
 SAMPLE_ROWS = 4096     # labelled rows the classifier is fitted on, shared evenly by the languages
 LEAST_PER_LANG = 64
-SALTS = 256            # parts in which a language's rows are ranked first
 CALIBRATION = 4        # every fourth sampled row sets the temperature and is not fitted on
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 1e-4, 1e-5
@@ -127,6 +126,13 @@ def document_frequencies(docs: DataFrame) -> tuple[np.ndarray, int]:
     return df[:DIM], int(df[DIM])
 
 
+def hash_limit(wanted: int, rows: int) -> int:
+    """The 64-bit hash up to which about ``wanted`` of ``rows`` different rows lie."""
+    if rows <= wanted:
+        return (1 << 63) - 1
+    return (1 << 64) * wanted // rows - (1 << 63)
+
+
 def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Fit on ``doc_id, text, lang`` rows.
 
@@ -145,14 +151,11 @@ def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     each = max(LEAST_PER_LANG, sample_rows // len(langs))
     keyed = labelled.select("lang", "doc_id", "text",
                             F.xxhash64("doc_id", "text", F.lit("sample")).alias("hash"))
-    # The hash of each language's last sampled row, from the best of every salt: one
-    # language may hold most rows, and the texts of the others never move.
-    salted = W.partitionBy("lang", F.pmod("hash", F.lit(SALTS))).orderBy("hash")
-    best = (keyed.select("lang", "hash").distinct()
-            .withColumn("rank", F.row_number().over(salted)).where(F.col("rank") <= each))
-    last = (best.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("hash")))
-            .where(F.col("rank") <= each).groupBy("lang").agg(F.max("hash").alias("last")).collect())
-    limits = F.create_map(*[F.lit(v) for r in last for v in (r["lang"], r["last"])])
+    # Of each language only about twice the rows asked for, those of smallest hash, move at
+    # all: the cut follows from its number of distinct rows, which is off by a few percent.
+    distinct = keyed.groupBy("lang").agg(F.approx_count_distinct("hash").alias("n")).collect()
+    limits = F.create_map(*[F.lit(v) for r in distinct
+                            for v in (r["lang"], hash_limit(2 * each + LEAST_PER_LANG, r["n"]))])
     order = W.partitionBy("lang").orderBy("hash", "doc_id", "text")
     chosen = (keyed.where(F.col("hash") <= limits[F.col("lang")])
               .dropDuplicates(["lang", "hash"])
