@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.lets import first_per_key
 from ..functions.texts import decode_xml_entities, trim_space
-from ..functions.urls import normalize_url, path_matches, robots_to_regex_col, url_parts
+from ..functions.urls import normalize_url, path_matches, url_parts
 from ..operators.skew import salted_join
 from ..session import cut_lineage
 
@@ -66,9 +66,8 @@ def parse_robots(files: DataFrame) -> DataFrame:
 
 
 def robots_by_site(rules: DataFrame) -> DataFrame:
-    """One row per site with its compiled patterns (a robots file bounds the row's size)."""
-    entry = F.struct(F.length("pattern").alias("size"),
-                     robots_to_regex_col(F.col("pattern")).alias("regex"))
+    """One row per site with its patterns, cut up (a robots file bounds the row's size)."""
+    entry = pattern_parts(F.col("pattern"))
 
     def of(kind: str) -> Column:
         return F.collect_set(F.when(F.col("kind") == kind, entry))
@@ -77,15 +76,49 @@ def robots_by_site(rules: DataFrame) -> DataFrame:
         of("disallow").alias("disallow"), of("allow").alias("allow"))
 
 
+def pattern_parts(pattern: Column) -> Column:
+    """A robots pattern cut at its stars: a head, what follows it in order, and a tail that must
+    end the path if the pattern ends in ``$`` (``exact`` if it has no star either)."""
+    anchored = F.endswith(pattern, F.lit("$"))
+    parts = F.split(F.when(anchored, F.regexp_replace(pattern, r"\$$", "")).otherwise(pattern),
+                    r"\*", -1)
+    n = F.size(parts)
+    return F.struct(
+        F.length(pattern).alias("size"), F.get(parts, F.lit(0)).alias("head"),
+        F.slice(parts, F.lit(2), F.greatest(n - F.when(anchored, 2).otherwise(1), F.lit(0)))
+        .alias("inner"),
+        F.when(anchored & (n > 1), F.get(parts, n - 1)).alias("tail"),
+        (anchored & (n == 1)).alias("exact"))
+
+
+def pattern_matches(path: Column, p: Column) -> Column:
+    """Whether a path matches ``pattern_parts``.
+
+    Each part is taken at its earliest place, which leaves the most room to those behind it. A
+    regular expression from a column would be compiled for every path and pattern.
+    """
+    def step(at: Column, part: Column) -> Column:
+        found = F.position(part, path, at + 1)
+        return F.when((at < 0) | (part == ""), at).when(
+            found > 0, found - 1 + F.length(part)).otherwise(-1)
+
+    begun = F.when(F.startswith(path, p["head"]), F.length(p["head"])).otherwise(-1)
+    return F.aggregate(
+        p["inner"], begun, step,
+        lambda at: (at >= 0) & (~p["exact"] | (at == F.length(path))) & (
+            p["tail"].isNull() | (F.endswith(path, p["tail"])
+                                  & (F.length(path) - F.length(p["tail"]) >= at))))
+
+
 def longest_match(patterns: Column, path: Column) -> Column:
-    hits = F.filter(patterns, lambda p: F.rlike(path, p["regex"]))
+    """The size of the longest pattern that matches; -1 without one."""
+    hits = F.filter(patterns, lambda p: pattern_matches(path, p))
     return F.coalesce(F.array_max(F.transform(hits, lambda p: p["size"])), F.lit(-1))
 
 
 def allowed_by(disallow: Column, allow: Column, path: Column) -> Column:
     """The longest matching pattern decides, and Allow wins ties."""
-    blocked, opened = longest_match(disallow, path), longest_match(allow, path)
-    return F.when(disallow.isNull() | (blocked == -1), True).otherwise(opened >= blocked)
+    return longest_match(allow, path) >= longest_match(disallow, path)
 
 
 def robots_allowed(urls: DataFrame, rules: DataFrame, url: str = "url") -> DataFrame:
