@@ -12,9 +12,20 @@ from pyspark.sql import functions as F
 
 from .common import cut_lineage, table, text_columns
 
-# A candidate: a long token with a digit, or a quoted value that is assigned to a name.
-CANDIDATE = (r"""(?<![A-Za-z0-9_+/=.-])(?=[A-Za-z_+/=.-]{0,64}[0-9])[A-Za-z0-9_+/=-]{16,}"""
-             r"""|(?<=[=:][\x20]{0,2}["'])[^"'\s]{8,}(?=["'])""")
+# Where a value of a secret's name begins: token=, api_key: , "password": , secretKey = .
+ASSIGNED = (r"""(?i:token|secret|passw(?:or)?d|pwd|api[_-]?key|access[_-]?key|private[_-]?key|auth(?!or))"""
+            r"""(?:[A-Z0-9_-][A-Za-z0-9_-]{0,32})?["']?[\x20\t]{0,2}[=:][\x20\t]{0,2}""")
+# A candidate: the password of user:password@ in a URL; a value assigned to a secret's name; a
+# quoted value assigned to any name; a long token, with its parts joined by dots. Every loop
+# without bound is of one character class, which the JVM matches without recursion.
+CANDIDATE = (r"""(?<=:)(?<=://[^\s/:@]{0,255}:)[^\s/]+(?=@)"""
+             rf"""|(?<=[=:][\x20\t]{{0,2}})(?<={ASSIGNED})[^\s"'&]+(?:&(?![\w-]{{1,64}}=)[^\s"'&]*){{0,64}}"""
+             r"""(?<=[^,;.)}\]>])(?<=\S{4})"""
+             rf"""|(?<=")(?<={ASSIGNED}")[^"\r\n]{{4,}}(?=")"""
+             rf"""|(?<=')(?<={ASSIGNED}')[^'\r\n]{{4,}}(?=')"""
+             r"""|(?<=[=:][\x20]{0,2}["'])[^"'\s]{8,}(?=["'])"""
+             r"""|(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-][A-Za-z0-9_+/.-]{14,}[A-Za-z0-9_+/-]"""
+             r"""(?:={1,2}(?![A-Za-z0-9_+/"'=-]))?""")
 OPEN, CLOSE = "\x01", "\x02"  # marks; in the text they become spaces first
 
 # Names secrets are assigned to, and shapes that never are secrets (fixed values).
