@@ -292,6 +292,21 @@ def test_secret_candidates_reach_joined_short_and_digitless_values(spark):
         (i, m.start(), m.group()) for i, t in rows for m in pattern.finditer(t))
 
 
+def test_weak_labels_know_bare_env_and_json_secrets(spark):
+    rng = random.Random(5)
+    token = lambda n=40: "".join(rng.choices("0123456789abcdef", k=n))
+    rows = [f'the token = "{token()}" is set' for _ in range(60)]
+    rows += [f"see internationalization/of-all-documents card {rng.randrange(10**15, 10**16)}" for _ in range(60)]
+    bare, env, json = (f"Bearer {token()} sent", f"API_KEY={token()}", f'{{"api_key": "{token()}"}}')
+    table = spark.createDataFrame([(i, t) for i, t in enumerate([*rows, bare, env, json])], "doc_id long, text string")
+    found = secret_scan.features(secret_scan.candidates(table), secret_scan.dictionary(table))
+    labels = secret_scan.weak_labels(found).select("doc_id", "label").distinct().collect()
+    assert {(r["doc_id"], r["label"]) for r in labels if r["doc_id"] >= 120} == {(121, 1.0), (122, 1.0)}
+    got = secret_scan.scan(table).collect()
+    assert all(r["is_secret"] == (r["doc_id"] < 60 or r["doc_id"] >= 120) for r in got)
+    assert len({r["doc_id"] for r in got if r["is_secret"]}) == 63
+
+
 def test_personal_data(docs, none, texts):
     patterns = (r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
                 r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+",

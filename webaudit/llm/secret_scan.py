@@ -37,7 +37,10 @@ SAMPLE_FINDINGS = 5000    # labelled findings the forest is fitted on
 DICTIONARY_WORDS = 2000
 TREES, DEPTH, SEED = 20, 6, 7
 FEATURES = ["length", "switches", "switch_rate", "digit_share", "letter_kinds", "distinct_share",
-            "covered", "in_path", "assigned", "quoted", "named", "known_before"]
+            "covered", "in_path", "assigned", "quoted", "named", "known_before",
+            "mixed_run", "login", "is_name"]
+CONTEXT_FEATURES = ["in_path", "assigned", "quoted", "named", "known_before", "login"]
+MIXED_RUN, MIXED_RATE = 16, 0.5  # a run of letters and digits, or of changing case, that may be random
 
 
 def candidates(docs: DataFrame) -> DataFrame:
@@ -97,6 +100,8 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
     known = F.filter(letters, lambda w: F.array_contains(F.lit(words), w)) if words else F.array()
     covered = F.char_length(F.array_join(known, "")) / length
     before = F.lower(F.col("before"))
+    runs_mixed = F.filter(F.regexp_extract_all(value, F.lit("([A-Za-z0-9_+-]{2,})"), F.lit(1)),
+                          lambda r: r.rlike("[0-9]") & r.rlike("[A-Za-z]"))
     neighbour = F.regexp_extract(before, r"(\p{L}{2,})\P{L}*$", 1)
     n = {
         "length": F.char_length(value), "switches": runs - 1, "switch_rate": (runs - 1) / length,
@@ -109,23 +114,35 @@ def features(found: DataFrame, words: list[str]) -> DataFrame:
                     | F.col("after").rlike(r"^[/@.][A-Za-z]")).cast("int"),
         "assigned": F.col("before").rlike(r"""[=:]\s{0,2}["']?$""").cast("int"),
         "quoted": F.col("after").rlike(r"""^["']""").cast("int"),
-        "named": F.regexp_extract(F.col("before"), r"""([\w-]+)\s{0,2}[=:]\s{0,2}["']?$""", 1)
+        "named": F.regexp_extract(F.col("before"), r"""([\w-]+)["']?\s{0,2}[=:]\s{0,2}["']?$""", 1)
         .rlike(SECRET_NAME).cast("int"),
         "known_before": (F.array_contains(F.lit(words), neighbour) if words
                          else F.lit(False)).cast("int"),
+        "mixed_run": F.coalesce(F.array_max(F.transform(runs_mixed, F.char_length)), F.lit(0)),
+        "login": (F.col("before").rlike(r"//[^\s/:@]*:$") & F.col("after").rlike("^@")).cast("int"),
+        "is_name": F.col("after").rlike(r"""^["']?\s{0,2}[=:]""").cast("int"),
     }
     return found.select("*", *[n[c].cast("double").alias(c) for c in FEATURES])
 
 
 def weak_labels(found: DataFrame) -> DataFrame:
-    """Findings labelled by rule, where no labelled ones are given: 1 for a long mixed value
-    that is assigned to a secret's name, 0 for plain numbers, paths and values without a name;
-    the rest stays unlabelled."""
+    """Findings labelled by rule, where no labelled ones are given: 1 for the password of a URL and
+    for a long mixed value that is assigned to a secret's name, 0 for plain numbers, names that
+    are assigned to, and paths and values without a name whose own characters look like words.
+
+    Other values without a name may be secrets and stay unlabelled. Each value labelled 1 for its
+    name is also given bare, so that the forest learns its shape besides its neighbours.
+    """
     secret = ((F.col("named") == 1) & (F.col("assigned") == 1) & (F.col("length") >= 16)
-              & (F.col("letter_kinds") >= 2))
-    other = F.col("value").rlike(KNOWN_NUMBER) | (F.col("in_path") == 1) | (F.col("assigned") == 0)
-    label = F.when(secret, 1.0).when(other & (F.col("named") == 0), 0.0)
-    return found.withColumn("label", label).where(F.col("label").isNotNull())
+              & (F.col("letter_kinds") >= 2) & (F.col("is_name") == 0))
+    random = (F.col("mixed_run") >= MIXED_RUN) | (
+        (F.col("switch_rate") >= MIXED_RATE) & F.col("value").rlike("[a-z]") & F.col("value").rlike("[A-Z]"))
+    other = (F.col("value").rlike(KNOWN_NUMBER) | (F.col("is_name") == 1)
+             | ((F.col("in_path") == 1) | (F.col("assigned") == 0)) & ~random)
+    label = F.when((F.col("login") == 1) | secret, 1.0).when(other & (F.col("named") == 0), 0.0)
+    labelled = found.withColumn("label", label).where(F.col("label").isNotNull())
+    bare = labelled.where(secret & random).withColumns({c: F.lit(0.0) for c in CONTEXT_FEATURES})
+    return labelled.unionByName(bare)
 
 
 def train(labelled: DataFrame, rows: int = SAMPLE_FINDINGS) -> RandomForestClassificationModel | None:
