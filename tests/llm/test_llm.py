@@ -147,6 +147,26 @@ def test_media(docs, none):
     assert media.media_features(media.media_table(none)).count() == 0
 
 
+def test_media_frames_cover_every_sample():
+    def feature(payload):
+        return [x.tolist() for x in media.fingerprint(np.frombuffer(payload, np.uint8))]
+
+    def best(payload):
+        return media._band_peaks(np.frombuffer(payload, np.uint8))[1]
+
+    rng = random.Random(6)
+    for n in (576, 1152, 5760, 576 * 17):
+        text = bytes(rng.choices(range(32, 127), k=n))
+        for at in (0, 1, n // 2, n - 65, n - 64, n - 1):  # one other sample, anywhere
+            assert not np.array_equal(best(text), best(text[:at] + bytes([255 - text[at]]) + text[at + 1:]))
+        assert feature(text) != feature(text[:-64] + bytes(rng.choices(range(32, 127), k=64)))
+    short = [t.ljust(576, b"\xff") for t in (b"", b"a", b"b", b"one", b"Two Words", b"x" * 300, b"the cat " * 60)]
+    short += [bytes(rng.choices(b"abcdefgh ", k=k)).ljust(576, b"\xff") for k in range(20, 577, 4)]
+    found = [feature(p) for p in short]
+    assert all(len(time) for time, _ in found)
+    assert len(set(map(str, found[6:]))) == len(found[6:])
+
+
 def test_ann(spark):
     rng = np.random.default_rng(2)
     v = rng.standard_normal((700, 24)).astype(np.float32)

@@ -18,6 +18,7 @@ from .common import scratch_path, table, text_columns
 BLOCK = 576          # a payload is padded to a multiple of it
 RATE = 8000
 WINDOW, HOP = 512, 288
+LEAST_FRAMES = 16    # payloads of fewer hops have a shorter one, so that short ones yield pairs too
 BANDS = (1, 8, 16, 32, 64, 128, 257)  # spectrum bins; one peak a band and neighbourhood
 REACH = 4            # frames on either side that a peak must exceed
 FAN, SPAN = 3, 63    # pairs a peak begins, and frames between the two peaks of a pair
@@ -45,8 +46,16 @@ def from_wav(media: bytes) -> bytes:
 
 
 def _band_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Strongest bin and its power for each frame (rows) and band (columns)."""
-    frames = np.lib.stride_tricks.sliding_window_view(samples, WINDOW)[::HOP]
+    """Strongest bin and its power for each frame (rows) and band (columns).
+
+    Frames begin and end in silence beyond the samples, so each sample is inside a window. Half a
+    window on either side mirrors the samples: a step there would drown the first and last.
+    """
+    hop = max(1, min(HOP, len(samples) // LEAST_FRAMES))
+    half = WINDOW // 2
+    mirrored = np.pad(samples, half, mode="symmetric")
+    padded = np.pad(mirrored, (half, half + -len(samples) % hop), constant_values=128)
+    frames = np.lib.stride_tricks.sliding_window_view(padded, WINDOW)[::hop]
     hann = np.hanning(WINDOW + 1)[:-1].astype(np.float32)
     bins, powers = [], []
     for at in range(0, len(frames), FRAMES_AT_ONCE):  # bounds memory for long recordings
@@ -64,7 +73,7 @@ def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
     A peak is a band's strongest bin in a frame that exceeds the frames before it within reach
     and is not below those after. Each peak is paired with the next ``FAN`` later peaks.
-    Silence has no peaks.
+    Silence has no peaks. Below ``LEAST_FRAMES * HOP`` samples the hop is a sixteenth of them.
     """
     bins, power = _band_peaks(samples)
     n = len(power)
