@@ -353,6 +353,27 @@ def test_personal_data(docs, none, texts):
     assert pii.personal_data(none).count() == 0
 
 
+def test_personal_data_in_spaced_short_and_long_repeats(spark):
+    long = "x" * 90 + "@" + ".".join(["y" * 70] * 12) + ".com"
+    tests = [("+1 (017) 555-5036", "(017) 555-5036"), ("+1 (017) 555-5036", "555-5036"),
+             ("+1 (555) 123-4567", "555 123 4567"), ("+1 (555) 123-4567", "1 555 123 4567"),
+             ("jane@example.com", "jane (at) example (dot) com"), ("jane@example.com", "jane[at]example.com"),
+             (long, long.replace("@", "(at)"))]
+    rows = [f"call {a} or write; later {b} again" for a, b in tests]
+    # Numbers around it stay outside.
+    rows += ["call +1 (555) 123-4567 or, in 2019 555-123-4567 7 times"]
+    tests += [("", "555-123-4567")]
+    base = [f"mail a{i}@b.example.com and a{i}@b.example.com, +1 (017) 555-{i:04} +1 (017) 555-{i:04}." for i in range(200)]
+    table = spark.createDataFrame(list(enumerate(rows + base)), "doc_id long, text string")
+    spans = {r["doc_id"]: r["spans"] for r in pii.personal_data(table).where("doc_id < 8").collect()}
+    for i, (_, b) in enumerate(tests):
+        kind, at = "email" if "at" in b else "phone", rows[i].rindex(b) if i < 7 else rows[i].index(b)
+        assert f"{kind}:{at}:{at + len(b)}" in spans[i].split(","), (rows[i], spans[i])
+    for text, want in (("card 4111 1111 1111 1112", ["4111 1111 1111 1112"]),
+                       ("10.0.0.1 555-123-4567 is (555-123-4567)", ["10.0.0.1", "555-123-4567", "555-123-4567"])):
+        assert [text[a:b] for a, b, _, _ in pii.tokens(text, pii.base_spans(text))] == want
+
+
 def test_pieces(docs, none, texts):
     import public_tokenizers
 

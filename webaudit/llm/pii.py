@@ -25,16 +25,18 @@ CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile("[0-9]")
 
-# Tokens that might be personal data though no pattern takes them.
-NUMBER = re.compile(r"(?<![A-Za-z0-9.@/-])\+?[0-9][0-9().-]{4,40}[0-9](?![A-Za-z0-9@/-])")
-AT = re.compile(r"@|\(at\)|\[at\]|\{at\}", re.IGNORECASE)
-HOST = re.compile(r"[A-Za-z0-9-]{1,64}(?:(?:\.|\(dot\)|\[dot\])[A-Za-z0-9-]{1,64}){0,8}", re.IGNORECASE)
+# Tokens that might be personal data though no pattern takes them. Numbers are of one group, or of
+# groups with a space between, as in "(017) 555-5036".
+GROUP = re.compile(r"(?<![A-Za-z0-9.@/-])\+?\(?[0-9](?:[0-9().-]*[0-9])?\)?(?![A-Za-z0-9@/-])")
+LEAST_DIGITS = 6   # of a number in several groups, and of one that is the end of another
+AT = re.compile(r"@|\x20{0,2}(?:\(at\)|\[at\]|\{at\})\x20{0,2}", re.IGNORECASE)
+DOT = re.compile(r"\x20{0,2}(?:\(dot\)|\[dot\]|\{dot\})\x20{0,2}", re.IGNORECASE)
+HOST = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.|{DOT.pattern})[A-Za-z0-9-]++)*+", re.IGNORECASE)
 
 LABELS = ("none", *KINDS)
 NOISE = 0.2        # share of the "none" labels of the weakly labelled tokens that may be wrong
 STRONGEST = 5.0    # bound of a learned potential
 ROUNDS, DAMPING = 12, 0.5
-MAX_LOCAL = 64
 
 
 def luhn(digits: str) -> bool:
@@ -80,8 +82,8 @@ def _key(token: str) -> str:
     it has three dots; an address without its disguise."""
     low = AT.sub("@", token.lower())
     if "@" in low:
-        return "a" + re.sub(r"\(dot\)|\[dot\]", ".", low)
-    if low.count(".") == 3:
+        return "a" + DOT.sub(".", low)
+    if low.count(".") == 3 and "+" not in low:
         return "d" + low
     return "n" + "".join(DIGIT.findall(low))[-9:]
 
@@ -99,16 +101,79 @@ def _code(token: str) -> int:
 CODES = 128
 
 
+def _digits(token: str) -> str:
+    return "".join(DIGIT.findall(token))
+
+
+def _numbers(text: str, base: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """Numbers outside the base spans. Of groups in a row, those that make up the end of a base
+    number are one, a long group is one, and what lies between is one if it may be a number."""
+    known = {d[i:] for a, k, b in base if k >= 2 for d in [_digits(text[a:b])]
+             for i in range(len(d) - LEAST_DIGITS + 1)}
+    spans = sorted((a, b) for a, _, b in base)
+    runs: list[list[tuple[int, int, str]]] = []
+    at = end = 0
+    for m in GROUP.finditer(text):
+        a, b = m.span()
+        while at < len(spans) and spans[at][0] < b:
+            end = max(end, spans[at][1])
+            at += 1
+        if a < end:
+            continue
+        group = (a, b, _digits(m[0]))
+        if runs and text[runs[-1][-1][1]:a] == " " and m[0][0] != "+":
+            runs[-1].append(group)
+        else:
+            runs.append([group])
+
+    def trimmed(groups: list[tuple[int, int, str]]) -> tuple[int, int]:
+        a, b = groups[0][0], groups[-1][1]
+        b -= text[b - 1] == ")"
+        return a + (text[a] == "(" and ")" not in text[a:b]), b
+
+    def rest(groups: list[tuple[int, int, str]]) -> Iterator[tuple[int, int]]:
+        if len(groups) > 1 and LEAST_DIGITS <= sum(len(d) for _, _, d in groups) < 20:
+            yield trimmed(groups)
+        else:
+            for g in groups:
+                a, b = trimmed([g])
+                if b - a >= 6:
+                    yield a, b
+
+    for run in runs:
+        i = start = 0
+        while i < len(run):
+            digits, found = "", 0
+            for j in range(i, len(run)):
+                digits += run[j][2]
+                if len(digits) > 21:
+                    break
+                if digits in known or digits.lstrip("0") in known:
+                    found = j + 1
+            if not found and len(run[i][2]) >= 9:
+                found = i + 1
+            if found:
+                yield from rest(run[start:i])
+                yield trimmed(run[i:found])
+                i = start = found
+            else:
+                i += 1
+        yield from rest(run[start:])
+
+
 def tokens(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int, str]]:
-    """``(start, end, label, key)`` of base spans (label: kind + 1) and other tokens (0), in order."""
+    """``(start, end, label, key)`` of base spans (label: kind + 1) and other tokens (0), in order.
+
+    A number of fewer than nine digits has the key of a longer one that ends with it, if there is one.
+    """
     nodes = [(a, b, k + 1) for a, k, b in base]
     taken = [(a, b) for a, _, b in base]
     other: list[tuple[int, int]] = []
     if DIGIT.search(text):
-        other += [m.span() for m in NUMBER.finditer(text)]
+        other += _numbers(text, base)
     for m in AT.finditer(text):
-        start, least = m.start(), max(0, m.start() - MAX_LOCAL)
-        while start > least and LOCAL.match(text, start - 1):
+        start = m.start()
+        while start > 0 and LOCAL.match(text, start - 1):
             start -= 1
         if start < m.start() and (host := HOST.match(text, m.end())):
             other.append((start, host.end()))
@@ -119,7 +184,10 @@ def tokens(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
         if a >= last and not (at < len(taken) and taken[at][0] < b):
             nodes.append((a, b, 0))
             last = b
-    return [(a, b, k, _key(text[a:b])) for a, b, k in sorted(nodes)]
+    keyed = [(a, b, k, _key(text[a:b])) for a, b, k in sorted(nodes)]
+    ends = {key[-n:]: key for _, _, _, key in keyed if key[0] == "n" and len(key) > 9
+            for n in range(LEAST_DIGITS, 9)}
+    return [(a, b, k, ends.get(key[1:], key) if key[0] == "n" else key) for a, b, k, key in keyed]
 
 
 def links(nodes: list[tuple[int, int, int, str]]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
