@@ -34,6 +34,15 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return kept.select(*[F.col(c).cast(kinds[c]).alias(c) for c in COLUMNS])
 
 
+def keyed(docs: DataFrame, lost: DataFrame) -> DataFrame:
+    """Rows of ``docs`` with a doc_id, and the rows ``lost`` without one, with a ``key``: the doc_id,
+    or a number above all of them, which is written once and so stays the same."""
+    lost = cut_lineage(lost.withColumn(
+        "key", F.lit(ngram_join.NO_ID) + F.monotonically_increasing_id()), "without-id")
+    return docs.where("doc_id IS NOT NULL").withColumn(
+        "key", F.col("doc_id").cast("long")).unionByName(lost)
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group with five-word shingle sets of similarity 0.8 or more.
 
@@ -42,25 +51,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     prepared(spark)
     docs = docs.select(*COLUMNS)
-    groups = ngram_join.jaccard_groups(docs, words=5, percent=80)
+    whole = keyed(docs, docs.where("doc_id IS NULL").dropDuplicates(["text"]))
+    groups = ngram_join.jaccard_groups(
+        whole.select(F.col("key").alias("doc_id"), "text"), words=5, percent=80)
     keep = cut_lineage(groups.where(
-        (F.col("doc_id") == F.coalesce("comp", "doc_id"))).select("doc_id").distinct(), "keep")
-    kept = docs.join(keep, "doc_id", "left_semi")
-    repeated = kept.groupBy("doc_id").count().where("count > 1").select("doc_id")
-    once = kept.join(repeated, "doc_id", "left_anti").unionByName(
-        kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
-    lost = docs.where(F.col("doc_id").isNull()).dropDuplicates(["text"])
-    return once.unionByName(lost).select(*COLUMNS)
+        F.col("doc_id") == F.coalesce("comp", "doc_id")).select(
+        F.col("doc_id").alias("key")).distinct(), "keep")
+    kept = whole.join(keep, "key", "left_semi")
+    repeated = kept.groupBy("key").count().where("count > 1").select("key")
+    once = kept.join(repeated, "key", "left_anti").unionByName(
+        kept.join(repeated, "key", "left_semi").dropDuplicates(["key"]))
+    return once.select(*COLUMNS)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each secret replaced by ``[SECRET]`` wherever the document has it."""
+    """All documents, with each secret replaced by ``[SECRET]`` wherever the document has it.
+
+    Longer secrets go first, so that no part of one stays where it holds another.
+    """
     docs = docs.select(*COLUMNS)
-    found = cut_lineage(secret_scan.scan(docs).where("is_secret").select(
-        "doc_id", "value").where("doc_id IS NOT NULL").distinct(), "secrets")
-    per_doc = found.groupBy("doc_id").agg(F.sort_array(F.collect_list("value"), False).alias("found"))
-    clean = F.aggregate("found", F.col("text"), lambda t, s: F.replace(t, s, F.lit(REDACTED)))
-    joined = docs.join(per_doc, "doc_id", "left").withColumn(
+    whole = keyed(docs, docs.where("doc_id IS NULL"))
+    found = cut_lineage(secret_scan.scan(whole.select(F.col("key").alias("doc_id"), "text")).where(
+        "is_secret").select(F.col("doc_id").alias("key"), "value").distinct(), "secrets")
+    per_doc = found.groupBy("key").agg(F.sort_array(F.collect_list(
+        F.struct(F.char_length("value").alias("n"), "value")), False).alias("found"))
+    clean = F.aggregate("found", F.col("text"), lambda t, s: F.replace(t, s["value"], F.lit(REDACTED)))
+    joined = whole.join(per_doc, "key", "left").withColumn(
         "clean", F.when(F.col("found").isNull(), F.col("text")).otherwise(clean))
     return joined.select(
         "doc_id", F.col("clean").alias("text"), "lang", "source",

@@ -422,3 +422,24 @@ def test_pipeline(spark):
     assert clean.count() == docs.count() and clean.columns == docs.columns
     assert clean.where("text LIKE '%[SECRET]%'").count() == docs.where(
         "text RLIKE '(?i)token = \"[0-9a-f]{40}'").count()
+
+
+def test_pipeline_rows_without_id(spark):
+    import corpus_pipeline as c
+
+    text = [f"{c} one two three four five six seven eight nine ten eleven twelve" * 9 for c in ("red", "blue", "green")]
+    near = [t + " thirteen" for t in text]
+    token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"
+    rows = [(1, text[0]), (None, near[0]), (None, text[1]), (None, near[1]), (2, text[2]), (2, text[2]),
+            (None, ""), (None, ""), (None, None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema)
+    got = [(r["doc_id"], r["text"]) for r in c.near_duplicates(spark, table, SF).collect()]
+    assert len(got) == 5 and {(1, text[0]), (2, text[2]), (None, ""), (None, None)} < set(got)
+    assert len([t for i, t in got if i is None and t in (text[1], near[1])]) == 1
+    rows = [(None, f'token = "{token}" and "{token}" again'), (None, "plain words"), (1, f'token = "{token[::-1]}"'),
+            (None, "card 6776876145712345"), (None, None)]
+    table = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], schema)
+    got = [(r["doc_id"], r["text"], r["n_chars"]) for r in c.secrets(spark, table, SF).collect()]
+    want = [(i, t and t.replace(token, c.REDACTED).replace(token[::-1], c.REDACTED)) for i, t in rows]
+    assert sorted(map(str, got)) == sorted(str((i, t, len(t or ""))) for i, t in want)
