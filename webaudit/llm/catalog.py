@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, conversation, langid, media, ngram_join, packing, pieces, pii, secret_scan, sharding, spelling, warc
+from . import ann, conversation, decontamination, langid, media, ngram_join, packing, pieces, pii, secret_scan, sharding, spelling, warc
 
 QUERIES = {
     "op6_pii": pii.op6_pii,
@@ -15,11 +15,13 @@ QUERIES = {
     "op5_packing": packing.op5_packing,
     "op7_sharding": sharding.op7_sharding,
     "op10_media": media.op10_media,
+    "op11_decontamination": decontamination.op11_decontamination,
     "op12_spelling": spelling.op12_spelling,
     "op13_conversation": conversation.op13_conversation,
 }
 SQL = {
     "op3_ann": ann.SQL,
     "op4_warc": warc.SQL,
+    "op11_decontamination": decontamination.SQL,
     "op12_spelling": spelling.SQL,
 }
