@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,7 +13,8 @@ from ..session import cut_lineage, scratch_path
 HEAVY_KEYS = 1024  # a lookup broadcasts at most this many keys
 BATCH_ROWS = 512   # rows of an Arrow batch: bounds a Python worker's memory with long texts
 
-__all__ = ["cut_lineage", "drop_folder", "lookup", "parts_for", "prepared", "scratch_path", "table"]
+__all__ = ["cut_lineage", "drop_folder", "lookup", "parts_for", "prepared", "scratch_path", "stored",
+           "table"]
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -52,6 +53,13 @@ def drop_folder(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """``df`` written to the shared folder and read again, and how to delete it once it was read."""
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path), lambda: drop_folder(spark, path)
+
+
 def text_columns(docs: DataFrame, *names: str) -> DataFrame:
     """Only the named columns: extra ones, whatever they are called, take no part."""
     return docs.select(*[F.col(f"`{c}`") for c in names])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage
+from .common import cut_lineage, stored
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def components(links: DataFrame) -> DataFrame:
         return df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where(
             "a <> b").distinct()
 
-    edges = cut_lineage(ordered(links), "links")
+    edges, drop = stored(ordered(links), "links")
     before = None
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -32,11 +32,14 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = ordered(large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                         .unionByName(least.select("a", F.col("m").alias("b"))))
-        edges = cut_lineage(small, "links")
+        last, (edges, drop) = drop, stored(small, "links")
+        last()
         now = edges.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b") % 1000003), F.lit(0))
                         ).first()
         if now == before:
             break
         before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(
-        edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct())
+    found = cut_lineage(edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(
+        edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()), "groups")
+    drop()
+    return found

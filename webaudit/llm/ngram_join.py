@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, table, text_columns
+from .common import cut_lineage, stored, table, text_columns
 from .components import components
 
 SKETCH_BITS = 21       # buckets of the token-frequency counts: 2 MB a task
@@ -21,6 +21,7 @@ PAIRS_UP_TO = 640      # sets up to this size index pairs of frequent tokens, la
 PARITY = 16            # 64-bit words of a set's parity bitmap
 FOLDED = 4             # words of it, folded, that join with the index
 STAR_ROUNDS = 2        # rounds that join each bucket's sets to one of them
+SENT_BYTES = 16 << 20  # tokens that a task hands on at once
 NEEDED_BITS = 26       # bits of the map of sets whose tokens are fetched for verification
 BLOCK_BYTES = 1 << 20  # text hashed at once
 SEEN_SETS = 500_000    # sets a task remembers, to index copies once
@@ -222,10 +223,11 @@ def index_entries(docs: DataFrame, words: int, percent: int, frequent: np.ndarra
 
 
 def fetch_tokens(docs: DataFrame, words: int, needed: DataFrame) -> DataFrame:
-    """``node, tokens`` of the needed sets (``node, h1, h2, id``; id: a document that has the set).
+    """``needed`` (rows ``h1, h2, id`` of sets, and more) with the ``tokens`` of each row's set.
 
-    A bitmap of the needed ids, of ``2^NEEDED_BITS`` bits at most, spares the other documents'
-    texts the work; the join behind it is exact. Rows without doc_id are all read.
+    ``id`` names the one document whose text is read for a set. A bitmap of the needed ids, of
+    ``2^NEEDED_BITS`` bits at most, spares the other documents' texts the work; the join behind
+    it is exact. Rows without doc_id are all read.
     """
     slot = F.pmod(F.col("id"), F.lit(1 << NEEDED_BITS))
     maps = needed.where("id IS NOT NULL").select(slot.alias("slot")).groupBy(
@@ -248,15 +250,20 @@ def fetch_tokens(docs: DataFrame, words: int, needed: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = Words()
         for pdf in batches:
-            rows = []
+            rows, size = [], 0
             for doc_id, text in zip(pdf["doc_id"].array, pdf["text"].array):
                 if wanted(doc_id) and len(tokens := tokens_of(text, words, cache)) > 1:
-                    rows.append((*set_key(tokens), tokens.tobytes()))
-            yield pd.DataFrame(rows, columns=["h1", "h2", "tokens"])
+                    rows.append((doc_id, *set_key(tokens), tokens.tobytes()))
+                    size += len(rows[-1][-1])
+                if size > SENT_BYTES:
+                    yield pd.DataFrame(rows, columns=["own", "k1", "k2", "tokens"])
+                    rows, size = [], 0
+            yield pd.DataFrame(rows, columns=["own", "k1", "k2", "tokens"])
 
-    rows = docs.mapInPandas(run, "h1 long, h2 long, tokens binary")
-    return rows.join(needed.select("node", "h1", "h2"), ["h1", "h2"]).groupBy("node").agg(
-        F.first("tokens").alias("tokens"))
+    rows = docs.mapInPandas(run, "own string, k1 long, k2 long, tokens binary").withColumn(
+        "own", F.col("own").cast("long"))
+    return needed.join(rows, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2"))
+                       & F.col("id").eqNullSafe(F.col("own"))).drop("own", "k1", "k2", "h1", "h2")
 
 
 def _possible(percent: int, columns: list[str] = PARITY_COLUMNS) -> Column:
@@ -270,11 +277,20 @@ def _possible(percent: int, columns: list[str] = PARITY_COLUMNS) -> Column:
 
 
 def verify(docs: DataFrame, pairs: DataFrame, sets: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs ``a, b`` of set nodes whose token sets are as similar as asked, by exact count."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(
-        pairs.select(F.col("b").alias("node"))).distinct()
-    needed = cut_lineage(ends.join(sets, "node").select("node", "h1", "h2", "id"), "ngram-needed")
-    tokens = cut_lineage(fetch_tokens(docs, words, needed), "ngram-tokens")
+    """The pairs ``a, b`` of set nodes whose token sets are as similar as asked, by exact count.
+
+    The tokens of ``a`` go with each of its pairs to where those of ``b`` are: pairs with a common
+    ``b`` move each set once.
+    """
+    ends = sets.select("node", "h1", "h2", "id", "many")
+    left = pairs.join(ends, F.col("a") == F.col("node")).drop("node")
+    right = pairs.select("b").distinct().join(ends, F.col("b") == F.col("node")).select(
+        F.lit(None).cast("long").alias("a"), "b", "h1", "h2", "id", "many")
+    needed, drop = stored(left.unionByName(right), "ngram-needed")
+    tokens = fetch_tokens(docs, words, needed)
+    # A set whose text may be read more than once counts once.
+    tokens = tokens.where("NOT many").unionByName(
+        tokens.where("many").dropDuplicates(["a", "b"])).drop("id", "many")
 
     def similar(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -285,9 +301,12 @@ def verify(docs: DataFrame, pairs: DataFrame, sets: DataFrame, words: int, perce
                 keep.append(100 * both >= percent * (len(s) + len(t) - both))
             yield pdf.loc[keep, ["a", "b"]]
 
-    x = tokens.select(F.col("node").alias("a"), F.col("tokens").alias("x"))
-    y = tokens.select(F.col("node").alias("b"), F.col("tokens").alias("y"))
-    return pairs.join(x, "a").join(y, "b").mapInPandas(similar, "a long, b long")
+    x = tokens.where("a IS NOT NULL").withColumnRenamed("tokens", "x")
+    y = tokens.where("a IS NULL").select("b", F.col("tokens").alias("y"))
+    links = cut_lineage(x.join(y, "b").select("a", "b", "x", "y").mapInPandas(
+        similar, "a long, b long"), "ngram-links")
+    drop()
+    return links
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -295,37 +314,45 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
 
     Two documents link when their n-gram sets are as similar as ``percent`` says; ``comp`` is the
     smallest doc_id reachable by links. Equal sets are one set from the start, so copies cost
-    nothing more. Star rounds verify each indexed set against one of its bucket, which joins
-    large groups without their pairs; the last round verifies, within each bucket, all pairs of
-    sets that are still in different groups and whose parity bitmaps leave room for enough overlap. No link is lost: every pair of different sets that links shares a bucket.
+    nothing more. Star rounds verify each indexed set against one head, which joins large groups
+    without their pairs; the last round verifies, within each bucket, all pairs of sets that are
+    still in different groups and whose parity bitmaps leave room for enough overlap. No link
+    is lost: every pair of different sets that links shares a bucket. ``percent`` is above 50 (sets
+    of one token have no entry, and link with no other set then).
 
     NULL, empty and blank texts have n = 0 and link with nothing. Rows of the same doc_id are the
     same document. Rows without doc_id take part, and get a ``comp`` above ``NO_ID`` if no
     row of their group has one. Columns other than doc_id and text take no part. An empty
     table gives no rows.
     """
+    if not 50 < percent <= 100:
+        raise ValueError("percent must be above 50 and at most 100")
     docs = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
     found, frequent = document_sets(docs, words)
     members = found.select("doc_id", "n", "h1", "h2")
     without = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("h1", "h2"), 2)
     sets = cut_lineage(found.where("n > 0").groupBy("h1", "h2").agg(
-        F.min("doc_id").alias("id"), *[F.min(c).alias(c) for c in ("n", *PARITY_COLUMNS)])
+        F.min("doc_id").alias("id"), ((F.count("*") > 1) | F.min("doc_id").isNull()).alias("many"),
+        *[F.min(c).alias(c) for c in ("n", *PARITY_COLUMNS)])
         .withColumn("node", F.coalesce("id", without)), "ngram-nodes")
     entries = index_entries(docs, words, percent, frequent)
     bucket = W.partitionBy("sig")
-    shared = cut_lineage(
+    shared, drop_shared = stored(
         entries.repartition("sig").dropDuplicates(["sig", "h1", "h2"])
         .withColumn("size", F.count("*").over(bucket)).where("size > 1").drop("size"),
         "ngram-shared")
     sketches = sets.select("node", "n", *PARITY_COLUMNS)
-    named = cut_lineage(shared.join(sets, ["h1", "h2"]).select("sig", "node"), "ngram-named")
+    named, drop_named = stored(shared.join(sets, ["h1", "h2"]).select("sig", "node"), "ngram-named")
+    drop_shared()
 
     def judged(pairs: DataFrame) -> DataFrame:
         x, y = sketches.alias("x"), sketches.alias("y")
-        kept = cut_lineage(
+        kept, drop = stored(
             pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
             .where(_possible(percent)).select("a", "b"), "ngram-pairs")
-        return cut_lineage(verify(docs, kept, sets, words, percent), "ngram-links")
+        found = verify(docs, kept, sets, words, percent)
+        drop()
+        return found
 
     links, placed = None, named.withColumn("comp", F.col("node"))
     for turn in range(STAR_ROUNDS):
@@ -334,19 +361,23 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
             F.min("comp").alias("lo"), F.max("comp").alias("hi"),
             F.min_by(F.struct("node", "comp"), order).alias("first")).where("lo < hi").select(
             "sig", F.col("first.node").alias("head"), F.col("first.comp").alias("own"))
-        stars = placed.join(first, "sig").where("comp <> own").select(
-            F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
+        # A set is judged against one head, that of most of its buckets.
+        stars = placed.join(first, "sig").where("comp <> own").groupBy("node", "head").agg(
+            F.count("*").alias("n")).groupBy("node").agg(
+            F.max(F.struct("n", "head")).alias("top")).select(
+            F.col("node").alias("a"), F.col("top.head").alias("b"))
         new = judged(stars)
         links = new if links is None else links.unionByName(new)
-        group = cut_lineage(components(links), "ngram-groups")
+        group = components(links)
         placed = named.join(group, "node", "left").select(
             "sig", "node", F.coalesce("comp", "node").alias("comp"))
     folded = [reduce(lambda x, y: x.bitwiseXOR(y), map(F.col, PARITY_COLUMNS[i::FOLDED]))
               .alias(f"f{i}") for i in range(FOLDED)]
-    mixed = cut_lineage(placed.join(
+    mixed, drop_mixed = stored(placed.join(
         placed.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
         .where("lo < hi").select("sig"), "sig").join(sets.select("node", "n", *folded), "node"),
         "ngram-mixed")
+    drop_named()
     x, y = mixed.alias("x"), mixed.alias("y")
     # The bound is part of the join: pairs that it rules out are never rows.
     rest = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") < F.col("y.node"))
@@ -354,6 +385,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
                   & _possible(percent, [f"f{i}" for i in range(FOLDED)])).select(
         F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
     more = judged(rest)
+    drop_mixed()
     comp = components(links.unionByName(more))
     return (members.join(sets.select("h1", "h2", "node"), ["h1", "h2"], "left").join(comp, "node", "left")
             .select("doc_id", "n", "node", F.coalesce("comp", "node", "doc_id").alias("comp")))
