@@ -19,7 +19,9 @@ END = b"\x01\x00\x00\x00"  # id 1 after each document, little-endian
 BINS_PER_PART = 512        # sequences a partition packs in the first round
 MERGED = 16                # partitions whose released documents meet in the next round
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
-PACKED = PIECES + ", part int, bin int, offset long"
+# Inside, ids travel as text: a nullable long would pass through floating point.
+TEXT_PIECES = PIECES.replace("doc_id long", "doc_id string")
+PACKED = TEXT_PIECES + ", part int, bin int, offset long"
 
 
 def tokenizer_path() -> str:
@@ -40,14 +42,10 @@ def pieces_of(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame
                 for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[at:at + 4 * capacity]
                     rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part)))
-            out = pd.DataFrame(rows, columns=names)
-            out["doc_id"] = pd.to_numeric(out["doc_id"], errors="coerce").astype("Int64") \
-                if out["doc_id"].isna().any() else out["doc_id"].astype("int64")
-            yield out
+            yield pd.DataFrame(rows, columns=names)
 
-    # Text, as a nullable long would pass through floating point.
     keyed = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return keyed.mapInPandas(cut, PIECES)
+    return keyed.mapInPandas(cut, TEXT_PIECES).withColumn("doc_id", F.col("doc_id").cast("long"))
 
 
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
@@ -119,19 +117,21 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, bins_per_part: int = BINS_
     ``merged`` partitions meet in the next round, until one partition is left. Rounds: the
     logarithm of the partition count. Every piece is packed exactly once.
 
-    NULL doc_ids are pieces like any others. No pieces: no rows.
+    NULL doc_ids are pieces like any others, and leave the others as they are. No pieces: no rows.
     """
     total, rows = pieces.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
     parts = parts_for(total, capacity * bins_per_part)
     part = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(parts)).cast("int")
-    todo, done, level = pieces.withColumn("part", part), [], 0
+    kind = dict(pieces.dtypes)["doc_id"]
+    todo = pieces.withColumn("part", part).withColumn("doc_id", F.col("doc_id").cast("string"))
+    done, level = [], 0
     while True:
         tried = cut_lineage(todo.groupBy("part").applyInPandas(
             _pack(parts == 1, capacity), PACKED), f"packed-{level}")
         kept = tried.where("bin >= 0")
         number = (F.lit(level << 52) + F.shiftleft(F.col("part").cast("long"), 20)
                   + F.col("bin").cast("long"))
-        done.append(kept.select("doc_id", "piece", "start", "length", "ids_crc32",
+        done.append(kept.select(F.col("doc_id").cast(kind).alias("doc_id"), "piece", "start", "length", "ids_crc32",
                                 number.alias("sequence_id"), "offset"))
         if parts == 1:
             break
