@@ -15,6 +15,8 @@ from webaudit.llm.common import cut_lineage, prepared
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 REJECT_BELOW = 0.3  # a calibrated probability that tells no language apart
 REDACTED = "[SECRET]"
+BEFORE_TOKEN, AFTER_TOKEN = r"(?<![\p{L}\p{N}_])", r"(?![\p{L}\p{N}_])"
+QUOTED_END = r"\E\\E\Q"  # a quoted pattern's way to hold its own end mark
 
 # Models, loops to a fixpoint and packing: not SQL. tests/llm holds each against brute force.
 ORACLE_SQL = None
@@ -65,22 +67,32 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with each secret replaced by ``[SECRET]`` wherever the document has it.
+    """All documents, with each secret replaced by ``[SECRET]``.
 
-    Longer secrets go first, so that no part of one stays where it holds another.
+    A secret goes where it was found, and wherever else its document has it as a token of its own,
+    that is between characters that are no letters, digits or underscores. Longer ones go first.
+    Rows of the same doc_id are searched for each other's secrets too.
     """
     docs = docs.select(*COLUMNS)
     whole = keyed(docs, docs.where("doc_id IS NULL"))
     found = cut_lineage(secret_scan.scan(whole.select(F.col("key").alias("doc_id"), "text")).where(
-        "is_secret").select(F.col("doc_id").alias("key"), "value").distinct(), "secrets")
-    per_doc = found.groupBy("key").agg(F.sort_array(F.collect_list(
-        F.struct(F.char_length("value").alias("n"), "value")), False).alias("found"))
-    clean = F.aggregate("found", F.col("text"), lambda t, s: F.replace(t, s["value"], F.lit(REDACTED)))
+        "is_secret").select(F.col("doc_id").alias("key"), "start", "value").distinct(), "secrets")
+    per_doc = found.groupBy("key").agg(
+        F.sort_array(F.collect_list(F.struct("start", "value")), False).alias("spans"),
+        F.sort_array(F.collect_set(F.struct(F.char_length("value").alias("n"), "value")), False)
+        .alias("values"))
+    # From the last span to the first, so that the others keep their places.
+    cut = F.aggregate("spans", F.col("text"), lambda t, s: F.when(
+        F.substr(t, s["start"] + 1, F.char_length(s["value"])) == s["value"],
+        F.overlay(t, F.lit(REDACTED), s["start"] + 1, F.char_length(s["value"]))).otherwise(t))
+    clean = F.aggregate("values", cut, lambda t, s: F.regexp_replace(
+        t, F.concat(F.lit(BEFORE_TOKEN + r"\Q"), F.replace(s["value"], F.lit(r"\E"), F.lit(QUOTED_END)),
+                    F.lit(r"\E" + AFTER_TOKEN)), F.lit(REDACTED)))
     joined = whole.join(per_doc, "key", "left").withColumn(
-        "clean", F.when(F.col("found").isNull(), F.col("text")).otherwise(clean))
+        "clean", F.when(F.col("spans").isNull(), F.col("text")).otherwise(clean))
     return joined.select(
         "doc_id", F.col("clean").alias("text"), "lang", "source",
-        F.when(F.col("found").isNull(), F.col("n_chars")).otherwise(
+        F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(
             F.char_length("clean")).cast(dict(docs.dtypes)["n_chars"]).alias("n_chars"))
 
 
