@@ -443,3 +443,46 @@ def test_pipeline_rows_without_id(spark):
     got = [(r["doc_id"], r["text"], r["n_chars"]) for r in c.secrets(spark, table, SF).collect()]
     want = [(i, t and t.replace(token, c.REDACTED).replace(token[::-1], c.REDACTED)) for i, t in rows]
     assert sorted(map(str, got)) == sorted(str((i, t, len(t or ""))) for i, t in want)
+
+
+def test_ngram_wide_bitmaps_rule_out_no_link():
+    rng = np.random.default_rng(4)
+    for _ in range(300):
+        n = int(rng.integers(513, 9000))
+        base = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        other = np.unique(np.concatenate([
+            base[rng.random(len(base)) < rng.random() ** 0.1],
+            rng.integers(0, 1 << 63, int(n * rng.random()), np.uint64)]))
+        differ = len(base) + len(other) - 2 * len(np.intersect1d(base, other))
+        if ngram_join.wide_parity(other) is not None:
+            assert ngram_join.least_difference(
+                ngram_join.wide_parity(base), ngram_join.wide_parity(other)) <= differ
+    far = np.unique(rng.integers(0, 1 << 63, 6000, np.uint64))
+    near = np.concatenate([far[60:], rng.integers(0, 1 << 63, 60, np.uint64)])
+    assert ngram_join.least_difference(*map(ngram_join.wide_parity, (far, near))) <= 120
+    strange = np.unique(rng.integers(0, 1 << 63, 6000, np.uint64))
+    assert ngram_join.least_difference(*map(ngram_join.wide_parity, (far, strange))) > 3000
+    assert ngram_join.wide_parity(far[:512]) is None
+
+
+def test_ngram_join_of_very_long_texts(spark, monkeypatch):
+    """Texts beyond a hashed block, sets beyond those that index pairs, ids repeated and NULL."""
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 4096)
+    rng = random.Random(9)
+    long = [[f"w{rng.randrange(40_000)}" for _ in range(n)] for n in (3000, 3000, 30_000, 700, 700)]
+    near = [list(t) for t in long]
+    for t in near[:4]:
+        for _ in range(len(t) // 100):
+            t[rng.randrange(len(t))] = "changed"
+    near[4][::9] = ["far"] * len(near[4][::9])
+    rows = [(i, " ".join(t)) for i, t in enumerate(long)]
+    rows += [(10 + i, " ".join(t)) for i, t in enumerate(near)] + [rows[2], rows[2]]
+    rows += [(None, " ".join(near[1]) + " end")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    sets = {t: {tuple(t.split()[k:k + 3]) for k in range(len(t.split()) - 2)} for _, t in rows}
+    want = {}
+    for i, t in rows:
+        linked = [j for j, u in rows if j is not None and 100 * len(sets[t] & sets[u]) >= 90 * len(sets[t] | sets[u])]
+        want[i] = (len(sets[t]), min(linked))
+    got = {r["doc_id"]: (r["n"], r["comp"]) for r in ngram_join.jaccard_groups(df, 3, 90).collect()}
+    assert got == want and want[10][1] == 0 and want[14][1] == 14 and want[None][1] == 1

@@ -147,6 +147,25 @@ def parity(tokens: np.ndarray) -> np.ndarray:
 PARITY_COLUMNS = [f"p{i}" for i in range(PARITY)]
 
 
+def wide_parity(tokens: np.ndarray) -> bytes | None:
+    """The parity bitmap of a set too large for ``parity``, of two to four bits a token."""
+    if len(tokens) <= PARITY * 32:
+        return None
+    size = 1 << (2 * len(tokens) - 1).bit_length()
+    bits = np.bincount((tokens & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """Tokens that two sets differ in at least: a bitmap is folded to the length of the shorter."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[:len(a) // 2] ^ a[len(a) // 2:]
+    while len(b) > len(a):
+        b = b[:len(b) // 2] ^ b[len(b) // 2:]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def document_sets(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     """One scan: ``doc_id`` (as text), ``n``, key ``h1, h2`` and parity bitmap of each document's
     set; and which hash buckets hold a frequent token.
@@ -157,7 +176,7 @@ def document_sets(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
     a link.
     """
     buckets = 1 << SKETCH_BITS
-    columns = ["doc_id", "n", "h1", "h2", *PARITY_COLUMNS, "slice", "counts"]
+    columns = ["doc_id", "n", "h1", "h2", *PARITY_COLUMNS, "wide", "slice", "counts"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, counts = Words(), np.zeros(buckets, np.uint32)
@@ -166,17 +185,19 @@ def document_sets(docs: DataFrame, words: int) -> tuple[DataFrame, np.ndarray]:
             for doc_id, text in zip(pdf["doc_id"].array, pdf["text"].array):
                 tokens = tokens_of(text, words, cache)
                 found.append(tokens)
-                rows.append((doc_id, len(tokens), *set_key(tokens), *parity(tokens).tolist(), -1, b""))
+                rows.append((doc_id, len(tokens), *set_key(tokens), *parity(tokens).tolist(),
+                             wide_parity(tokens), -1, b""))
             at = (np.concatenate(found) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
             counts += np.bincount(at, minlength=buckets).astype(np.uint32)
             yield pd.DataFrame(rows, columns=columns)
         if counts.any():
             for i in range(0, buckets, SLICE):
-                yield pd.DataFrame([("", *[0] * (PARITY + 3), i // SLICE,
+                yield pd.DataFrame([("", *[0] * (PARITY + 3), None, i // SLICE,
                                      counts[i:i + SLICE].tobytes())], columns=columns)
 
     schema = ("doc_id string, n long, h1 long, h2 long, "
-              + ", ".join(f"{p} long" for p in PARITY_COLUMNS) + ", slice int, counts binary")
+              + ", ".join(f"{p} long" for p in PARITY_COLUMNS)
+              + ", wide binary, slice int, counts binary")
     both = cut_lineage(docs.mapInPandas(run, schema), "ngram-sets")
 
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -287,7 +308,7 @@ def verify(docs: DataFrame, pairs: DataFrame, sets: DataFrame, words: int, perce
     right = pairs.select("b").distinct().join(ends, F.col("b") == F.col("node")).select(
         F.lit(None).cast("long").alias("a"), "b", "h1", "h2", "id", "many")
     needed, drop = stored(left.unionByName(right), "ngram-needed")
-    tokens = fetch_tokens(docs, words, needed)
+    tokens, drop_tokens = stored(fetch_tokens(docs, words, needed), "ngram-tokens")
     # A set whose text may be read more than once counts once.
     tokens = tokens.where("NOT many").unionByName(
         tokens.where("many").dropDuplicates(["a", "b"])).drop("id", "many")
@@ -306,9 +327,24 @@ def verify(docs: DataFrame, pairs: DataFrame, sets: DataFrame, words: int, perce
     links = cut_lineage(x.join(y, "b").select("a", "b", "x", "y").mapInPandas(
         similar, "a long, b long"), "ngram-links")
     drop()
+    drop_tokens()
     return links
 
 
+def not_ruled_out(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs ``a, b, n, m`` (sizes) of large sets whose wide bitmaps leave room for enough overlap."""
+    def possible(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            keep = [(100 + percent) * (n + m - least_difference(x, y)) >= 2 * percent * (n + m)
+                    for n, m, x, y in zip(pdf["n"], pdf["m"], pdf["x"], pdf["y"])]
+            yield pdf.loc[keep, ["a", "b"]]
+
+    wide = sets.where("wide IS NOT NULL")
+    x = wide.select(F.col("node").alias("a"), F.col("n"), F.col("wide").alias("x"))
+    y = wide.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("wide").alias("y"))
+    return pairs.join(x, "a").join(y, "b").mapInPandas(possible, "a long, b long")
+
+
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """``doc_id, n, node, comp`` of every row: its set's size, set and group of linked sets.
 
@@ -333,7 +369,7 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     without = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("h1", "h2"), 2)
     sets = cut_lineage(found.where("n > 0").groupBy("h1", "h2").agg(
         F.min("doc_id").alias("id"), ((F.count("*") > 1) | F.min("doc_id").isNull()).alias("many"),
-        *[F.min(c).alias(c) for c in ("n", *PARITY_COLUMNS)])
+        F.first("wide").alias("wide"), *[F.min(c).alias(c) for c in ("n", *PARITY_COLUMNS)])
         .withColumn("node", F.coalesce("id", without)), "ngram-nodes")
     entries = index_entries(docs, words, percent, frequent)
     bucket = W.partitionBy("sig")
@@ -347,9 +383,13 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
 
     def judged(pairs: DataFrame) -> DataFrame:
         x, y = sketches.alias("x"), sketches.alias("y")
-        kept, drop = stored(
+        large = (F.col("x.n") > PARITY * 32) & (F.col("y.n") > PARITY * 32)
+        met, drop_met = stored(
             pairs.join(x, F.col("a") == F.col("x.node")).join(y, F.col("b") == F.col("y.node"))
-            .where(_possible(percent)).select("a", "b"), "ngram-pairs")
+            .where(_possible(percent)).select("a", "b", large.alias("large")), "ngram-met")
+        kept, drop = stored(met.where("NOT large").select("a", "b").unionByName(not_ruled_out(
+            met.where("large").select("a", "b"), sets, percent)), "ngram-pairs")
+        drop_met()
         found = verify(docs, kept, sets, words, percent)
         drop()
         return found
