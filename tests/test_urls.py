@@ -1,5 +1,7 @@
 """Scalar URL semantics, one row per case."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +54,33 @@ NORMALIZE = [
     ("http://user:pw@example.com/a", None, "http://user:pw@example.com/a"),
     ("http://127.0.0.1:5000/p", None, "http://127.0.0.1:5000/p"),
     ("http://999.0.0.1/p", None, None),
+    ("http://bücher.example/a", None, "http://xn--bcher-kva.example/a"),
+    ("HTTPS://BÜCHER.Straße.example:8443/Ä", None,
+     "https://xn--bcher-kva.xn--strae-oqa.example:8443/%C3%84"),
+    ("http://b%C3%BCcher.example/", None, "http://xn--bcher-kva.example/"),
+    ("http://b%FFcher.example/", None, None),
+    ("http://例え。テスト/x", None, "http://xn--r8jz45g.xn--zckzah/x"),
+    ("http://ｅｘａｍｐｌｅ．com/", None, "http://example.com/"),
+    ("http://ex\u00adample.com/", None, "http://example.com/"),
+    ("http://a\u3000b.com/", None, None),
+    ("//ß.example/y", "https://example.com/", "https://xn--zca.example/y"),
+    ("http://0x7f.1/", None, "http://127.0.0.1/"),
+    ("http://0X7F000001/", None, "http://127.0.0.1/"),
+    ("http://2130706433/", None, "http://127.0.0.1/"),
+    ("http://0177.0.0.01:5000/p", None, "http://127.0.0.1:5000/p"),
+    ("http://127.1/", None, "http://127.0.0.1/"),
+    ("http://127.0.0.1./", None, "http://127.0.0.1/"),
+    ("http://0x/", None, "http://0.0.0.0/"),
+    ("http://4294967295/", None, "http://255.255.255.255/"),
+    ("http://4294967296/", None, None),
+    ("http://1.2.3.256/", None, None),
+    ("http://256.1/", None, None),
+    ("http://1.16777215/", None, "http://1.255.255.255/"),
+    ("http://1.2.3.4.5/", None, None),
+    ("http://1.2.08.4/", None, None),
+    ("http://a.0x1g/", None, "http://a.0x1g/"),
+    ("http://a.5/", None, None),
+    ("http://１２７.0.0.1/", None, "http://127.0.0.1/"),
     ("https://example.com/a|b", None, "https://example.com/a|b"),
     ("https://example.com//a//", None, "https://example.com//a//"),
     ("", None, None),
@@ -218,3 +247,44 @@ def test_absolutize(spark):
     df = frame(spark, cases, "v string, b string, e string")
     bad = df.withColumn("g", U.absolutize(F.col("v"), F.col("b"))).where("not (g <=> e)").collect()
     assert bad == []
+
+
+def test_international_hosts_equal_a_plain_encoder(spark):
+    rng = random.Random(6)
+    alphabets = ["abcz-0", "éüßñ", "абвгд", "日本語テスト", "\U0001f600\U0001f4a9", "עברית"]
+    labels = {"".join(rng.choice(rng.choice(alphabets)) for _ in range(rng.randrange(1, 24)))
+              for _ in range(400)}
+    labels = sorted(w for w in labels if not w.isascii())
+    df = spark.createDataFrame([(w,) for w in labels], "w string").select(
+        "w", U.host_of(F.concat(F.lit("https://"), "w", F.lit(".example/p"))).alias("h"))
+    got = {r["w"]: r["h"] for r in df.collect()}
+    assert got == {w: f"xn--{w.encode('punycode').decode()}.example" for w in labels}
+
+
+def test_number_hosts_equal_a_plain_parser(spark):
+    rng = random.Random(3)
+
+    def number(part):
+        if part.startswith("0x"):
+            return int(part[2:] or "0", 16)
+        return int(part, 8) if part.startswith("0") else int(part)
+
+    def plain(host):
+        parts = host.split(".")
+        try:
+            n = [number(p) for p in parts]
+        except ValueError:
+            return None
+        if len(n) > 4 or any(x > 255 for x in n[:-1]) or n[-1] >= 256 ** (5 - len(n)):
+            return None
+        value = n[-1] + sum(x << 8 * (3 - i) for i, x in enumerate(n[:-1]))
+        return ".".join(str(value >> s & 255) for s in (24, 16, 8, 0))
+
+    hosts = set()
+    for _ in range(500):
+        n = rng.randrange(1, 6)
+        top = [256] * (n - 1) + [256 ** max(1, 5 - n) + 9]
+        hosts.add(".".join(rng.choice(["{}", "0x{:x}", "0{:o}"]).format(rng.randrange(t)) for t in top))
+    df = spark.createDataFrame([(h,) for h in sorted(hosts)], "w string").select(
+        "w", U.host_of(F.concat(F.lit("http://"), "w", F.lit("/"))).alias("h"))
+    assert {r["w"]: r["h"] for r in df.collect()} == {h: plain(h) for h in hosts}

@@ -86,9 +86,31 @@ def inline_scripts(spark, sf_dir):
         "n_urls", F.size(T.extract_urls(F.col("script"))).cast("bigint"))
 
 
-@query("normalize_urls", f"SELECT page_id, {norm('url')} AS normalized FROM pages")
+_DOTTED = "concat_ws('.', v // 16777216, v // 65536 % 256, v // 256 % 256, v % 256)"
+
+
+@query("normalize_urls", f"""
+WITH p AS (SELECT page_id, url, CASE page_id % 8 WHEN 5 THEN 2130706432 WHEN 6 THEN 167772160 WHEN 7 THEN 3232235520
+  ELSE 0 END + page_id AS v FROM pages)
+SELECT page_id, 'own' AS host, {norm('url')} AS normalized FROM p
+UNION ALL SELECT page_id, 'odd', CASE page_id % 8
+ WHEN 0 THEN 'https://xn--bcher-kva.s' || page_id || '.example/p' WHEN 1 THEN 'https://xn--r8jz45g.xn--zckzah/' || page_id
+ WHEN 2 THEN 'https://xn--strae-oqa' || '.d' || page_id || '.example/' WHEN 3 THEN 'http://example' || page_id || '.com/a'
+ WHEN 4 THEN 'https://xn--80ak6aa92e.com/' || page_id ELSE 'http://' || {_DOTTED} || '/' END FROM p""")
 def normalize_urls(spark, sf_dir):
-    return D.pages(spark, sf_dir).select("page_id", U.normalize_url("url").alias("normalized"))
+    """The pages' own URLs, and some whose hosts have letters beyond ASCII or are odd numbers."""
+    n = F.col("page_id")
+    odd = F.concat(F.when(n % 8 == 0, F.concat(F.lit("https://BÜCHER.s"), n, F.lit(".example/p")))
+                   .when(n % 8 == 1, F.concat(F.lit("https://例え。テスト/"), n))
+                   .when(n % 8 == 2, F.concat(F.lit("https://stra%C3%9Fe.d"), n, F.lit(".example")))
+                   .when(n % 8 == 3, F.concat(F.lit("http://ｅｘａｍ\u00adple"), n, F.lit("．com/a")))
+                   .when(n % 8 == 4, F.concat(F.lit("https://аррӏе.com/"), n))
+                   .when(n % 8 == 5, F.concat(F.lit("http://0x"), F.hex(n + 2130706432)))
+                   .when(n % 8 == 6, F.concat(F.lit("http://012."), n))
+                   .otherwise(F.concat(F.lit("http://"), n + 3232235520)))
+    both = F.array(F.struct(F.lit("own").alias("host"), F.col("url")), F.struct(F.lit("odd").alias("host"), odd.alias("url")))
+    return D.pages(spark, sf_dir).select("page_id", F.explode(both).alias("u")).select(
+        "page_id", "u.host", U.normalize_url("u.url").alias("normalized"))
 
 
 @query("dedupe_keys", f"""
