@@ -18,20 +18,28 @@ CHECK = "links"
 REFUSAL_STATUSES = (400, 401, 403, 405, 429, 999)
 
 
-def link_targets(captures: DataFrame, cfg: AuditConfig, *keep: str) -> DataFrame:
-    """One row per page and distinct link target: ``linkUrl`` and the first link's text."""
+def link_targets_column(cfg: AuditConfig) -> Column:
+    """A page's distinct link targets as an array of ``key, pos, text``, with the first link's text."""
     found = F.transform(
         F.col("dom.links"),
         lambda x, i: F.struct(normalize_url(x["href"]).alias("key"), i.alias("pos"),
                               x["text"].alias("text")))
     wanted = F.filter(found, lambda x: x["key"].isNotNull()
                       & ~matches_ignore_pattern(x["key"], cfg.ignorePatterns))
-    return (captures.select("site", "seq", "url", *keep,
-                            F.explode(first_per_key(wanted, "key")).alias("l"))
+    return first_per_key(wanted, "key")
+
+
+def explode_targets(pages: DataFrame, targets: Column, *keep: str) -> DataFrame:
+    return (pages.select("site", "seq", "url", *keep, F.explode(targets).alias("l"))
             .select("site", "seq", "url", *keep, F.col("l.key").alias("linkUrl"),
                     F.col("l.text").alias("text")))
 
 
+def link_targets(captures: DataFrame, cfg: AuditConfig, *keep: str) -> DataFrame:
+    """One row per page and distinct link target: ``linkUrl`` and the first link's text."""
+    return explode_targets(captures, link_targets_column(cfg), *keep)
+
+
 def noteworthy(slow_ms: Column) -> Column:
     """Probe results that can yield a finding; healthy ones need no join at all."""
     return ((F.col("status") == 0) | (F.col("status") >= 400) | (F.col("redirects") > 0)
@@ -73,13 +81,20 @@ def link_issues(cfg: AuditConfig) -> Column:
 
 
 def check_links(captures: DataFrame, link_status: DataFrame, cfg: AuditConfig) -> DataFrame:
-    """Only noteworthy statuses are joined, so the shared healthy links of every page's
-    header and footer fall away before the shuffle; what stays hot is salted."""
+    """Findings about the targets of the captures' links."""
     keep = ("siteConfig",) if cfg.perSite else ()
+    return judge_targets(link_targets(captures, cfg, *keep), link_status, cfg)
+
+
+def judge_targets(targets: DataFrame, link_status: DataFrame, cfg: AuditConfig) -> DataFrame:
+    """Findings about rows of ``link_targets``.
+
+    Only noteworthy statuses are joined, so the shared healthy links of every page's
+    header and footer fall away before the shuffle; what stays hot is salted.
+    """
     limit = F.lit(-1) if cfg.perSite else cfg.setting("slowLinkMs")
     status = link_status.where(noteworthy(limit)).select(
         F.col("url").alias("linkUrl"), F.col("status").alias("linkStatus"),
         F.col("finalUrl").alias("linkFinalUrl"), "redirects", "error", "durationMs")
-    joined = salted_join(link_targets(captures, cfg, *keep), status, ["linkUrl"],
-                         spread=["site", "url"])
+    joined = salted_join(targets, status, ["linkUrl"], spread=["site", "url"])
     return explode_issues(joined, link_issues(cfg))

@@ -1,29 +1,37 @@
-"""The whole audit as one lazy plan."""
+"""The whole audit: one pass over the captures, and everything else from what it stores."""
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..config import AuditConfig, CustomCheck
+from ..functions.lets import explode_rows
 from ..operators.checks import ROW_CHECKS, check_links, scan_text_files
 from ..operators.checks.common import explode_issues
 from ..operators.checks.http_status import (
     block_verdict, blocked_issue, is_blocked, unread_issue,
 )
+from ..operators.checks.links import explode_targets, judge_targets, link_targets_column
 from ..operators.classify import classify_issues
 from ..operators.crosspage import (
     consent_issues, duplicate_issues, duplicate_members, hreflang_issues, llms_coverage_issues,
     llms_link_issues, sitemap_issues,
 )
+from ..operators.frontier import judge_offers, skip_counts
+from ..operators.host_patterns import LISTS, site_file_leaks, site_leaks
 from ..operators.report import (
-    counts_by_priority, counts_by_rule, counts_by_severity, filter_issues, top_findings,
+    SEVERITIES, counts_by_priority, counts_by_rule, counts_by_severity, filter_issues, run_name,
+    top_findings,
 )
 from ..rules import rule_meta_df
 from ..schemas import ISSUE_FIELDS
-from ..sources.textfiles import expand_sitemaps, origin_of, parse_llms_txt, sitemap_entries
+from ..session import cut_lineage, scratch_path
+from ..sources.textfiles import (
+    expand_sitemaps, origin_of, parse_llms_txt, parse_robots, sitemap_entries,
+)
 
 
 def custom_rules(cfg: AuditConfig) -> dict:
@@ -102,11 +110,14 @@ def run_cross_page_checks(captures: DataFrame, cfg: AuditConfig, sitemap: DataFr
 
 @dataclass
 class AuditResult:
-    issues: DataFrame  # classified
+    issues: DataFrame  # classified, stored
     counts: DataFrame  # per site and severity
     rules: DataFrame  # per site and rule, ranked
     members: DataFrame  # field, site, value, seq, url of every page with a duplicate text
     sitemap_errors: DataFrame | None = None  # site, url, error of files the walk could not read
+    runs: DataFrame | None = None  # the summary row of each site's run
+    skipped: DataFrame | None = None  # site, reason, n of offered URLs that the crawl left out
+    totals: dict[str, int] | None = None  # of the page pass: pages, blocked, unread, retried, findings
 
 
 def base_urls(captures: DataFrame, cfg: AuditConfig) -> DataFrame:
@@ -117,47 +128,161 @@ def base_urls(captures: DataFrame, cfg: AuditConfig) -> DataFrame:
     return captures.groupBy("site").agg(F.coalesce(given, first).alias("baseUrl"))
 
 
+# What steps after the page pass read of a page.
+SLIM_DOM = ("title", "metaDescription", "hreflang", "links")
+
+
+def page_pass(captures: DataFrame, cfg: AuditConfig) -> tuple[DataFrame, dict[str, int]]:
+    """One scan of the captures: findings of all row checks, and what later steps need, stored.
+
+    The stored table has a row per page: its slim columns, its link targets and the array of its
+    findings. Everything across pages runs from it, so the captures' large columns are read
+    once, whatever the number of checks. Totals are observed while it is written.
+    """
+    spark = captures.sparkSession
+    dom = F.when(F.col("dom").isNotNull(), F.struct(*[F.col(f"dom.{n}") for n in SLIM_DOM]))
+    targets = F.when(~is_blocked(), link_targets_column(cfg))
+    own = ["siteConfig"] if cfg.perSite else []
+    judged = captures.withColumns({
+        "blocked": is_blocked(), "targets": targets, "found": page_issues_column(cfg)})
+    rows = judged.select("site", "seq", "url", "finalUrl", "status", "depth", "attempts", *own,
+                         dom.alias("dom"), "blocked", "targets", "found")
+    seen = Observation()
+    observed = rows.observe(
+        seen, F.count("*").alias("pages"), F.count_if("blocked").alias("blocked"),
+        F.count_if(F.col("dom").isNull()).alias("unread"),
+        F.coalesce(F.sum(F.greatest(F.col("attempts") - 1, F.lit(0))), F.lit(0)).alias("retried"),
+        F.coalesce(F.sum(F.size("found")), F.lit(0)).alias("findings"))
+    path = scratch_path(spark, "audit-pages")
+    observed.write.parquet(path)
+    return spark.read.schema(rows.schema).parquet(path), seen.get
+
+
+def crawl_skips(pages: DataFrame, cfg: AuditConfig, robots: DataFrame | None = None) -> DataFrame:
+    """``site, reason, n``: why links found on the pages were no pages to crawl.
+
+    Every link is an offer, in crawl order, judged as the crawl judges it: by scope, robots.txt
+    rules, depth, page cap, and whether an earlier offer settled its URL.
+    """
+    own = ["siteConfig"] if cfg.perSite else []
+    offers = explode_rows(pages, "dom.links", "l", "site", "seq", "finalUrl", "depth", *own,
+                          pos="pos").select(
+        "site", F.struct("seq", "pos").alias("seq"), F.col("l.href").alias("raw"),
+        (F.col("depth") + 1).alias("depth"), F.col("finalUrl").alias("base"),
+        F.col("finalUrl").alias("source"), *own)
+    return skip_counts(judge_offers(offers, cfg, robots))
+
+
+def run_rows(pages: DataFrame, counts: DataFrame, bases: DataFrame, cfg: AuditConfig,
+             link_status: DataFrame | None = None, retries: DataFrame | None = None,
+             skipped: DataFrame | None = None, started_at: str = "", finished_at: str = ""
+             ) -> DataFrame:
+    """The summary row of each site's run.
+
+    ``linksChecked``: distinct targets of its pages that have a status. ``rateLimited``: fetches that
+    were put back because the site asked for patience, from ``retries`` (``site, rateLimited``) or
+    the pages' own attempts. ``skipped``: offers left out, by reason.
+    """
+    per_site = pages.groupBy("site").agg(
+        F.count("*").alias("pagesCrawled"), F.count_if("blocked").alias("pagesBlocked"),
+        F.sum(F.greatest(F.coalesce("attempts", F.lit(1)) - 1, F.lit(0))).alias("_again"))
+    out = per_site.join(bases, "site", "left").join(counts, "site", "left")
+    if link_status is None:
+        out = out.withColumn("linksChecked", F.lit(0).cast("bigint"))
+    else:
+        # Distinct pairs combine before the shuffle; statuses have one row per URL.
+        targets = explode_targets(pages, F.col("targets")).select("site", "linkUrl").distinct()
+        checked = targets.join(link_status.select(F.col("url").alias("linkUrl")), "linkUrl", "left_semi")
+        out = out.join(checked.groupBy("site").agg(F.count("*").alias("linksChecked")), "site", "left")
+    if retries is not None:
+        out = out.join(retries, "site", "left")
+    else:
+        out = out.withColumn("rateLimited", F.col("_again"))
+    reasons = F.lit(None).cast("map<string,bigint>")
+    if skipped is not None:
+        # At most a row per reason, of which there are eight.
+        out = out.join(skipped.groupBy("site").agg(F.map_from_entries(F.sort_array(
+            F.collect_list(F.struct("reason", "n")))).alias("skipped")), "site", "left")
+        reasons = F.coalesce("skipped", F.map_from_arrays(
+            F.array().cast("array<string>"), F.array().cast("array<bigint>")))
+    name = run_name(F.lit(cfg.runName), F.array(*map(F.lit, cfg.includePaths)).cast("array<string>"))
+    started, finished = F.lit(started_at or None).cast("string"), F.lit(finished_at or None).cast("string")
+    took = (F.to_timestamp(finished).cast("double") - F.to_timestamp(started).cast("double")) * 1000
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return out.select(
+        "site", name.alias("run"), "baseUrl", started.alias("startedAt"), finished.alias("finishedAt"),
+        F.round(took).cast("bigint").alias("durationMs"), "pagesCrawled", "pagesBlocked",
+        zero("linksChecked"), *map(zero, SEVERITIES), zero("rateLimited"), reasons.alias("skipped"))
+
+
 def audit(captures: DataFrame, cfg: AuditConfig, files: DataFrame | None = None,
           link_status: DataFrame | None = None, landing: DataFrame | None = None,
-          sitemap: DataFrame | None = None, filter_global: bool = False) -> AuditResult:
-    """Everything: page findings, cross-page findings, text files, consent.
+          sitemap: DataFrame | None = None, filter_global: bool = False,
+          sites: DataFrame | None = None, retries: DataFrame | None = None,
+          started_at: str = "", finished_at: str = "") -> AuditResult:
+    """Everything: page findings, cross-page findings, text files, consent, and the run's summary.
+
+    The captures are read by the page pass alone, which stores a slim table; all else runs from it.
+    Two things read them again: checks written as DataFrames, and per-site host patterns. Findings
+    are stored too, so that counting them does not compute them again.
 
     ``files`` is a ``site_files`` table. Its sitemaps are walked from ``/sitemap.xml`` of each
-    site's base URL and from ``extraSitemaps``, through indexes; the walk stores its levels. The report filters apply to page findings only,
-    unless ``filter_global`` is set.
+    site's base URL and from ``extraSitemaps``, through indexes; the walk stores its levels. Its
+    robots.txt files decide which links a crawl skips. ``sites`` may hold each site's own host
+    patterns (``forbiddenHosts``, ``localhostHosts``). ``retries``: ``site, rateLimited`` of the fetch
+    log. The report filters apply to page findings only, unless ``filter_global`` is set.
     """
-    enabled = cfg.enabled_checks()
-    out = run_page_checks(captures, cfg, link_status)
-    docs = llms = bases = failed = None
+    enabled, spark = cfg.enabled_checks(), captures.sparkSession
+    listed = sites is not None and any(name in sites.columns for name in LISTS)
+    in_pass = cfg.with_(checks=[c for c in enabled if c != "forbidden-hosts"],
+                        disabledChecks=()) if listed and "forbidden-hosts" in enabled else cfg
+    pages, totals = page_pass(captures, in_pass)
+    out = pages.select("site", F.col("seq"), F.explode("found").alias("i")).select("site", "seq", "i.*")
+    if "links" in enabled and link_status is not None:
+        own = ("siteConfig",) if cfg.perSite else ()
+        out = out.unionByName(judge_targets(
+            explode_targets(pages, F.col("targets"), *own), link_status, cfg))
+    if listed and "forbidden-hosts" in enabled:
+        out = out.unionByName(site_leaks(captures, sites, cfg))
+    for check in cfg.customChecks:
+        if check.id in enabled and not isinstance(check.fn, Column):
+            out = out.unionByName(_custom_issues(captures, link_status, check))
+    out = filter_issues(out, cfg)
+    docs = llms = failed = robots = None
+    bases = base_urls(pages, cfg)
     extra: list[DataFrame] = []
     if files is not None:
         texts = files.where((F.col("kind") == "llms") & F.col("text").isNotNull())
-        docs = texts.select("site", F.col("url").alias("file"))
+        docs = texts.select("site", F.col("url").alias("file")).distinct()
         llms = parse_llms_txt(texts)
+        robots = parse_robots(files.where("kind = 'robots'"))
         if "forbidden-hosts" in enabled:
-            extra.append(scan_text_files(texts, cfg))
+            extra.append(site_file_leaks(texts, sites, cfg) if listed else scan_text_files(texts, cfg))
         if sitemap is None:
-            bases = base_urls(captures, cfg)
             sitemap, failed = expand_sitemaps(
                 sitemap_entries(bases, cfg.includePaths, cfg.excludePaths, cfg.extraSitemaps,
                                 cfg.knownLocales), files.where("kind = 'sitemap'"))
+    walked = failed is not None
     if sitemap is None:
-        sitemap = captures.sparkSession.createDataFrame([], "site string, url string, pos bigint")
-    cross = run_cross_page_checks(captures, cfg, sitemap, docs, llms, link_status, bases)
+        sitemap = spark.createDataFrame([], "site string, url string, pos bigint")
+    cross = run_cross_page_checks(pages, cfg, sitemap, docs, llms, link_status,
+                                  bases if walked else None)
     if cross is not None:
         extra.append(cross)
     if landing is not None and "consent-banner" in enabled:
         extra.append(consent_issues(landing))
     for part in extra:
         out = out.unionByName(filter_issues(part, cfg) if filter_global else part)
-    custom = custom_rules(cfg)
-    meta = rule_meta_df(captures.sparkSession, custom) if custom else None
-    classified = classify_issues(out, meta)
-    members = [duplicate_members(captures, name).select(F.lit(name).alias("field"), "*")
+    rules = custom_rules(cfg)
+    meta = rule_meta_df(spark, rules) if rules else None
+    classified = cut_lineage(classify_issues(out, meta), "audit-issues")
+    members = [duplicate_members(pages, name).select(F.lit(name).alias("field"), "*")
                for name in ("title", "metaDescription")]
-    return AuditResult(classified, counts_by_severity(classified, "site"),
-                       counts_by_rule(classified, "site"), members[0].unionByName(members[1]),
-                       failed)
+    counts = counts_by_severity(classified, "site")
+    skipped = crawl_skips(pages, cfg, robots)
+    runs = run_rows(pages, counts, bases, cfg, link_status, retries, skipped, started_at, finished_at)
+    return AuditResult(classified, counts, counts_by_rule(classified, "site"),
+                       members[0].unionByName(members[1]), failed, runs, skipped, totals)
 
 
 def summary(classified: DataFrame) -> dict[str, DataFrame]:

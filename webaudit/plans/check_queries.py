@@ -10,8 +10,11 @@ from ..operators import checks as C
 from ..operators import crosspage as X
 from ..operators.checks.common import issue, issues_when
 from ..operators.classify import classify_issues
+from ..operators.frontier import probe_worklist
+from ..operators.host_patterns import site_leaks
 from ..operators.sites import attach_site_config, landing_pages, validate_sites, with_defaults
 from ..sources import logs as L
+from ..sources.textfiles import parse_llms_txt
 from . import derived as D
 from .audit import audit, run_page_checks
 from .registry import CAPTURES, CONFIG, HOPS, key, norm, query, site
@@ -594,26 +597,192 @@ def per_site_thresholds(spark, sf_dir):
 
 # --- everything -----------------------------------------------------------------------------
 
-@query("full_audit", page_union(f"""
-, dup AS (SELECT site, 'duplicate-title' AS rule, title AS v FROM cap WHERE has_dom AND status = 200 AND title <> '' GROUP BY 1, 3 HAVING count(*) > 1
- UNION ALL SELECT site, 'duplicate-meta-description', description FROM cap WHERE has_dom AND status = 200 AND description <> '' GROUP BY 1, 3 HAVING count(*) > 1),
-{_DRIFT.strip()},
-ok AS (SELECT * FROM cap WHERE status = 200), last AS (SELECT site, {key('url')} AS k, max(page_id) AS page_id FROM ok GROUP BY 1, 2),
-whole AS (SELECT site, rule FROM dup
- UNION ALL SELECT DISTINCT site, 'page-missing-from-sitemap' FROM crawled c WHERE NOT EXISTS (
-  SELECT 1 FROM listed l WHERE l.site = c.site AND l.k = c.k) AND site IN (SELECT site FROM listed)
- UNION ALL SELECT o.site, 'hreflang-not-reciprocal' FROM alt e JOIN ok o USING (page_id) JOIN last t ON t.k = e.alt_key AND t.site = o.site
-  WHERE o.has_dom AND e.alt_key <> e.self_key AND NOT EXISTS (SELECT 1 FROM alt r JOIN cap c USING (page_id)
-   WHERE r.page_id = t.page_id AND c.has_dom AND r.alt_key = e.self_key)
- UNION ALL SELECT {site('url')}, CASE WHEN page_id % 9 = 4 THEN 'consent-banner-check-failed' ELSE 'consent-banner-missing' END
-  FROM pages WHERE page_id % 9 = 4 OR page_id % 2 = 1)
-SELECT site, rule, count(*) AS n FROM (SELECT site, rule FROM kept UNION ALL SELECT site, rule FROM whole) GROUP BY 1, 2"""))
+_BASES = f"""bases AS (SELECT {site('url')} AS site, regexp_extract(arg_min(url, page_id), '^https?://[^/]+', 0) AS base
+ FROM pages GROUP BY 1)"""
+# Pages by their part of a group of duplicates, as in duplicate_descriptions.
+_DUPLICATES = """
+m AS (SELECT site, kind, v, page_id, url, count(*) OVER g AS n, first_value(url) OVER (g ORDER BY page_id) AS first_url
+ FROM (SELECT *, 'title' AS kind, title AS v FROM cap UNION ALL SELECT *, 'description', description FROM cap)
+ WHERE has_dom AND status BETWEEN 200 AND 299 AND v <> '' WINDOW g AS (PARTITION BY site, kind, v)),
+dup AS (SELECT site, kind, v, n, first_url, CASE WHEN n > 1000 THEN page_id // 1000 ELSE 0 END AS part,
+  string_agg(url, chr(10) ORDER BY page_id) AS urls FROM m WHERE n >= 2 GROUP BY ALL)"""
+_STRETCH = ("CASE WHEN n > 1000 THEN ' (crawl positions ' || (part * 1000) || ' to ' || (part * 1000 + 999) || ')' "
+            "ELSE '' END")
+# Links of the derived captures, two equal ones on each page, and their statuses.
+_TARGETS = f"""
+target AS (SELECT page_id, site, url, blocked, CASE page_id % 6
+  WHEN 0 THEN 'https://staging.example.com/en/cart' WHEN 1 THEN 'http://localhost:11434/api'
+  WHEN 2 THEN concat('https://a.internal.example.com/', page_id)
+  WHEN 3 THEN 'https://not-staging.example.com/x' ELSE 'https://example.com/ok' END AS t FROM cap WHERE has_dom),
+probed AS (SELECT *, length(t) % 12 AS c FROM target WHERE NOT blocked)"""
+# llms.txt of a site: a line for every seventh page, and for every fourteenth one that leaks.
+_LISTED = f"""
+entry AS (SELECT page_id, {site('url')} AS site, {norm('url')} AS t, 'Page ' || page_id AS title, 2 AS line FROM pages
+  WHERE page_id % 7 = 0
+ UNION ALL SELECT page_id, {site('url')}, 'https://dev.example.com/' || page_id, '', 3 FROM pages WHERE page_id % 14 = 0),
+told AS (SELECT *, length(t) % 12 AS c, 'https://' || site || '/llms.txt' AS file,
+  'llms.txt section "Docs", line ' || line AS w,
+  'llms.txt link ' || CASE WHEN title = '' THEN t ELSE '"' || title || '"' END AS lead FROM entry),
+told_key AS (SELECT DISTINCT site, {key('t')} AS k FROM entry),
+crawled AS (SELECT site, {key('url')} AS k, min(page_id) AS pos FROM cap WHERE status BETWEEN 200 AND 299 GROUP BY 1, 2),
+listed AS (SELECT {site('url')} AS site, {key('url')} AS k FROM pages WHERE page_id % 5 <> 0 GROUP BY 1, 2),
+gone AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY pos, k) AS r FROM crawled c
+ WHERE NOT EXISTS (SELECT 1 FROM listed l WHERE l.site = c.site AND l.k = c.k) AND site IN (SELECT site FROM listed)),
+untold AS (SELECT site, count(*) AS n FROM listed c WHERE site IN (SELECT site FROM told)
+ AND NOT EXISTS (SELECT 1 FROM told_key l WHERE l.site = c.site AND l.k = c.k) GROUP BY 1)"""
+
+
+def _global(check: str, sev: str, rule: str, msg: str, page: str, src: str, target: str = _NULL,
+            where: str = _NULL, detail: str = _NULL, page_id: str = "CAST(NULL AS BIGINT)") -> str:
+    """A branch of findings that are about more than a page's own row."""
+    lit = lambda v: v if " " in v else f"'{v}'"
+    return (f'SELECT {page_id} AS page_id, site, \'{check}\' AS "check", {lit(sev)} AS severity, {lit(rule)} AS rule, '
+            f'{msg} AS message, {page} AS "pageUrl", {target} AS target, {where} AS "where", {detail} AS detail FROM {src}')
+
+
+def _link(sev: str, rule: str, msg: str, cond: str, detail: str = _NULL) -> str:
+    return _global("links", sev, rule, f"'Link \"Buy\"' || {msg}", "url", f"probed WHERE {cond}", "t",
+                   "'a[href]'", detail, "page_id")
+
+
+WHOLE = union(
+    f"SELECT {COLUMNS} FROM kept",
+    _link("error", "link-unreachable", "' is unreachable: timeout after 10000ms'", "c = 4"),
+    _link("warning", "link-refused",
+          "' returned ' || CASE c WHEN 2 THEN 999 ELSE 403 END || ' to an automated request'", "c IN (2, 3)",
+          "'may be anti-bot protection rather than a broken link; verify by hand'"),
+    _link("error", "link-server-error", "' returned 500'", "c = 1"),
+    _link("error", "link-dead", "' returned 404'", "c = 0"),
+    _link("warning", "link-redirects", "' redirects'", "c = 5", "'-> ' || t || '/moved'"),
+    _link("warning", "link-slow", "' took 20000ms to respond'", "c IN (0, 6)"),
+    _global("cross-page", "warning", "duplicate-title",
+            "n || ' pages share the title \"' || CASE WHEN length(v) > 80 THEN left(v, 80) || '…' ELSE v END || '\"' || "
+            + _STRETCH, "first_url", "dup WHERE kind = 'title'", detail="urls"),
+    _global("cross-page", "warning", "duplicate-meta-description",
+            "n || ' pages share the same meta description' || " + _STRETCH, "first_url",
+            "dup WHERE kind = 'description'",
+            detail="'\"' || CASE WHEN length(v) > 100 THEN left(v, 100) || '…' ELSE v END || '\"' || chr(10) || urls"),
+    f"""SELECT o.page_id, o.site, 'cross-page', 'warning', 'hreflang-not-reciprocal',
+ 'Declares hreflang="de" alternate that does not point back', o.url, e.alt_key, 'link[hreflang=de]', NULL
+FROM alt e JOIN cap o USING (page_id) JOIN (SELECT site, {key('url')} AS k, max(page_id) AS page_id FROM cap
+  WHERE status BETWEEN 200 AND 299 GROUP BY 1, 2) t ON t.k = e.alt_key AND t.site = o.site
+WHERE o.status BETWEEN 200 AND 299 AND o.has_dom AND e.alt_key <> e.self_key AND NOT EXISTS (
+ SELECT 1 FROM alt r JOIN cap c USING (page_id) WHERE r.page_id = t.page_id AND c.has_dom AND r.alt_key = e.self_key)""",
+    _global("cross-page", "warning", "page-missing-from-sitemap",
+            "count(*) || ' crawled pages are not listed in the sitemap'", "any_value(base)",
+            "gone JOIN bases USING (site) GROUP BY site",
+            detail="string_agg(k, chr(10) ORDER BY r) FILTER (WHERE r <= 50)"),
+    _global("llms-txt", "error", "llms-txt-link-unreachable", "lead || ' is unreachable: timeout after 10000ms'",
+            "file", "told WHERE c = 4", "t", "w"),
+    _global("llms-txt", "error", "llms-txt-link-dead",
+            "lead || ' returned ' || CASE c WHEN 0 THEN 404 WHEN 1 THEN 500 WHEN 2 THEN 999 ELSE 403 END",
+            "file", "told WHERE c < 4", "t", "w"),
+    _global("llms-txt", "warning", "llms-txt-link-redirects", "lead || ' redirects — update it to the final URL'",
+            "file", "told WHERE c = 5", "t", "w", "'-> ' || t || '/moved'"),
+    """SELECT NULL, site, 'llms-txt', 'info', 'llms-txt-coverage', 'llms.txt lists ' || (SELECT count(*) FROM told_key k
+  WHERE k.site = u.site) || ' URLs; ' || n || ' sitemap URLs are not in it', 'https://' || site || '/llms.txt',
+ NULL, NULL, NULL FROM untold u""",
+    _global("forbidden-hosts", "error", "forbidden-host-in-text-file",
+            "'Forbidden host \"dev.example.com\" (matches \"dev.example.com\") referenced in ' || file", "file",
+            "told WHERE line = 3", "t", "file"),
+    _global("consent-banner", "CASE WHEN page_id % 9 = 4 THEN 'warning' ELSE 'error' END",
+            "CASE WHEN page_id % 9 = 4 THEN 'consent-banner-check-failed' ELSE 'consent-banner-missing' END",
+            "CASE WHEN page_id % 9 = 4 THEN 'Could not verify the consent banner: Timeout 30000ms exceeded' "
+            "ELSE 'No cookie-consent banner appeared for a first-time visitor in a fresh, unseeded browser context' END",
+            "url", "cap WHERE page_id % 9 = 4 OR page_id % 2 = 1"),
+)
+
+
+def whole_sql(select: str) -> str:
+    return page_union(f", {_BASES}, {_DUPLICATES}, {_TARGETS}, {_LISTED}, whole AS ({WHOLE}) {select}")
+
+
+def _whole_audit(spark, sf_dir):
+    """The derived crawl of all sites with their site files, link probes, first visits and fetch log."""
+    source = D.pages(spark, sf_dir)
+    captures = D.captures_of(source, hreflang=True)
+    files = D.site_files(source)
+    status = D.link_status(probe_worklist(captures, CONFIG, parse_llms_txt(files.where("kind = 'llms'"))))
+    _, retries = L.reduce_page_attempts(D.page_attempts(source))
+    return audit(captures, CONFIG, files=files, link_status=status, landing=D.landing(source), retries=retries,
+                 started_at="2026-01-01T00:00:00Z", finished_at="2026-01-01T00:01:30Z")
+
+
+@query("full_audit", whole_sql(f"""
+SELECT page_id, site, "check", severity, rule, message, "pageUrl", target, "where",
+ CASE WHEN rule <> 'llms-txt-coverage' THEN detail END AS detail FROM whole"""))
 def full_audit(spark, sf_dir):
-    """Page pass, cross-page pass and consent pass, counted per site and rule."""
+    """Every finding of every rule. The list inside llms-txt-coverage is compared by llms_coverage."""
+    return found(_whole_audit(spark, sf_dir).issues).withColumn(
+        "detail", F.when(F.col("rule") != "llms-txt-coverage", F.col("detail")))
+
+
+@query("audit_runs", whole_sql(f"""
+, checked AS (SELECT site, count(DISTINCT t) AS n FROM probed GROUP BY 1),
+offered AS (SELECT site, 2 * count(*) AS n, count(DISTINCT t) AS k FROM target GROUP BY 1),
+late AS (SELECT site, CAST(sum(CASE page_id % 10 WHEN 3 THEN 1 WHEN 6 THEN 2 WHEN 9 THEN 1 ELSE 0 END) AS BIGINT) AS n
+ FROM cap GROUP BY 1),
+tally AS (SELECT site, count_if(severity = 'error') AS error, count_if(severity = 'warning') AS warning,
+ count_if(severity = 'info') AS info FROM whole GROUP BY 1)
+SELECT cap.site, 'main' AS run, any_value(base) AS "baseUrl", CAST(90000 AS BIGINT) AS "durationMs",
+ count(*) AS "pagesCrawled", CAST(count_if(blocked) AS BIGINT) AS "pagesBlocked",
+ coalesce(any_value(checked.n), 0) AS "linksChecked", CAST(any_value(error) AS BIGINT) AS error,
+ CAST(any_value(warning) AS BIGINT) AS warning, CAST(any_value(info) AS BIGINT) AS info,
+ any_value(late.n) AS "rateLimited", coalesce(any_value(offered.k), 0) AS off_site,
+ coalesce(any_value(offered.n - offered.k), 0) AS duplicate
+FROM cap JOIN bases USING (site) JOIN late USING (site) JOIN tally USING (site) LEFT JOIN checked USING (site)
+ LEFT JOIN offered USING (site) GROUP BY cap.site"""))
+def audit_runs(spark, sf_dir):
+    """The summary row of each site's run."""
+    runs = _whole_audit(spark, sf_dir).runs
+    skipped = lambda reason, name: F.coalesce(F.col("skipped")[reason], F.lit(0)).alias(name)
+    return runs.select(
+        "site", "run", "baseUrl", "durationMs", "pagesCrawled", "pagesBlocked", "linksChecked", "error",
+        "warning", "info", "rateLimited", skipped("off-site", "off_site"), skipped("duplicate", "duplicate"))
+
+
+_PATTERNS = f"""
+pat AS (SELECT site, 'forbiddenHosts' AS list, k AS pos, 'x' || k || '.' || site AS pattern
+  FROM {{sites}}, (SELECT unnest(range(0, 40)) AS k) WHERE n % 4 < 3
+ UNION ALL SELECT site, 'forbiddenHosts', 50 + k, CASE n % 4 WHEN 0 THEN ['*.internal.example.com', 'staging.*', 'dev.example.com'][k]
+   WHEN 1 THEN ['st*.example.com', '*a*.internal.*', 'DEV.example.com'][k] ELSE ['staging.example.com', '*.example.com', 'dev.*'][k] END
+  FROM {{sites}}, (SELECT unnest(range(1, 4)) AS k) WHERE n % 4 < 3
+ UNION ALL SELECT site, 'forbiddenHosts', k, ['staging.example.com', 'dev.example.com', '*.internal.example.com'][k]
+  FROM {{sites}}, (SELECT unnest(range(1, 4)) AS k) WHERE n % 4 = 3
+ UNION ALL SELECT site, 'localhostHosts', 1, '127.0.*' FROM {{sites}} WHERE n % 3 = 0
+ UNION ALL SELECT site, 'localhostHosts', k, ['localhost', '127.0.0.1', '0.0.0.0', '*.local'][k]
+  FROM {{sites}}, (SELECT unnest(range(1, 5)) AS k) WHERE n % 3 > 0)""".format(
+    sites=f"(SELECT DISTINCT {site('url')} AS site, length({site('url')}) AS n FROM pages)")
+_FITS = ("regexp_matches(h, '^' || replace(replace(lower(pattern), '.', '\\.'), '*', '.*') || '$') "
+         "OR (pattern LIKE '*.%' AND h = lower(substr(pattern, 3))) "
+         "OR (pattern LIKE '%.*' AND h = lower(left(pattern, length(pattern) - 2)))")
+
+
+@query("per_site_leaks", f"""{BASE}, {LEAK_CTE}, {_ALT}, {_PATTERNS},
+every AS (SELECT * FROM men WHERE w <> 'link[hreflang=de]' UNION ALL SELECT page_id, 'forbidden-host-in-hreflang',
+  'link[hreflang=de]', other, NULL, has_dom FROM pair JOIN cap USING (page_id)),
+said AS (SELECT e.*, site, {_HOST} AS h FROM every e JOIN cap USING (page_id) WHERE ok),
+hit AS (SELECT s.page_id, s.site, s.rule, s.w, s.t, s.d, s.h,
+  arg_min(pattern, pos) FILTER (WHERE list = 'forbiddenHosts') AS a,
+  arg_min(pattern, pos) FILTER (WHERE list = 'localhostHosts' AND w <> 'a[href]' AND h <> s.site) AS b
+ FROM said s JOIN pat p ON p.site = s.site AND ({_FITS}) GROUP BY ALL)
+SELECT page_id, site, rule, 'Forbidden host "' || h || '" (matches "' || coalesce(a, b) || '") referenced in ' || w AS message,
+ t AS target, w AS "where", d AS detail FROM hit WHERE coalesce(a, b) IS NOT NULL""")
+def per_site_leaks(spark, sf_dir):
+    """Each site has a list of its own, most of it exact hosts; the first entry that matches is named."""
     source = D.pages(spark, sf_dir)
-    result = audit(D.captures_of(source, hreflang=True), CONFIG, landing=D.landing(source),
-                   sitemap=D.sitemap(source))
-    return result.issues.groupBy("site", "rule").agg(F.count("*").alias("n"))
+    n = F.length("site")
+    words = lambda *w: F.array(*map(F.lit, w))
+    own = F.concat(
+        F.transform(F.sequence(F.lit(0), F.lit(39)), lambda k: F.concat(F.lit("x"), k.cast("string"), F.lit("."), F.col("site"))),
+        F.when(n % 4 == 0, words("*.internal.example.com", "staging.*", "dev.example.com"))
+        .when(n % 4 == 1, words("st*.example.com", "*a*.internal.*", "DEV.example.com"))
+        .otherwise(words("staging.example.com", "*.example.com", "dev.*")))
+    sites = source.select("site").distinct().select(
+        "site", F.when(n % 4 < 3, own).alias("forbiddenHosts"),
+        F.when(n % 3 == 0, words("127.0.*")).alias("localhostHosts"))
+    issues = site_leaks(D.captures_of(source, hreflang=True), sites, CONFIG)
+    return issues.select(F.col("seq").alias("page_id"), "site", "rule", "message", "target", "where", "detail")
 
 
 @query("classify", f"""{BASE}, every AS ({SEO})

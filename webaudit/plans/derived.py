@@ -276,3 +276,31 @@ def robots_files(source: DataFrame) -> DataFrame:
         "site", F.lit("robots").alias("kind"),
         F.concat(F.lit("https://"), "site", F.lit("/robots.txt")).alias("url"),
         text.alias("text"), F.lit(None).cast("string").alias("error"))
+
+
+def site_files(source: DataFrame) -> DataFrame:
+    """robots.txt, sitemaps and llms.txt of all sites.
+
+    A site's index lists a sitemap for each page, of which those of every fifth page are missing. An
+    index or an llms.txt has a row for each page it is about, so that no site is one row.
+    """
+    first = source.groupBy("site").agg(F.regexp_extract(
+        F.min_by("url", "page_id"), "^https?://[^/]+", 0).alias("base"))
+    based = salted_join(source.select("site", "page_id", "url"), first, ["site"], ["page_id"])
+    none = F.lit(None).cast("string").alias("error")
+    index = F.concat(F.col("base"), F.lit("/sitemap.xml"))
+    leaf = F.concat(F.col("base"), F.lit("/sitemaps/"), F.col("page_id"), F.lit(".xml"))
+    loc = lambda url: F.concat(F.lit("<loc>"), url, F.lit("</loc>"))
+    escaped = F.replace("url", F.lit("&"), F.lit("&amp;"))
+    indexes = based.select("site", F.lit("sitemap").alias("kind"), index.alias("url"), F.concat(
+        F.lit("<sitemapindex>"), loc(leaf), F.lit("</sitemapindex>")).alias("text"), none)
+    leaves = based.where("page_id % 5 <> 0").select(
+        "site", F.lit("sitemap").alias("kind"), leaf.alias("url"),
+        F.concat(F.lit("<urlset>"), loc(escaped), F.lit("</urlset>")).alias("text"), none)
+    leak = F.when(F.col("page_id") % 14 == 0, F.concat(F.lit("https://dev.example.com/"), F.col("page_id")))
+    llms = source.where("page_id % 7 = 0").select(
+        "site", F.lit("llms").alias("kind"),
+        F.concat(F.lit("https://"), "site", F.lit("/llms.txt")).alias("url"),
+        F.concat_ws("\n", F.lit("## Docs"), F.concat(
+            F.lit("- [Page "), F.col("page_id"), F.lit("]("), F.col("url"), F.lit(")")), leak).alias("text"), none)
+    return robots_files(source).unionByName(indexes).unionByName(leaves).unionByName(llms)
