@@ -1,10 +1,14 @@
 """Several sites in one job: base URLs, sitemap walks, alternates, limits; stored reports."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from webaudit.config import AuditConfig, CustomCheck
-from webaudit.operators.crosspage import duplicate_issues, duplicate_parts, hreflang_issues
+from webaudit.functions.urls import match_host
+from webaudit.operators.crosspage import duplicate_issues, duplicate_members, hreflang_issues
 from webaudit.operators.frontier import crawl_frontier, judge_offers
+from webaudit.operators.host_patterns import match_hosts
 from webaudit.operators.report import write_report
 from webaudit.plans.audit import audit, base_urls
 from webaudit.schemas import ISSUE, RUN, SITE_FILES
@@ -12,7 +16,7 @@ from webaudit.sources.captures import broken_reports, read_report
 from webaudit.sources.logs import reduce_probe_attempts
 from webaudit.sources.textfiles import parse_llms_txt
 
-from captures import capture, dom, frame
+from captures import capture, dom, frame, link
 
 CROSS = AuditConfig(checks=("cross-page",))
 
@@ -64,20 +68,88 @@ def test_a_blocked_page_of_another_site_hides_nothing(spark):
     assert [r.site for r in found] == ["a.com"]
 
 
-def test_large_groups_of_duplicates_lose_no_page(spark):
-    df = frame(spark, *[page("a.com", f"/{i}", i) for i in range(0, 25, 2)],
+def test_large_groups_of_duplicates_are_one_finding_and_lose_no_page(spark):
+    df = frame(spark, *[page("a.com", f"/{i}", i) for i in range(0, 50, 2)],
                *[page("b.com", f"/{i}", i) for i in (3, 90)])
-    parts = {(r.site, r.part): r.urls for r in duplicate_parts(df, "title", inline=10).collect()}
-    assert parts == {
-        ("a.com", 0): [f"https://a.com/{i}" for i in range(0, 10, 2)],
-        ("a.com", 1): [f"https://a.com/{i}" for i in range(10, 20, 2)],
-        ("a.com", 2): [f"https://a.com/{i}" for i in range(20, 25, 2)],
-        ("b.com", 0): ["https://b.com/3", "https://b.com/90"]}
-    messages = sorted(r.message for r in duplicate_issues(df, inline=10).where("rule = 'duplicate-title'").collect())
-    assert [m.split('" ')[-1] for m in messages[:3]] == [
-        "(crawl positions 0 to 9)", "(crawl positions 10 to 19)", "(crawl positions 20 to 29)"]
-    assert len(messages) == 4 and messages[3].endswith('title"')
-    assert audit(df, CROSS).members.where("field = 'title'").count() == 15
+    found = {r.site: r for r in duplicate_issues(df, inline=10).where("rule = 'duplicate-title'").collect()}
+    assert found["a.com"].message.startswith("25 pages share") and found["b.com"].message.startswith("2 pages")
+    assert found["a.com"].detail.split("\n") == [f"https://a.com/{i}" for i in range(0, 20, 2)] + ["… and 15 more"]
+    assert found["b.com"].detail.split("\n") == ["https://b.com/3", "https://b.com/90"]
+    members = duplicate_members(df, "title", chunk=4).where("site = 'a.com'").orderBy("rank").collect()
+    assert [(r.rank, r.chunk, r.url) for r in members] == [
+        (i, i // 4, f"https://a.com/{2 * i}") for i in range(25)]
+    assert audit(df, CROSS).members.where("field = 'title'").count() == 27
+    # The same pages at other crawl positions give the same finding.
+    moved = frame(spark, *[page("a.com", f"/{i}", i * 1000) for i in range(0, 50, 2)])
+    again = duplicate_issues(moved, inline=10).where("rule = 'duplicate-title'").collect()
+    assert [(r.message, r.detail) for r in again] == [(found["a.com"].message, found["a.com"].detail)]
+
+
+def test_run_rows_say_what_the_run_did(spark):
+    links = [link("https://a.com/x"), link("/y"), link("https://b.com/"), link("https://b.com/#t"), link("mailto:a@b.c")]
+    rows = [page("a.com", "/", 0, dom=dom(links=links)),
+            page("a.com", "/x", 1, attempts=3, dom=dom(links=links, title="Just a moment..."), status=403),
+            page("b.com", "/", 0, status=404)]
+    status = spark.createDataFrame([("https://a.com/x", 200, None, 0, None, 5), ("https://b.com/", 404, None, 0, None, 5)],
+                                   "url string, status int, finalUrl string, redirects int, error string, durationMs bigint")
+    files = spark.createDataFrame([("a.com", "robots", "https://a.com/robots.txt", "User-agent: *\nDisallow: /y", None)],
+                                  SITE_FILES)
+    result = audit(frame(spark, *rows), AuditConfig(runName="Night run", includePaths=()), files=files,
+                   link_status=status, started_at="2026-01-01T00:00:00Z", finished_at="2026-01-01T00:00:02Z")
+    runs = {r.site: r for r in result.runs.collect()}
+    a, b = runs["a.com"], runs["b.com"]
+    assert (a.run, a.baseUrl, a.durationMs, a.pagesCrawled, a.pagesBlocked, a.linksChecked, a.rateLimited) == (
+        "night-run", "https://a.com", 2000, 2, 1, 2, 2)
+    # Ten offers: /x is new once, /y is shut off by robots.txt, b.com is another site, mailto is no page.
+    assert a.skipped == {"robots": 1, "off-site": 1, "invalid": 2, "duplicate": 5}
+    assert (b.pagesCrawled, b.linksChecked, b.skipped) == (1, 0, {})
+    counted = result.issues.where("site = 'a.com'").groupBy("severity").count().collect()
+    assert {r["severity"]: r["count"] for r in counted} == {
+        k: v for k, v in (("error", a.error), ("warning", a.warning), ("info", a.info)) if v}
+    assert result.totals["pages"] == 3 and result.totals["blocked"] == 1 and result.totals["retried"] == 2
+
+
+def test_site_patterns_equal_lists_tried_in_order(spark):
+    rng = random.Random(5)
+    labels = ["a", "b", "staging", "example", "com", "local", "x1"]
+    hosts = sorted({".".join(rng.choices(labels, k=rng.randrange(1, 5))) for _ in range(150)} | {"A.Example", ""})
+    made = lambda: ".".join(rng.choices([*labels, "*", "*", "st*", "*x1"], k=rng.randrange(1, 4)))
+    lists = {site: [made() for _ in range(60)] + ["a.b", "A.*", "*.LOCAL"] for site in ("one.com", "two.com")}
+    lists["none.com"] = []
+    patterns = spark.createDataFrame(
+        [(s, "forbiddenHosts", i, p) for s, ps in lists.items() for i, p in enumerate(ps)],
+        "site string, list string, pos int, pattern string")
+    df = spark.createDataFrame([(s, h) for s in lists for h in hosts], "site string, host string")
+    got = {(r.site, r.host): r.pattern for r in match_hosts(df, patterns).collect()}
+    for site, listed in lists.items():
+        want = df.where(F.col("site") == site).select("host", match_host(F.col("host"), listed).alias("p")).collect()
+        assert {r.host: got.get((site, r.host)) for r in want} == {r.host: r.p for r in want}
+    assert len(got) > 100
+
+
+def test_site_lists_in_an_audit(spark):
+    leaky = dom(links=[link("https://dev.a.com/"), link("https://x.ngrok.io/")])
+    rows = [page(s, "/", 0, dom=leaky, requestUrls=["http://localhost:1/", "http://127.0.0.1/"])
+            for s in ("a.com", "b.com", "c.com")]
+    sites = spark.createDataFrame(
+        [("a.com", ["dev.*"], ["localhost"]), ("b.com", [], None), ("c.com", None, [])],
+        "site string, forbiddenHosts array<string>, localhostHosts array<string>")
+    files = spark.createDataFrame([(s, "llms", f"https://{s}/llms.txt", "see https://dev.a.com/z", None)
+                                   for s in ("a.com", "b.com")], SITE_FILES)
+    cfg = AuditConfig(checks=("forbidden-hosts",))
+    result = audit(frame(spark, *rows), cfg, files=files, sites=sites)
+    assert sorted((r.site, r.rule, r.target) for r in result.issues.collect()) == [
+        ("a.com", "forbidden-host-in-link", "https://dev.a.com/"),
+        ("a.com", "forbidden-host-in-request", "http://localhost:1/"),
+        ("a.com", "forbidden-host-in-text-file", "https://dev.a.com/z"),
+        ("b.com", "forbidden-host-in-request", "http://127.0.0.1/"),
+        ("b.com", "forbidden-host-in-request", "http://localhost:1/"),
+        ("c.com", "forbidden-host-in-link", "https://x.ngrok.io/")]
+    plain = audit(frame(spark, rows[0]), cfg.with_(forbiddenHosts=("dev.*",), localhostHosts=("localhost",)), files=files)
+    key = lambda r: (r.rule, r.message, r.target, r.where, r.detail)
+    assert sorted(map(key, plain.issues.where("site = 'a.com'").collect()), key=str) == sorted(
+        map(key, result.issues.where("site = 'a.com'").collect()), key=str)
+
 
 
 def test_limits_of_each_site(spark):

@@ -109,3 +109,44 @@ def test_retries_across_batches(spark, tmp_path, rocksdb):
         stream(spark, path, "url string, attempt_no int, status int"), AuditConfig()), "t")
     assert sorted(map(tuple, out.select("url", "status", "attempts", "retried").collect())) == [
         ("a", 200, 2, 1), ("b", 200, 1, 0), ("c", 429, 3, 2)]
+
+
+def test_urls_are_probed_once_ever(spark, tmp_path):
+    def links(*urls):
+        return spark.createDataFrame([(u,) for u in urls], "url string")
+
+    path = land(tmp_path, links("https://a/1", "https://a/1#x", "https://a/2"), links("https://a/3"),
+                links("https://a/1?utm_source=y", "https://a/k", "mailto:x"), links("https://a/4", "https://a/3"))
+    known = links("https://a/k")
+    out, mark = scratch_path(spark, "once"), scratch_path(spark, "once-mark")
+    for _ in range(2):  # a restart offers nothing again
+        S.probe_batches(stream(spark, path, "url string"), AuditConfig(), out, mark, known).awaitTermination()
+        got = [(r.batch, r.url) for r in spark.read.schema("url string, batch int").parquet(out).collect()]
+        assert sorted(got) == [(0, "https://a/1"), (0, "https://a/2"), (1, "https://a/3"), (3, "https://a/4")]
+
+
+def test_windows_in_update_mode_take_late_rows_and_keep_no_closed_state(spark, tmp_path):
+    def pages(*seconds):
+        return spark.createDataFrame([(T0 - T0 % 60 + s, 1, 0) for s in seconds],
+                                     "t long, errors int, warnings int").select(
+            F.timestamp_seconds("t").alias("ts"), "errors", "warnings")
+
+    path = land(tmp_path, pages(0, 10, 61), pages(20, 62), pages(1000), pages(1001), pages(30, 1002), pages(2000))
+    beat = S.heartbeat(stream(spark, path, "ts timestamp, errors int, warnings int"), "1 minute", delay="2 minutes")
+    out = scratch_path(spark, "beat")
+    run = S.upsert_batches(beat, out, scratch_path(spark, "beat-mark"))
+    run.awaitTermination()
+    got = S.latest(spark, out, beat.schema, ["start", "end"]).orderBy("start").collect()
+    assert [r.pages for r in got] == [3, 2, 3, 1]  # the row at 30 s came after its window had closed
+    assert run.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
+
+
+def test_urls_that_never_return_are_forgotten(spark, tmp_path, rocksdb):
+    def fetches(*rows):
+        return spark.createDataFrame(list(rows), "url string, attempt_no int, status int")
+
+    path = land(tmp_path, fetches(("a", 1, 429), ("b", 1, 429)), fetches(("z", 1, 200)), fetches(("a", 2, 200)))
+    out = S.run_available(S.final_captures(
+        stream(spark, path, "url string, attempt_no int, status int"), AuditConfig(), ttl_ms=1), "t")
+    assert sorted(map(tuple, out.select("url", "status", "attempts", "retried").collect())) == [
+        ("a", 200, 2, 0), ("z", 200, 1, 0)]

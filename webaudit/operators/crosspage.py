@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..config import AuditConfig
@@ -13,7 +14,7 @@ from .checks.common import issue
 from .skew import first_k_list, salted_join
 
 LISTED = 50  # fixed value: URLs named in a drift finding
-INLINE = 1000  # URLs a row of a duplicate finding names; larger groups take several rows
+INLINE = 1000  # URLs that a duplicate finding names; all of them are members
 
 
 def ok_pages(captures: DataFrame) -> DataFrame:
@@ -25,72 +26,69 @@ def _as_issues(df: DataFrame, item: Column) -> DataFrame:
         "site", "seq", "i.*")
 
 
-def duplicate_members(captures: DataFrame, field: str = "title") -> DataFrame:
-    """Every page of every group sharing a title or description: ``site, value, seq, url``."""
-    pages = _valued(captures, field)
-    groups = pages.groupBy("site", "value").agg(F.count("*").alias("n")).where("n >= 2")
-    return salted_join(pages, groups.drop("n"), ["site", "value"], ["seq", "url"], "left_semi")
-
-
 def _valued(captures: DataFrame, field: str) -> DataFrame:
     return ok_pages(captures).select(
         "site", F.col(f"dom.{field}").alias("value"), "seq", "url").where(~is_blank(F.col("value")))
 
 
-def duplicate_groups(captures: DataFrame, field: str = "title", inline: int = INLINE) -> DataFrame:
-    """``site, value, n, first_url, urls`` of values used by two pages or more.
-
-    Counts and first URLs combine before the shuffle; the list inside a row stays bounded
-    (a hot group is cut to its first ``inline`` pages in two rounds) and the full
-    membership is the table of ``duplicate_members``.
-    """
+def _grouped(captures: DataFrame, field: str) -> tuple[DataFrame, DataFrame]:
+    """Groups of two pages or more, and the pages in them. Counts combine before the shuffle."""
     pages = _valued(captures, field)
     groups = pages.groupBy("site", "value").agg(
-        F.count("*").alias("n"), F.min(F.struct("seq", "url")).alias("first")).where("n >= 2")
-    lists = first_k_list(pages, ["site", "value"], [F.col("seq"), F.col("url")], "url", inline,
-                         "urls", ["seq", "url"])
-    return groups.join(lists, ["site", "value"]).select(
-        "site", "value", "n", F.col("first.seq").alias("first_seq"),
-        F.col("first.url").alias("first_url"), "urls")
+        F.count("*").alias("n"), F.min(F.struct("seq", "url"))["url"].alias("first_url")).where(
+        "n >= 2")
+    return groups, salted_join(pages, groups, ["site", "value"], ["seq", "url"])
 
 
-def duplicate_parts(captures: DataFrame, field: str = "title", inline: int = INLINE) -> DataFrame:
-    """``site, value, n, first_url, part, urls``: every page of every group, in bounded lists.
+def duplicate_members(captures: DataFrame, field: str = "title", chunk: int = INLINE) -> DataFrame:
+    """Every page of every group sharing a title or description: ``site, value, seq, url, rank, chunk``.
 
-    A group of up to ``inline`` pages is one row, with ``part`` 0. A larger one has a row for
-    each stretch of ``inline`` crawl positions that it touches, numbered by the stretch, so
-    no list outgrows a row and no task has a whole group. Pages keep their crawl order.
+    ``rank`` numbers a group's pages from 0 in crawl order, without gaps; ``chunk`` holds ``chunk``
+    of them. Pages are numbered within stretches of crawl positions, each in its own task, and
+    the stretches' counts are summed up; so a group is never in one task, only a row for each of
+    its stretches.
     """
-    pages = _valued(captures, field)
-    groups = pages.groupBy("site", "value").agg(
-        F.count("*").alias("n"), F.min(F.struct("seq", "url"))["url"].alias("first_url")).where(
-        "n >= 2")
-    members = salted_join(pages, groups, ["site", "value"], ["seq", "url"])
-    stretch = F.when(F.col("n") > inline, F.floor(F.col("seq") / inline)).otherwise(0)
-    listed = members.groupBy("site", "value", "n", "first_url", stretch.alias("part")).agg(
-        F.array_sort(F.collect_list(F.struct("seq", "url"))).alias("m"))
-    return listed.select("site", "value", "n", "first_url", "part", F.col("m.url").alias("urls"))
+    _, members = _grouped(captures, field)
+    placed = members.withColumn("_stretch", F.floor(F.coalesce("seq", F.lit(-1)) / chunk))
+    group = ["site", "value"]
+    before = W.partitionBy(*group).orderBy("_stretch").rowsBetween(W.unboundedPreceding, -1)
+    sums = placed.groupBy(*group, "_stretch").agg(F.count("*").alias("_n")).withColumn(
+        "_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    inside = W.partitionBy(*group, "_stretch").orderBy("seq", "url")
+    ranked = placed.withColumn("_at", F.row_number().over(inside) - 1).join(
+        sums.drop("_n"), [*group, "_stretch"])
+    rank = F.col("_before") + F.col("_at")
+    return ranked.select(*group, "seq", "url", rank.alias("rank"),
+                         F.floor(rank / chunk).alias("chunk"))
+
+
+def duplicate_groups(captures: DataFrame, field: str = "title", inline: int = INLINE) -> DataFrame:
+    """``site, value, n, first_url, urls``: a row per group, with its first ``inline`` pages in crawl order.
+
+    The list is the only thing that is bounded; ``duplicate_members`` has every page.
+    """
+    groups, members = _grouped(captures, field)
+    lists = first_k_list(members, ["site", "value"], [F.col("seq"), F.col("url")], "url", inline,
+                         "urls", ["seq", "url"])
+    return groups.join(lists, ["site", "value"]).select("site", "value", "n", "first_url", "urls")
 
 
 def duplicate_issues(captures: DataFrame, inline: int = INLINE) -> DataFrame:
-    """A finding per group of duplicates, naming every page.
+    """A finding per group of duplicates, naming its pages.
 
-    Groups above ``inline`` pages take several rows that say which crawl positions they list.
+    A group above ``inline`` pages names the first ones and how many more there are.
     """
     count = F.col("n").cast("string")
-    start = F.col("part") * inline
-    stretch = F.when(F.col("n") > inline, F.concat(
-        F.lit(" (crawl positions "), start.cast("string"), F.lit(" to "),
-        (start + inline - 1).cast("string"), F.lit(")"))).otherwise("")
-    urls = F.array_join("urls", "\n")
-    titles = _as_issues(duplicate_parts(captures, "title", inline), issue(
+    more = F.when(F.col("n") > inline, F.concat(
+        F.lit("\n… and "), (F.col("n") - inline).cast("string"), F.lit(" more"))).otherwise("")
+    urls = F.concat(F.array_join("urls", "\n"), more)
+    titles = _as_issues(duplicate_groups(captures, "title", inline), issue(
         "cross-page", "warning", "duplicate-title",
-        F.concat(count, F.lit(' pages share the title "'), truncate(F.col("value"), 80),
-                 F.lit('"'), stretch),
+        F.concat(count, F.lit(' pages share the title "'), truncate(F.col("value"), 80), F.lit('"')),
         page_url=F.col("first_url"), detail=urls))
-    descriptions = _as_issues(duplicate_parts(captures, "metaDescription", inline), issue(
+    descriptions = _as_issues(duplicate_groups(captures, "metaDescription", inline), issue(
         "cross-page", "warning", "duplicate-meta-description",
-        F.concat(count, F.lit(" pages share the same meta description"), stretch),
+        F.concat(count, F.lit(" pages share the same meta description")),
         page_url=F.col("first_url"),
         detail=F.concat(F.lit('"'), truncate(F.col("value"), 100), F.lit('"\n'), urls)))
     return titles.unionByName(descriptions)

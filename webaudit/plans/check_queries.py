@@ -176,8 +176,7 @@ def leak_pages(spark, sf_dir):
 
 
 @query("text_file_leaks", f"""
-WITH f AS (SELECT page_id, {site('url')} AS site, 'https://' || {site('url')} || '/' || page_id || '/llms.txt' AS file FROM pages
- WHERE page_id % 7 = 0)
+WITH f AS (SELECT page_id, {site('url')} AS site, 'https://' || {site('url')} || '/' || page_id || '/llms.txt' AS file FROM pages)
 SELECT page_id, 'dev.example.com' AS host, 'https://dev.example.com/' || page_id AS target,
  'Forbidden host "dev.example.com" (matches "dev.example.com") referenced in ' || file AS message FROM f WHERE page_id % 2 = 0
 UNION ALL SELECT page_id, 'x.internal.example.com', 'https://X.internal.example.com/a',
@@ -187,7 +186,7 @@ def text_file_leaks(spark, sf_dir):
         F.lit("# t\n[a](https://X.internal.example.com/a) <https://x.internal.example.com/b>\n"),
         F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("see https://dev.example.com/"), "page_id"))
         .otherwise("http://localhost:1/x"), F.lit(" and "), "url")
-    files = D.pages(spark, sf_dir).where("page_id % 7 = 0").select(
+    files = D.pages(spark, sf_dir).select(
         "site", F.concat(F.lit("https://"), "site", F.lit("/"), "page_id", F.lit("/llms.txt")).alias("url"),
         text.alias("text"))
     return C.scan_text_files(files, CONFIG).select(
@@ -385,12 +384,14 @@ def custom_check(spark, sf_dir):
 # --- cross-page -----------------------------------------------------------------------------
 
 @query("duplicate_descriptions", f"""{BASE},
-m AS (SELECT site, description, page_id, url, count(*) OVER g AS n, first_value(url) OVER (g ORDER BY page_id) AS first_url
+m AS (SELECT site, description, page_id, url, count(*) OVER g AS n, first_value(url) OVER (g ORDER BY page_id) AS first_url,
+  row_number() OVER (g ORDER BY page_id) AS r
  FROM cap WHERE has_dom AND status BETWEEN 200 AND 299 AND description IS NOT NULL WINDOW g AS (PARTITION BY site, description)),
-g AS (SELECT site, description, n, first_url, CASE WHEN n > 1000 THEN page_id // 1000 ELSE 0 END AS part,
-  string_agg(url, chr(10) ORDER BY page_id) AS urls FROM m WHERE n >= 2 GROUP BY 1, 2, 3, 4, 5)
-SELECT site, 'duplicate-meta-description' AS rule, n || ' pages share the same meta description' || CASE WHEN n > 1000
- THEN ' (crawl positions ' || (part * 1000) || ' to ' || (part * 1000 + 999) || ')' ELSE '' END AS message, first_url AS "pageUrl",
+g AS (SELECT site, description, n, first_url, string_agg(url, chr(10) ORDER BY page_id) FILTER (WHERE r <= 1000)
+   || CASE WHEN n > 1000 THEN chr(10) || '… and ' || (n - 1000) || ' more' ELSE '' END AS urls
+  FROM m WHERE n >= 2 GROUP BY 1, 2, 3, 4)
+SELECT site, 'duplicate-meta-description' AS rule, n || ' pages share the same meta description' AS message,
+ first_url AS "pageUrl",
  '"' || CASE WHEN length(description) > 100 THEN left(description, 100) || '…' ELSE description END || '"' || chr(10) || urls AS detail FROM g""")
 def duplicate_descriptions(spark, sf_dir):
     return X.duplicate_issues(D.captures(spark, sf_dir)).where(
@@ -444,7 +445,7 @@ def llms_coverage(spark, sf_dir):
 @query("llms_links", f"""
 WITH l AS (SELECT page_id, {site('url')} AS site, url, {norm('url')} AS n, page_id + 1 AS line,
   CASE WHEN page_id % 2 = 0 THEN 'llms.txt section "Docs", line ' ELSE 'llms.txt line ' END || (page_id + 1) AS w,
-  'llms.txt link "Page ' || page_id || '"' AS lead FROM pages WHERE page_id % 7 = 0),
+  'llms.txt link "Page ' || page_id || '"' AS lead FROM pages),
 s AS (SELECT *, length(n) % 12 AS c FROM l)
 SELECT 'error' AS severity, 'llms-txt-link-unreachable' AS rule, lead || ' is unreachable: timeout after 10000ms' AS message,
  'https://' || site || '/llms.txt' AS "pageUrl", url AS target, w AS "where", CAST(NULL AS VARCHAR) AS detail FROM s WHERE c = 4
@@ -456,7 +457,7 @@ def llms_links(spark, sf_dir):
     from ..functions.urls import normalize_url
     source = D.pages(spark, sf_dir)
     status = D.link_status(source.select(normalize_url("url").alias("url")).distinct())
-    return X.llms_link_issues(D.llms(source), status).select(
+    return X.llms_link_issues(D.llms(source, every=1), status).select(
         "severity", "rule", "message", "pageUrl", "target", "where", "detail")
 
 
@@ -599,15 +600,14 @@ def per_site_thresholds(spark, sf_dir):
 
 _BASES = f"""bases AS (SELECT {site('url')} AS site, regexp_extract(arg_min(url, page_id), '^https?://[^/]+', 0) AS base
  FROM pages GROUP BY 1)"""
-# Pages by their part of a group of duplicates, as in duplicate_descriptions.
 _DUPLICATES = """
-m AS (SELECT site, kind, v, page_id, url, count(*) OVER g AS n, first_value(url) OVER (g ORDER BY page_id) AS first_url
+m AS (SELECT site, kind, v, page_id, url, count(*) OVER g AS n, first_value(url) OVER (g ORDER BY page_id) AS first_url,
+  row_number() OVER (g ORDER BY page_id) AS r
  FROM (SELECT *, 'title' AS kind, title AS v FROM cap UNION ALL SELECT *, 'description', description FROM cap)
  WHERE has_dom AND status BETWEEN 200 AND 299 AND v <> '' WINDOW g AS (PARTITION BY site, kind, v)),
-dup AS (SELECT site, kind, v, n, first_url, CASE WHEN n > 1000 THEN page_id // 1000 ELSE 0 END AS part,
-  string_agg(url, chr(10) ORDER BY page_id) AS urls FROM m WHERE n >= 2 GROUP BY ALL)"""
-_STRETCH = ("CASE WHEN n > 1000 THEN ' (crawl positions ' || (part * 1000) || ' to ' || (part * 1000 + 999) || ')' "
-            "ELSE '' END")
+dup AS (SELECT site, kind, v, n, first_url, string_agg(url, chr(10) ORDER BY page_id) FILTER (WHERE r <= 1000)
+  || CASE WHEN n > 1000 THEN chr(10) || '… and ' || (n - 1000) || ' more' ELSE '' END AS urls
+ FROM m WHERE n >= 2 GROUP BY ALL)"""
 # Links of the derived captures, two equal ones on each page, and their statuses.
 _TARGETS = f"""
 target AS (SELECT page_id, site, url, blocked, CASE page_id % 6
@@ -656,10 +656,10 @@ WHOLE = union(
     _link("warning", "link-redirects", "' redirects'", "c = 5", "'-> ' || t || '/moved'"),
     _link("warning", "link-slow", "' took 20000ms to respond'", "c IN (0, 6)"),
     _global("cross-page", "warning", "duplicate-title",
-            "n || ' pages share the title \"' || CASE WHEN length(v) > 80 THEN left(v, 80) || '…' ELSE v END || '\"' || "
-            + _STRETCH, "first_url", "dup WHERE kind = 'title'", detail="urls"),
+            "n || ' pages share the title \"' || CASE WHEN length(v) > 80 THEN left(v, 80) || '…' ELSE v END || '\"'",
+            "first_url", "dup WHERE kind = 'title'", detail="urls"),
     _global("cross-page", "warning", "duplicate-meta-description",
-            "n || ' pages share the same meta description' || " + _STRETCH, "first_url",
+            "n || ' pages share the same meta description'", "first_url",
             "dup WHERE kind = 'description'",
             detail="'\"' || CASE WHEN length(v) > 100 THEN left(v, 100) || '…' ELSE v END || '\"' || chr(10) || urls"),
     f"""SELECT o.page_id, o.site, 'cross-page', 'warning', 'hreflang-not-reciprocal',

@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from ..functions.urls import site_of
 from ..operators.skew import salted_join
 from ..schemas import AXE, CAPTURE_FIELDS, DOM
-from ..session import spread
 from ..sources.html import extract_dom
 
 
@@ -22,8 +21,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def dom_pages(spark: SparkSession, sf_dir: str, *surfaces: str) -> DataFrame:
     """Pages with the named surfaces of their real HTML."""
-    raw = spread(spark.read.parquet(f"{sf_dir}/pages.parquet")).withColumn("site", site_of("url"))
-    return extract_dom(raw, surfaces=surfaces)
+    return extract_dom(pages(spark, sf_dir), surfaces=surfaces)
 
 
 def html_captures(spark: SparkSession, sf_dir: str, *surfaces: str) -> DataFrame:
@@ -172,8 +170,9 @@ def sitemap(source: DataFrame) -> DataFrame:
     return source.where("page_id % 5 <> 0").select("site", "url", F.col("page_id").alias("pos"))
 
 
-def llms(source: DataFrame) -> DataFrame:
-    return source.where("page_id % 7 = 0").select(
+def llms(source: DataFrame, every: int = 7) -> DataFrame:
+    """Entries of llms.txt for every so manyth page."""
+    return source.where(f"page_id % {every} = 0").select(
         "site", F.concat(F.lit("https://"), "site", F.lit("/llms.txt")).alias("file"),
         F.expr("CASE WHEN page_id % 2 = 0 THEN 'Docs' ELSE '' END").alias("section"),
         F.concat(F.lit("Page "), F.col("page_id")).alias("title"), "url",

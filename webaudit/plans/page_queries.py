@@ -10,7 +10,7 @@ from ..functions import urls as U
 from ..functions.lets import explode_rows
 from ..operators.checks import check_links
 from ..operators.classify import classify_issues
-from ..operators.crosspage import duplicate_members, duplicate_parts
+from ..operators.crosspage import duplicate_groups, duplicate_members
 from ..operators.frontier import found_on, link_edges, probe_worklist
 from ..operators.report import counts_by_rule
 from ..sources import textfiles as X
@@ -266,22 +266,23 @@ def _titled(spark, sf_dir):
 
 @query("duplicate_titles", f"""
 WITH {_TITLES}
-SELECT site, title AS value, n, first_url, CAST(CASE WHEN n > 1000 THEN page_id // 1000 ELSE 0 END AS BIGINT) AS part,
- string_agg(url, chr(10) ORDER BY page_id) AS urls
-FROM (SELECT *, count(*) OVER g AS n, first_value(url) OVER (g ORDER BY page_id) AS first_url
- FROM t WHERE title IS NOT NULL WINDOW g AS (PARTITION BY site, title)) WHERE n >= 2 GROUP BY 1, 2, 3, 4, 5""")
+SELECT site, title AS value, n, first_url, string_agg(url, chr(10) ORDER BY page_id) FILTER (WHERE r <= 1000) AS urls
+FROM (SELECT *, count(*) OVER g AS n, first_value(url) OVER (g ORDER BY page_id) AS first_url,
+  row_number() OVER (g ORDER BY page_id) AS r FROM t WHERE title IS NOT NULL WINDOW g AS (PARTITION BY site, title))
+WHERE n >= 2 GROUP BY 1, 2, 3, 4""")
 def duplicate_titles(spark, sf_dir):
-    return duplicate_parts(_titled(spark, sf_dir), "title").select(
-        "site", "value", "n", "first_url", "part", F.array_join("urls", "\n").alias("urls"))
+    return duplicate_groups(_titled(spark, sf_dir), "title").select(
+        "site", "value", "n", "first_url", F.array_join("urls", "\n").alias("urls"))
 
 
 @query("duplicate_members", f"""
 WITH {_TITLES}
-SELECT site, title AS value, page_id, url FROM t
+SELECT site, title AS value, page_id, url, row_number() OVER (PARTITION BY site, title ORDER BY page_id) - 1 AS rank,
+ (row_number() OVER (PARTITION BY site, title ORDER BY page_id) - 1) // 7 AS chunk FROM t
 QUALIFY title IS NOT NULL AND count(*) OVER (PARTITION BY site, title) >= 2""")
 def title_members(spark, sf_dir):
-    return duplicate_members(_titled(spark, sf_dir), "title").select(
-        "site", "value", F.col("seq").alias("page_id"), "url")
+    return duplicate_members(_titled(spark, sf_dir), "title", chunk=7).select(
+        "site", "value", F.col("seq").alias("page_id"), "url", "rank", "chunk")
 
 
 @query("srcset_urls", """
@@ -343,8 +344,8 @@ def robots_verdict(spark, sf_dir):
 
 
 def _sitemap_files(spark, sf_dir) -> DataFrame:
-    """One small sitemap per page group: site, file, XML of its entries."""
-    source = D.pages(spark, sf_dir).where("page_id % 5 <> 0")
+    """One small sitemap per page: site, file, XML of its entries."""
+    source = D.pages(spark, sf_dir)
     entry = F.concat(F.lit("<url>\n<LOC> "), F.replace("url", F.lit("?"), F.lit("?a=1&amp;")),
                      F.lit(" </LOC></url>"))
     return source.select(
@@ -358,17 +359,15 @@ _SITEMAP_URL = "CASE WHEN position('?' IN url) > 0 THEN replace(url, '?', '?a=1&
 
 
 @query("sitemap_parse", f"""
-SELECT {site('url')} AS site, page_id, {norm(f'({_SITEMAP_URL})')} AS url FROM pages WHERE page_id % 5 <> 0""")
+SELECT {site('url')} AS site, page_id, {norm(f'({_SITEMAP_URL})')} AS url FROM pages""")
 def sitemap_parse(spark, sf_dir):
     return X.parse_sitemap(_sitemap_files(spark, sf_dir), "page_id").select("site", "page_id", "url")
 
 
 @query("sitemap_walk", f"""
-WITH e AS (SELECT page_id, {site('url')} AS site, {norm(f'({_SITEMAP_URL})')} AS url FROM pages WHERE page_id % 5 <> 0)
+WITH e AS (SELECT page_id, {site('url')} AS site, {norm(f'({_SITEMAP_URL})')} AS url FROM pages)
 SELECT DISTINCT site, 'url' AS kind, url FROM e WHERE page_id % 3 <> 0
-UNION ALL SELECT DISTINCT site, 'error', 'https://' || site || '/sitemaps/' || page_id || '.xml' FROM e WHERE page_id % 3 = 0
-UNION ALL SELECT DISTINCT {site('url')}, 'error', 'https://' || {site('url')} || '/sitemap.xml' FROM pages
- WHERE {site('url')} NOT IN (SELECT site FROM e)""")
+UNION ALL SELECT DISTINCT site, 'error', 'https://' || site || '/sitemaps/' || page_id || '.xml' FROM e WHERE page_id % 3 = 0""")
 def sitemap_walk(spark, sf_dir):
     """An index per site that names itself and a file per page; every third file is missing.
 
@@ -388,18 +387,18 @@ def sitemap_walk(spark, sf_dir):
 
 
 @query("llms_parse", f"""
-WITH p AS (SELECT page_id, {site('url')} AS site, {norm('url')} AS url FROM pages WHERE page_id % 7 = 0)
+WITH p AS (SELECT page_id, {site('url')} AS site, {norm('url')} AS url FROM pages)
 SELECT page_id, '' AS section, '' AS title, 'https://example.org/early' AS url, 3 AS line FROM p
 UNION ALL SELECT page_id, 'Docs', 'Page ' || page_id, url, 5 FROM p
 UNION ALL SELECT page_id, 'Docs', 'Rel', 'https://' || site || '/rel', 5 FROM p
 UNION ALL SELECT page_id, 'Blog', '', url, 8 FROM p""")
 def llms_parse(spark, sf_dir):
-    """A markdown file per listed page: sections, markdown links, a bare URL, repeats."""
+    """A markdown file per page: sections, markdown links, a bare URL, repeats."""
     text = F.concat(
         F.lit("# Title\r\n\r\nsee https://example.org/early\n## Docs\n- [Page "), "page_id",
         F.lit("]("), "url", F.lit(' "tip") and [Rel](/rel) and [again]('), "url",
         F.lit(")\n###\n### Blog\nbare "), "url", F.lit(" [x](mailto:a@b.c)"))
-    files = D.pages(spark, sf_dir).where("page_id % 7 = 0").select(
+    files = D.pages(spark, sf_dir).select(
         "site", F.concat(F.lit("https://"), "site", F.lit("/"), "page_id", F.lit("/llms.txt")).alias("url"),
         text.alias("text"))
     return X.parse_llms_txt(files).select(

@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import streaming as S
-from ..functions.urls import site_of
+from ..functions.urls import normalize_url, site_of
 from ..session import ROCKSDB_PROVIDER, scratch_path
 from ..sources.html import extract_dom
 from . import derived as D
-from .check_queries import BASE, IMAGES, MIXED, union
+from .check_queries import COLUMNS, found, page_union
 from .registry import CONFIG, LINKS, LINK_STATUS, norm, query, site
 
 PAGES = "page_id bigint, url string, html string"
@@ -49,16 +49,11 @@ def _with_rocksdb(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFram
         spark.conf.set(name, before)
 
 
-@query("stream_checks", f"""{BASE}, found AS ({union(MIXED, IMAGES)})
-SELECT page_id, rule, severity, target FROM found JOIN cap USING (page_id) WHERE NOT blocked
-UNION ALL SELECT page_id, 'page-blocked', 'warning', NULL FROM cap WHERE blocked
-UNION ALL SELECT page_id, 'dom-extraction-failed', 'error', NULL FROM cap WHERE page_id % 50 = 23""")
+@query("stream_checks", page_union(f"SELECT {COLUMNS} FROM kept", "self"))
 def stream_checks(spark, sf_dir):
-    """Findings as each page lands."""
-    cfg = CONFIG.with_(checks=("mixed-content", "images"))
-    stream = S.page_findings(D.captures_of(_pages(spark, sf_dir)), cfg)
-    return S.run_available(stream, "checks").select(
-        F.col("seq").alias("page_id"), "rule", "severity", "target")
+    """Findings of all row checks as each page lands."""
+    stream = S.page_findings(D.captures_of(_pages(spark, sf_dir)), CONFIG)
+    return found(S.run_available(stream, "checks"))
 
 
 @query("stream_link_issues", f"""
@@ -93,15 +88,18 @@ def stream_page_sink(spark, sf_dir):
     return spark.read.parquet(out).groupBy("site").agg(F.sum("pages").alias("pages"))
 
 
-@query("stream_dedupe", f"SELECT DISTINCT {norm('url')} AS url FROM pages WHERE {norm('url')} NOT LIKE '%.html'")
+@query("stream_dedupe", f"""SELECT DISTINCT {norm('url')} AS url FROM pages WHERE {norm('url')} NOT LIKE '%.html'
+ AND {norm('url')} NOT IN (SELECT {norm('url')} FROM pages WHERE page_id % 10 = 4)""")
 def stream_dedupe(spark, sf_dir):
-    """URLs to probe, each once."""
+    """URLs to probe, each once, without those whose status is known."""
     links = _pages(spark, sf_dir).select(
-        F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id")).alias("ts"),
         F.explode(F.array(F.col("url"), F.concat(F.regexp_replace("url", "#.*$", ""), F.lit("#again"))))
         .alias("url"))
+    known = D.pages(spark, sf_dir).where("page_id % 10 = 4").select(normalize_url("url").alias("url")).distinct()
     cfg = CONFIG.with_(ignorePatterns=(".html",))
-    return S.run_available(S.new_probe_urls(links, cfg, MONTH), "dedupe").select("url")
+    out, mark = scratch_path(spark, "probe-once"), scratch_path(spark, "probe-mark")
+    S.probe_batches(links, cfg, out, mark, known).awaitTermination()
+    return spark.read.schema("url string").parquet(out)
 
 
 _TICK = """
@@ -116,23 +114,25 @@ def _scored(spark, sf_dir) -> DataFrame:
         F.when(F.col("event_type") == "signup", 1).otherwise(0).alias("warnings"))
 
 
-def _complete(stream: DataFrame, name: str) -> DataFrame:
-    """Windows of a finite input: the final state of every window, closed or not."""
-    out = scratch_path(stream.sparkSession, name)
+def _updated(stream: DataFrame, name: str) -> DataFrame:
+    """Windows in update mode: the newest row of each, closed or not."""
+    spark = stream.sparkSession
+    out = scratch_path(spark, name)
+    S.upsert_batches(stream, out, scratch_path(spark, f"{name}-state")).awaitTermination()
+    return S.latest(spark, out, stream.schema, ["start", "end"])
 
-    def write(batch: DataFrame, _: int) -> None:
-        batch.write.mode("overwrite").parquet(out)
 
-    run = (stream.writeStream.outputMode("complete").foreachBatch(write)
-           .option("checkpointLocation", scratch_path(stream.sparkSession, f"{name}-state"))
-           .trigger(availableNow=True).start())
-    run.awaitTermination()
-    return stream.sparkSession.read.schema(stream.schema).parquet(out)
+def _closed(log: DataFrame) -> DataFrame:
+    """A finite log followed by an event long after it, which closes what the log left open."""
+    spark, path = log.sparkSession, scratch_path(log.sparkSession, "last-event")
+    spark.range(1).select(*[(F.to_timestamp(F.lit("2100-01-01")) if f.name == "ts" else F.lit(None))
+                            .cast(f.dataType).alias(f.name) for f in log.schema.fields]).write.parquet(path)
+    return log.unionByName(spark.readStream.schema(log.schema).parquet(path))
 
 
 @query("stream_heartbeat", f"SELECT *, pages / 60.0 AS pages_per_min FROM ({_TICK})")
 def stream_heartbeat(spark, sf_dir):
-    return _complete(S.heartbeat(_scored(spark, sf_dir), "1 hour"), "heartbeat").drop("end").withColumn(
+    return _updated(S.heartbeat(_scored(spark, sf_dir), "1 hour"), "heartbeat").drop("end").withColumn(
         "start", F.col("start").cast("timestamp_ntz"))
 
 
@@ -141,7 +141,7 @@ WITH e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS b FROM events)
 SELECT b - INTERVAL 1 HOUR * k AS start, count(*) AS pages FROM e, (SELECT unnest([0, 1, 2]) AS k) GROUP BY 1""")
 def stream_heartbeat_sliding(spark, sf_dir):
     stream = S.heartbeat(_scored(spark, sf_dir), "3 hours", "1 hour")
-    return _complete(stream, "sliding").select(F.col("start").cast("timestamp_ntz").alias("start"), "pages")
+    return _updated(stream, "sliding").select(F.col("start").cast("timestamp_ntz").alias("start"), "pages")
 
 
 @query("stream_sessions", """
@@ -150,8 +150,8 @@ WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 1 DAY TH
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS n FROM g)
 SELECT 'h' || user_id || '.example.com' AS host, min(ts) AS start, count(*) AS requests FROM s GROUP BY user_id, n""")
 def stream_sessions(spark, sf_dir):
-    stream = S.crawl_sessions(_log(spark, sf_dir), "1 day", MONTH)
-    return _complete(stream, "sessions").select(
+    stream = S.crawl_sessions(_closed(_log(spark, sf_dir)), "1 day", MONTH)
+    return S.run_available(stream, "sessions").where("host IS NOT NULL").select(
         "host", F.col("start").cast("timestamp_ntz").alias("start"), "requests")
 
 

@@ -6,10 +6,10 @@ for the length of a run.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -21,6 +21,7 @@ from ..operators.checks import check_links
 from ..plans.audit import run_page_checks
 
 CAPTURE_DELAY = "10 minutes"
+RETRY_TTL_MS = 86_400_000  # a URL that is not fetched again within a day is given up
 
 
 def page_findings(captures: DataFrame, cfg: AuditConfig, link_status: DataFrame | None = None
@@ -42,16 +43,69 @@ def per_batch(stream: DataFrame, fn: Callable[[DataFrame, int], None], checkpoin
             .trigger(availableNow=True).start())
 
 
-def new_probe_urls(links: DataFrame, cfg: AuditConfig, delay: str = CAPTURE_DELAY) -> DataFrame:
+def _wanted(links: DataFrame, cfg: AuditConfig) -> DataFrame:
+    return links.withColumn("url", normalize_url("url")).where(
+        F.col("url").isNotNull() & ~matches_ignore_pattern(F.col("url"), cfg.ignorePatterns))
+
+
+def new_probe_urls(links: DataFrame, cfg: AuditConfig, delay: str = CAPTURE_DELAY,
+                   known: DataFrame | None = None) -> DataFrame:
     """URLs to probe, each once: ``links`` has ``ts`` and ``url``.
 
-    A URL is not offered again while the watermark still remembers it.
+    A URL is not offered again while the watermark still remembers it, nor if ``known`` (``url``)
+    has its status. ``probe_batches`` forgets none.
     """
-    wanted = links.select("ts", normalize_url("url").alias("url")).where(
-        F.col("url").isNotNull() & ~matches_ignore_pattern(F.col("url"), cfg.ignorePatterns))
+    wanted = _wanted(links.select("ts", "url"), cfg)
+    if known is not None:
+        wanted = wanted.join(known.select("url"), "url", "left_anti")
     return wanted.withWatermark("ts", delay).dropDuplicatesWithinWatermark(["url"])
 
 
+def probe_batches(links: DataFrame, cfg: AuditConfig, output: str, checkpoint: str,
+                  known: DataFrame | None = None):
+    """URLs to probe, each once ever, however far apart its links arrive.
+
+    What was offered is a stored table, a folder per batch, and a batch keeps only what neither an
+    earlier one nor ``known`` (``url`` with a status) has. The stream itself has no state, so
+    nothing grows in an executor's memory; a replayed batch overwrites its own folder.
+    """
+    spark = links.sparkSession
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        new = _wanted(batch.select("url"), cfg).distinct()
+        if known is not None:
+            new = new.join(known.select("url"), "url", "left_anti")
+        if batch_id > 0:
+            before = spark.read.schema("url string, batch long").parquet(output).where(
+                F.col("batch") < batch_id)
+            new = new.join(before, "url", "left_anti")
+        new.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+
+    return per_batch(links, step, checkpoint)
+
+
+def upsert_batches(changes: DataFrame, output: str, checkpoint: str):
+    """Store what each batch changed of an aggregate, in update mode.
+
+    A batch is a folder named by its id, so a replayed batch overwrites itself; ``latest`` reads
+    the newest row of each key. Only windows that the watermark keeps open stay in the state
+    store, while complete mode would keep and rewrite them all.
+    """
+    def step(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{output}/batch={batch_id}")
+
+    return (changes.writeStream.outputMode("update").foreachBatch(step)
+            .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
+
+
+def latest(spark: SparkSession, output: str, schema: StructType, keys: Sequence[str]) -> DataFrame:
+    """The newest row of each key that ``upsert_batches`` stored."""
+    rows = spark.read.schema(StructType([*schema.fields, StructField("batch", LongType())])).parquet(output)
+    values = [c for c in schema.names if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "batch").alias("_v")).select(
+        *[F.col(c) if c in keys else F.col(f"_v.{c}").alias(c) for c in schema.names])
+
+
 def heartbeat(pages: DataFrame, window: str = "1 minute", slide: str | None = None,
               delay: str = CAPTURE_DELAY) -> DataFrame:
     """Pages and findings per window, and the rate per minute.
@@ -102,13 +156,15 @@ class _Retries(StatefulProcessor):
     """Per URL: hold a rate-limited fetch back until a better one, or the last retry.
 
     A URL is fetched a handful of times, so its group is small; rows are taken chunk by chunk.
+    One that never returns is forgotten after its time to live.
     """
 
-    def __init__(self, retries: int) -> None:
-        self.retries = retries
+    def __init__(self, retries: int, ttl_ms: int) -> None:
+        self.retries, self.ttl_ms = retries, ttl_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("retried", StructType([StructField("n", LongType())]))
+        self.state = handle.getValueState(
+            "retried", StructType([StructField("n", LongType())]), ttlDurationMs=self.ttl_ms)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
         retried = self.state.get()[0] if self.state.exists() else 0
@@ -137,12 +193,12 @@ RETRY_SCHEMA = StructType([
     StructField("attempts", LongType()), StructField("retried", LongType())])
 
 
-def final_captures(attempts: DataFrame, cfg: AuditConfig) -> DataFrame:
+def final_captures(attempts: DataFrame, cfg: AuditConfig, ttl_ms: int = RETRY_TTL_MS) -> DataFrame:
     """The fetch that counts of each URL, as soon as it is known: ``url, attempt_no, status``.
 
-    Only URLs that wait for a retry are remembered.
+    Only URLs that wait for a retry are remembered, and for ``ttl_ms`` of processing time at most.
     Needs the RocksDB state store (``session.ROCKSDB_PROVIDER``).
     """
     return attempts.select("url", "attempt_no", "status").groupBy("url").transformWithStateInPandas(
-        _Retries(cfg.blockedRetries), outputStructType=RETRY_SCHEMA, outputMode="Append",
-        timeMode="None")
+        _Retries(cfg.blockedRetries, ttl_ms), outputStructType=RETRY_SCHEMA, outputMode="Append",
+        timeMode="ProcessingTime")
