@@ -486,3 +486,22 @@ def test_ngram_join_of_very_long_texts(spark, monkeypatch):
         want[i] = (len(sets[t]), min(linked))
     got = {r["doc_id"]: (r["n"], r["comp"]) for r in ngram_join.jaccard_groups(df, 3, 90).collect()}
     assert got == want and want[10][1] == 0 and want[14][1] == 14 and want[None][1] == 1
+
+
+@pytest.mark.parametrize("percent", [90, 80])
+def test_ngram_signatures_of_large_sets_never_miss(percent):
+    rng = np.random.default_rng(1)
+    common = rng.random(1 << ngram_join.SKETCH_BITS) < 0.01
+    linked = 0
+    for _ in range(300):
+        n = int(rng.choice([rng.integers(600, 900), rng.integers(640, 3000), rng.integers(640, 20_000)]))
+        s = np.unique(rng.integers(0, 1 << 64, n, np.uint64))
+        differ = int((100 - percent) / (100 + percent) * 2 * len(s) * rng.uniform(0.7, 1.02))
+        drop = int(differ * rng.random())
+        t = np.unique(np.concatenate([rng.permutation(s)[drop:],
+                                      rng.integers(0, 1 << 64, differ - drop, np.uint64)]))
+        both = len(np.intersect1d(s, t))
+        if 100 * both >= percent * (len(s) + len(t) - both):
+            linked += 1
+            assert len(np.intersect1d(*(ngram_join.signatures(x, common, percent) for x in (s, t))))
+    assert linked > 150

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from functools import reduce
 
@@ -17,7 +18,10 @@ from .components import components
 
 SKETCH_BITS = 21       # buckets of the token-frequency counts: 2 MB a task
 SLICE = 1 << 15        # buckets of a slice of them
-PAIRS_UP_TO = 640      # sets up to this size index pairs of frequent tokens, larger ones singles
+PAIRS_UP_TO = 640      # sets up to this size index pairs of frequent tokens
+PARTS_FROM = 88        # similarity from which larger ones index combinations of hash ranges, below it singles
+LEAST_SIZES = [PAIRS_UP_TO + 1]  # least sizes of the classes of larger sets, as far as they were needed
+BOUNDS: dict[tuple[int, int], np.ndarray] = {}  # hash ranges by number
 PARITY = 16            # 64-bit words of a set's parity bitmap
 FOLDED = 4             # words of it, folded, that join with the index
 STAR_ROUNDS = 2        # rounds that join each bucket's sets to one of them
@@ -104,13 +108,53 @@ def overlap_needed(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
+def size_class(n: int) -> int:
+    """The class of a large set's size; each class reaches up to 1.35 times its least size."""
+    while LEAST_SIZES[-1] <= n:
+        LEAST_SIZES.append(LEAST_SIZES[-1] * 27 // 20)
+    return bisect.bisect_right(LEAST_SIZES, n) - 1
+
+
+def class_parts(of: int, percent: int) -> np.ndarray:
+    """Upper bounds of the hash ranges that sets of a class are cut into.
+
+    There is one range more than linked sets can differ in tokens, if the smaller is of the class.
+    """
+    size_class(LEAST_SIZES[of])
+    top = LEAST_SIZES[of + 1] - 1
+    parts = (100 - percent) * (top + top * 100 // percent) // (100 + percent) + 1
+    if (parts, percent) not in BOUNDS:
+        BOUNDS[parts, percent] = np.array(
+            [((k + 1) << 64) // parts - 1 for k in range(parts)], np.uint64)
+    return BOUNDS[parts, percent]
+
+
+def part_signatures(tokens: np.ndarray, percent: int) -> list[np.ndarray]:
+    """A signature of all tokens in each hash range: linked sets have one range alike.
+
+    A set is cut as its class is, and as the class below if it may link with a set of that one.
+    """
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mix(tokens), dtype=np.uint64)])
+    own = size_class(len(tokens))
+    out = []
+    for of in {own, own - 1} if own and len(tokens) * percent < LEAST_SIZES[own] * 100 else {own}:
+        bounds = class_parts(of, percent)
+        ends = np.searchsorted(tokens, bounds, "right")
+        inside = sums[ends] - sums[np.concatenate([np.zeros(1, np.int64), ends[:-1]])]
+        place = np.arange(len(bounds), dtype=np.uint64) + np.uint64(of + 1 << 40)
+        out.append(_mix(inside * np.uint64(MIX3) + _mix(place)))
+    return out
+
+
 def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.ndarray:
     """Index entries of a set such that any two linked, different sets have one in common.
 
     Order: rare tokens first, then frequent ones, by hash in each. Linked sets share at least
     two tokens of their prefixes of ``n - needed + 2``: a rare one, which is indexed by itself, or
-    two frequent ones, which are indexed as a pair. Sets above ``PAIRS_UP_TO`` index every
-    token of the prefix of ``n - needed + 1`` instead; those near the limit do both.
+    two frequent ones, which are indexed as a pair. A set above ``PAIRS_UP_TO`` has too many pairs. It
+    indexes the combinations of all its tokens in each of so many hash ranges that one is alike in
+    linked sets; or, for a similarity below ``PARTS_FROM``, where ranges would hold few tokens or
+    none, every token of the prefix of ``n - needed + 1``.
     """
     n = len(tokens)
     if n < 2:
@@ -120,6 +164,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
     n_rare = n - int(common.sum())
     spare = n - overlap_needed(n, percent)
     out = []
+    # Sets that link with one beyond this size are above PAIRS_UP_TO themselves.
     if n * percent <= PAIRS_UP_TO * 100:
         size = min(n, spare + 2)
         out.append(ordered[:min(size, n_rare)])
@@ -128,12 +173,7 @@ def signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nda
             i, j = np.triu_indices(len(rest), 1)
             out.append(_mix(rest[i] * np.uint64(MIX3) + rest[j]))
     if n > PAIRS_UP_TO:
-        out.append(ordered[:spare + 1] if n * percent > PAIRS_UP_TO * 100
-                   else ordered[n_rare:spare + 1])
-        if n * percent <= PAIRS_UP_TO * 100:
-            out.append(ordered[:min(spare + 1, n_rare)])
-    elif n * 100 >= PAIRS_UP_TO * percent:
-        out.append(ordered[:spare + 1])
+        out += part_signatures(tokens, percent) if percent >= PARTS_FROM else [ordered[:spare + 1]]
     return np.unique(np.concatenate(out))
 
 
