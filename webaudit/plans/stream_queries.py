@@ -2,14 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import streaming as S
 from ..functions.urls import normalize_url, site_of
-from ..session import ROCKSDB_PROVIDER, scratch_path
+from ..session import scratch_path
 from ..sources.html import extract_dom
 from . import derived as D
 from .check_queries import COLUMNS, found, page_union
@@ -38,17 +36,6 @@ def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("retry_after_ms"))
 
 
-def _with_rocksdb(spark: SparkSession, run: Callable[[], DataFrame]) -> DataFrame:
-    """Stateful processors need the RocksDB store; leave the session as it was."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, ROCKSDB_PROVIDER)
-    try:
-        return run()
-    finally:
-        spark.conf.set(name, before)
-
-
 @query("stream_checks", page_union(f"SELECT {COLUMNS} FROM kept", "self"))
 def stream_checks(spark, sf_dir):
     """Findings of all row checks as each page lands."""
@@ -99,7 +86,7 @@ def stream_dedupe(spark, sf_dir):
     cfg = CONFIG.with_(ignorePatterns=(".html",))
     out, mark = scratch_path(spark, "probe-once"), scratch_path(spark, "probe-mark")
     S.probe_batches(links, cfg, out, mark, known).awaitTermination()
-    return spark.read.schema("url string").parquet(out)
+    return spark.read.schema("url string").parquet(out).select("url")
 
 
 _TICK = """
@@ -177,5 +164,4 @@ SELECT url, CASE page_id % 10 WHEN 6 THEN 429 ELSE 200 END AS status, CASE page_
  CASE page_id % 10 WHEN 3 THEN 1 WHEN 6 THEN 2 ELSE 0 END AS retried FROM pages WHERE page_id % 10 <> 9""")
 def stream_retry(spark, sf_dir):
     """Rate-limited fetches are offered again; only the fetch that counts comes out."""
-    return _with_rocksdb(spark, lambda: S.run_available(
-        S.final_captures(D.page_attempts(_pages(spark, sf_dir)), CONFIG), "retry"))
+    return S.run_available(S.final_captures(D.page_attempts(_pages(spark, sf_dir)), CONFIG), "retry")

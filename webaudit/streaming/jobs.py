@@ -6,13 +6,11 @@ for the length of a run.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import LongType, StructField, StructType
 
 from ..config import AuditConfig
 from ..functions.urls import matches_ignore_pattern, normalize_url
@@ -21,7 +19,6 @@ from ..operators.checks import check_links
 from ..plans.audit import run_page_checks
 
 CAPTURE_DELAY = "10 minutes"
-RETRY_TTL_MS = 86_400_000  # a URL that is not fetched again within a day is given up
 
 
 def page_findings(captures: DataFrame, cfg: AuditConfig, link_status: DataFrame | None = None
@@ -152,53 +149,14 @@ def strike_batches(log: DataFrame, cfg: AuditConfig, output: str, state: str, ch
             .trigger(availableNow=True).start())
 
 
-class _Retries(StatefulProcessor):
-    """Per URL: hold a rate-limited fetch back until a better one, or the last retry.
+def final_captures(attempts: DataFrame, cfg: AuditConfig) -> DataFrame:
+    """The fetch that counts of each URL, as soon as it lands: ``url, status, attempts, retried``.
 
-    A URL is fetched a handful of times, so its group is small; rows are taken chunk by chunk.
-    One that never returns is forgotten after its time to live.
+    A fetch that asked for patience counts only when no retry is left; each fetch knows by its
+    number how many came before it. So nothing is remembered, also of URLs that never return.
     """
-
-    def __init__(self, retries: int, ttl_ms: int) -> None:
-        self.retries, self.ttl_ms = retries, ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "retried", StructType([StructField("n", LongType())]), ttlDurationMs=self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):
-        retried = self.state.get()[0] if self.state.exists() else 0
-        final = None
-        for chunk in rows:
-            waiting = (chunk.status == 429) & (chunk.attempt_no <= self.retries)
-            retried += int(waiting.sum())
-            done = chunk[~waiting]
-            if len(done):
-                best = done.sort_values("attempt_no").iloc[-1]
-                if final is None or best.attempt_no > final.attempt_no:
-                    final = best
-        if final is None:
-            self.state.update((retried,))
-        else:
-            self.state.clear()
-            yield pd.DataFrame([(key[0], int(final.status), int(final.attempt_no), retried)],
-                               columns=["url", "status", "attempts", "retried"])
-
-    def close(self) -> None:
-        pass
-
-
-RETRY_SCHEMA = StructType([
-    StructField("url", StringType()), StructField("status", LongType()),
-    StructField("attempts", LongType()), StructField("retried", LongType())])
-
-
-def final_captures(attempts: DataFrame, cfg: AuditConfig, ttl_ms: int = RETRY_TTL_MS) -> DataFrame:
-    """The fetch that counts of each URL, as soon as it is known: ``url, attempt_no, status``.
-
-    Only URLs that wait for a retry are remembered, and for ``ttl_ms`` of processing time at most.
-    Needs the RocksDB state store (``session.ROCKSDB_PROVIDER``).
-    """
-    return attempts.select("url", "attempt_no", "status").groupBy("url").transformWithStateInPandas(
-        _Retries(cfg.blockedRetries, ttl_ms), outputStructType=RETRY_SCHEMA, outputMode="Append",
-        timeMode="ProcessingTime")
+    waits = (F.col("status") == 429) & (F.col("attempt_no") <= cfg.blockedRetries)
+    return attempts.where(~waits).select(
+        "url", F.col("status").cast("bigint").alias("status"),
+        F.col("attempt_no").cast("bigint").alias("attempts"),
+        (F.col("attempt_no") - 1).cast("bigint").alias("retried"))
