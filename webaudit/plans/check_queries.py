@@ -607,7 +607,7 @@ m AS (SELECT site, kind, v, page_id, url, count(*) OVER g AS n, first_value(url)
  WHERE has_dom AND status BETWEEN 200 AND 299 AND v <> '' WINDOW g AS (PARTITION BY site, kind, v)),
 dup AS (SELECT site, kind, v, n, first_url, string_agg(url, chr(10) ORDER BY page_id) FILTER (WHERE r <= 1000)
   || CASE WHEN n > 1000 THEN chr(10) || '… and ' || (n - 1000) || ' more' ELSE '' END AS urls
- FROM m WHERE n >= 2 GROUP BY ALL)"""
+ FROM m WHERE n >= 2 GROUP BY 1, 2, 3, 4, 5)"""
 # Links of the derived captures, two equal ones on each page, and their statuses.
 _TARGETS = f"""
 target AS (SELECT page_id, site, url, blocked, CASE page_id % 6

@@ -95,7 +95,7 @@ WITH p AS (SELECT page_id, url, CASE page_id % 8 WHEN 5 THEN 2130706432 WHEN 6 T
 SELECT page_id, 'own' AS host, {norm('url')} AS normalized FROM p
 UNION ALL SELECT page_id, 'odd', CASE page_id % 8
  WHEN 0 THEN 'https://xn--bcher-kva.s' || page_id || '.example/p' WHEN 1 THEN 'https://xn--r8jz45g.xn--zckzah/' || page_id
- WHEN 2 THEN 'https://xn--strae-oqa' || '.d' || page_id || '.example/' WHEN 3 THEN 'http://example' || page_id || '.com/a'
+ WHEN 2 THEN 'https://strasse.d' || page_id || '.example/' WHEN 3 THEN 'http://example' || page_id || '.com/a'
  WHEN 4 THEN 'https://xn--80ak6aa92e.com/' || page_id ELSE 'http://' || {_DOTTED} || '/' END FROM p""")
 def normalize_urls(spark, sf_dir):
     """The pages' own URLs, and some whose hosts have letters beyond ASCII or are odd numbers."""
