@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 import regex
+from pyspark.sql import functions as F
 
 from webaudit.llm import (ann, catalog, langid, media, ngram_join, packing, pieces, pii,
                           secret_scan, sharding, warc)
@@ -505,3 +506,33 @@ def test_ngram_signatures_of_large_sets_never_miss(percent):
             linked += 1
             assert len(np.intersect1d(*(ngram_join.signatures(x, common, percent) for x in (s, t))))
     assert linked > 150
+
+
+def test_packing_keeps_ids_beside_null(spark):
+    ids = [9007199254740993, None, -9007199254740995, None, 2**63 - 1]
+    df = spark.createDataFrame([(i, "some words here") for i in ids], "doc_id long, text string")
+    got = [r["doc_id"] for r in packing.pack_documents(df, capacity=64).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, ids))
+
+
+def test_pipeline_redacts_spans_and_tokens_only(spark, monkeypatch):
+    import corpus_pipeline as c
+
+    long = "x" * 3_000_000
+    rows = [(1, "ftp://me:test@h/ attest the latest (test) contest tests, test"), (2, "no test here"),
+            (3, "a\\Eb$1 is it: a\\Eb$1"), (9007199254740993, f"{long} k9 {long}"), (None, "pw=zz9 zz9x"), (5, None)]
+    found = [(1, 9, "test"), (3, 0, "a\\Eb$1"), (9007199254740993, 3_000_001, "k9"), (9007199254740993, 1, "no")]
+
+    def scan(docs):
+        lost = docs.where("text LIKE 'pw=%'").select("doc_id", F.lit(3).cast("long").alias("start"), F.lit("zz9").alias("value"))
+        return spark.createDataFrame(found, "doc_id long, start long, value string").unionByName(lost).withColumn(
+            "is_secret", F.lit(True))
+
+    monkeypatch.setattr(c.secret_scan, "scan", scan)
+    df = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows],
+                               "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: r["text"] for r in c.secrets(spark, df, SF).collect()}
+    r = c.REDACTED
+    assert got == {1: f"ftp://me:{r}@h/ attest the latest ({r}) contest tests, {r}", 2: "no test here", 3: f"{r} is it: {r}",
+                   9007199254740993: f"{long} {r} {long}", None: f"pw={r} zz9x", 5: None}
+    assert c.secrets(spark, df.where("false"), SF).count() == 0
