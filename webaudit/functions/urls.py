@@ -4,6 +4,9 @@ The functions follow the WHATWG URL rules for http(s) URLs. Host names with lett
 are written in Punycode, and IPv4 hosts in hexadecimal, octal or shortened form as four decimal
 parts. Names are mapped by the older rules of IDNA, which write a sharp s as ss and a final sigma
 as any other; labels that are longer than 63 letters in Punycode give NULL.
+
+The JVM's encoder counts as non-deterministic for Spark, which takes such an expression in a projection
+or a filter but not in a grouping, an aggregate or a join condition: make it a column first.
 """
 
 from __future__ import annotations

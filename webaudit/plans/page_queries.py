@@ -116,7 +116,8 @@ def normalize_urls(spark, sf_dir):
 @query("dedupe_keys", f"""
 SELECT {key('url')} AS key, count(*) AS n, min(page_id) AS first_page FROM pages GROUP BY 1""")
 def dedupe_keys(spark, sf_dir):
-    return D.pages(spark, sf_dir).groupBy(U.dedupe_key("url").alias("key")).agg(
+    # Spark takes no URL function inside a grouping or an aggregate, so the key is a column first.
+    return D.pages(spark, sf_dir).withColumn("key", U.dedupe_key("url")).groupBy("key").agg(
         F.count("*").alias("n"), F.min("page_id").alias("first_page"))
 
 
