@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from webaudit.plans.catalog import QUERIES, SQL
 
 SMALL = "/root/testdata/sf0.001"
-NAMES = ["dedupe_keys", "run_totals"]
+NAMES = ["dedupe_keys", "run_totals", "stream_checks", "stream_dedupe", "stream_link_issues", "stream_page_sink",
+         "stream_retry"]
 
 
 @pytest.fixture(scope="module")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -9,12 +11,16 @@ from ..session import scratch_path
 
 
 def read_stream(spark: SparkSession, directory: str, schema: str | StructType,
-                glob: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
-    """Parquet files of a directory as they land."""
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", glob)
+                name: str = "*.parquet", files_per_batch: int | None = None) -> DataFrame:
+    """Parquet files of a directory as they land, or those of the table ``name`` in it.
+
+    ``name`` may be a pattern; what it names may be files, or folders with the files in them.
+    """
+    reader = spark.readStream.schema(schema)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", str(files_per_batch))
-    return reader.parquet(directory)
+    # A path without a pattern would have to be a folder; one in brackets matches itself alone.
+    return reader.parquet(f"{directory}/{name if '*' in name else re.sub('[.]', '[.]', name)}")
 
 
 def run_available(stream: DataFrame, name: str, mode: str = "append",
