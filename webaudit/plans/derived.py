@@ -179,9 +179,10 @@ def llms(source: DataFrame, every: int = 7) -> DataFrame:
         (F.col("page_id") + 1).alias("line"))
 
 
-def landing(source: DataFrame) -> DataFrame:
+def landing(source: DataFrame, seq: str | None = None) -> DataFrame:
+    """First visits of all pages, numbered by the column ``seq`` if it is given."""
     return source.select(
-        "site", "url", F.expr("page_id % 2 = 0").alias("banner_visible"),
+        "site", "url", *([F.col(seq).alias("seq")] if seq else []), F.expr("page_id % 2 = 0").alias("banner_visible"),
         F.expr("CASE WHEN page_id % 9 = 4 THEN 'Timeout 30000ms exceeded' END").alias("error"))
 
 
