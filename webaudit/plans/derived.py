@@ -206,7 +206,7 @@ def page_attempts(source: DataFrame) -> DataFrame:
     return source.select("site", "url", "page_id", F.explode(F.expr(
         "CASE page_id % 10 WHEN 3 THEN array(1, 2) WHEN 6 THEN array(1, 2, 3) WHEN 9 THEN array(1) "
         "ELSE array(1) END")).alias("attempt_no")).select(
-        "site", "url", "attempt_no",
+        "site", "url", "page_id", "attempt_no",
         F.expr("CASE WHEN page_id % 10 = 3 AND attempt_no = 1 THEN 429 "
                "WHEN page_id % 10 IN (6, 9) THEN 429 ELSE 200 END").alias("status"))
 

@@ -6,6 +6,8 @@ on the map side, so a key with a huge share of the log costs no more than any ot
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -96,15 +98,16 @@ def reduce_probe_attempts(attempts: DataFrame) -> DataFrame:
         F.col("a.spent").alias("durationMs"))
 
 
-def reduce_page_attempts(attempts: DataFrame, blocked_retries: int = 2
-                         ) -> tuple[DataFrame, DataFrame]:
+def reduce_page_attempts(attempts: DataFrame, blocked_retries: int = 2,
+                         keys: Sequence[str] = ("url",)) -> tuple[DataFrame, DataFrame]:
     """``(results, retries)``: the last fetch of each URL, and retries issued per site.
 
-    A rate-limited fetch with retries left is not a result.
+    A rate-limited fetch with retries left is not a result. ``keys`` tell fetches of one page from
+    those of another, where several pages may have the same URL.
     """
     retried = (F.col("status") == 429) & (F.col("attempt_no") <= blocked_retries)
-    columns = [c for c in attempts.columns if c != "url"]
-    last = attempts.groupBy("url").agg(
-        F.max_by(F.struct(*columns), F.col("attempt_no")).alias("a")).select("url", "a.*")
+    columns = [c for c in attempts.columns if c not in keys]
+    last = attempts.groupBy(*keys).agg(
+        F.max_by(F.struct(*columns), F.col("attempt_no")).alias("a")).select(*keys, "a.*")
     results = last.where(~retried).withColumnRenamed("attempt_no", "attempts")
     return results, attempts.groupBy("site").agg(F.count_if(retried).alias("rateLimited"))
