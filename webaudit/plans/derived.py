@@ -188,9 +188,9 @@ def landing(source: DataFrame, seq: str | None = None) -> DataFrame:
 
 def probe_attempts(source: DataFrame) -> DataFrame:
     second = "length(url) % 3 = 0 OR length(url) % 12 = 4"
-    return source.select("url", F.explode(F.expr(
+    return source.select("page_id", "url", F.explode(F.expr(
         f"CASE WHEN {second} THEN array(1, 2) ELSE array(1) END")).alias("attempt_no")).select(
-        "url", "attempt_no",
+        "page_id", "url", "attempt_no",
         F.expr("CASE WHEN length(url) % 12 = 4 THEN attempt_no ELSE 1 END").alias("round"),
         F.expr("CASE WHEN attempt_no = 1 THEN 'HEAD' ELSE 'GET' END").alias("method"),
         F.expr("CASE WHEN attempt_no = 1 AND length(url) % 3 = 0 THEN 405 "

@@ -73,22 +73,23 @@ def console_issues_from_log(events: DataFrame, cfg: AuditConfig) -> DataFrame:
     return first.select("page_id", "i.*")
 
 
-def reduce_probe_attempts(attempts: DataFrame) -> DataFrame:
+def reduce_probe_attempts(attempts: DataFrame, keys: Sequence[str] = ("url",)) -> DataFrame:
     """Link status per URL from its probe log.
 
     ``duration_ms`` is the time of one attempt. A later attempt supersedes an earlier one
     (GET after a refused HEAD, one retry after no answer); a URL that failed in both rounds
-    says so. The time of a URL is that of its last round, from HEAD to the end of GET.
+    says so. The time of a URL is that of its last round, from HEAD to the end of GET. ``keys``, one
+    of which is ``url``, tell one probe from another where a URL is probed on several occasions.
     """
-    rounds = attempts.groupBy("url", "round").agg(
+    rounds = attempts.groupBy(*keys, "round").agg(
         F.max_by(F.struct("status", "final_url", "redirected", "error"), "attempt_no").alias("a"),
         F.sum("duration_ms").alias("spent"))
-    last = rounds.groupBy("url").agg(
+    last = rounds.groupBy(*keys).agg(
         F.max_by(F.struct("a.*", "round", "spent"), "round").alias("a"))
     failed = F.col("a.status") == 0
     error = F.coalesce(F.col("a.error"), F.lit("request failed"))
     return last.select(
-        "url", F.col("a.status").alias("status"),
+        *keys, F.col("a.status").alias("status"),
         F.when(~failed & (F.col("a.final_url") != F.col("url")),
                F.col("a.final_url")).alias("finalUrl"),
         F.when(~failed & F.coalesce(F.col("a.redirected"), F.lit(False)), 1).otherwise(0)
