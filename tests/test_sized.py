@@ -24,13 +24,32 @@ def sized(spark, tmp_path_factory):
     return folder
 
 
+@pytest.fixture(scope="module")
+def wide(spark, tmp_path_factory):
+    """One site of more pages than a crawl takes by default."""
+    folder = tmp_path_factory.mktemp("wide")
+    spark.range(13_000).select(
+        F.col("id").alias("page_id"), F.concat(F.lit("https://wide.example/en/"), "id").alias("url"),
+        F.lit("").alias("html")).write.parquet(str(folder / "pages.parquet"))
+    return folder
+
+
 @pytest.mark.parametrize("name", NAMES)
 def test_query_at_size(spark, sized, name):
-    df = QUERIES[name](spark, str(sized))
+    same(spark, sized, name)
+
+
+@pytest.mark.parametrize("name", ["crawl_frontier"])
+def test_no_page_cap(spark, wide, name):
+    same(spark, wide, name)
+
+
+def same(spark, folder, name):
+    df = QUERIES[name](spark, str(folder))
     columns = sorted(df.columns)
     got = Counter(tuple(str(r[c]) for c in columns) for r in df.collect())
     con = duckdb.connect()
-    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{Path(sized) / 'pages.parquet' / '*.parquet'}'")
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{Path(folder) / 'pages.parquet' / '*.parquet'}'")
     result = con.execute(SQL[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == columns

@@ -71,7 +71,7 @@ class AuditConfig:
     includePaths: Sequence[str] = ()
     excludePaths: Sequence[str] = ()
     extraSitemaps: Sequence[str] = ()
-    maxPages: int = 10_000
+    maxPages: int | None = 10_000  # None: no cap
     maxDepth: int = 5
     respectRobots: bool = True
     blockedRetries: int = 2
