@@ -44,6 +44,17 @@ def test_no_page_cap(spark, wide, name):
     same(spark, wide, name)
 
 
+def test_large_groups_of_titles_are_whole(spark, tmp_path):
+    spark.range(2_300).select(
+        F.col("id").alias("page_id"), F.concat(F.lit("https://wide.example/en/"), "id").alias("url"),
+        F.lit("<html><head><title>Same</title></head></html>").alias("html")).write.parquet(
+        str(tmp_path / "pages.parquet"))
+    same(spark, tmp_path, "duplicate_titles")
+    rows = QUERIES["duplicate_titles"](spark, str(tmp_path)).collect()
+    assert sorted(u for r in rows for u in r.urls.split("\n")) == sorted(
+        f"https://wide.example/en/{i}" for i in range(2_300))
+
+
 def same(spark, folder, name):
     df = QUERIES[name](spark, str(folder))
     columns = sorted(df.columns)

@@ -10,7 +10,7 @@ from ..functions import urls as U
 from ..functions.lets import explode_rows
 from ..operators.checks import check_links
 from ..operators.classify import classify_issues
-from ..operators.crosspage import duplicate_groups, duplicate_members
+from ..operators.crosspage import duplicate_members, duplicate_parts
 from ..operators.frontier import found_on, link_edges, probe_worklist
 from ..operators.report import counts_by_rule
 from ..sources import textfiles as X
@@ -267,13 +267,14 @@ def _titled(spark, sf_dir):
 
 @query("duplicate_titles", f"""
 WITH {_TITLES}
-SELECT site, title AS value, n, first_url, string_agg(url, chr(10) ORDER BY page_id) FILTER (WHERE r <= 1000) AS urls
-FROM (SELECT *, count(*) OVER g AS n, first_value(url) OVER (g ORDER BY page_id) AS first_url,
-  row_number() OVER (g ORDER BY page_id) AS r FROM t WHERE title IS NOT NULL WINDOW g AS (PARTITION BY site, title))
-WHERE n >= 2 GROUP BY 1, 2, 3, 4""")
+SELECT site, title AS value, n, first_url, CAST(CASE WHEN n > 1000 THEN page_id // 1000 ELSE 0 END AS BIGINT) AS part,
+ string_agg(url, chr(10) ORDER BY page_id) AS urls
+FROM (SELECT *, count(*) OVER g AS n, first_value(url) OVER (g ORDER BY page_id) AS first_url
+ FROM t WHERE title IS NOT NULL WINDOW g AS (PARTITION BY site, title)) WHERE n >= 2 GROUP BY 1, 2, 3, 4, 5""")
 def duplicate_titles(spark, sf_dir):
-    return duplicate_groups(_titled(spark, sf_dir), "title").select(
-        "site", "value", "n", "first_url", F.array_join("urls", "\n").alias("urls"))
+    """Every page of every group of equal titles, in lists of bounded length."""
+    return duplicate_parts(_titled(spark, sf_dir), "title").select(
+        "site", "value", "n", "first_url", "part", F.array_join("urls", "\n").alias("urls"))
 
 
 @query("duplicate_members", f"""
