@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from webaudit.plans.catalog import QUERIES, SQL
 
 SMALL = "/root/testdata/sf0.001"
-NAMES = ["consent_landing", "dedupe_keys", "page_attempt_reduce", "probe_reduce", "run_totals", "stream_checks", "stream_dedupe", "stream_link_issues", "stream_page_sink",
+NAMES = ["consent_landing", "dedupe_keys", "page_attempt_reduce", "probe_reduce", "sitemap_walk", "run_totals", "stream_checks", "stream_dedupe", "stream_link_issues", "stream_page_sink",
          "stream_retry"]
 
 

@@ -369,10 +369,14 @@ def sitemap_parse(spark, sf_dir):
 @query("sitemap_walk", f"""
 WITH e AS (SELECT page_id, {site('url')} AS site, {norm(f'({_SITEMAP_URL})')} AS url FROM pages)
 SELECT DISTINCT site, 'url' AS kind, url FROM e WHERE page_id % 3 <> 0
-UNION ALL SELECT DISTINCT site, 'error', 'https://' || site || '/sitemaps/' || page_id || '.xml' FROM e WHERE page_id % 3 = 0""")
+UNION ALL SELECT DISTINCT site, 'error', 'https://' || site || '/sitemaps/' || page_id || '.xml' FROM e WHERE page_id % 3 = 0
+UNION ALL SELECT DISTINCT {site('url')}, 'error', 'https://' || {host('url')} || '/sitemap.xml' FROM pages
+ WHERE {host('url')} <> {site('url')}""")
 def sitemap_walk(spark, sf_dir):
     """An index per site that names itself and a file per page; every third file is missing.
 
+    The walk also begins at each host's own index, which hosts with a leading www do not have.
+
     Here the index text is one row per child, so that no site is folded into one row.
     """
     leaves = _sitemap_files(spark, sf_dir)
@@ -382,7 +386,8 @@ def sitemap_walk(spark, sf_dir):
     index = leaves.select("site", F.concat(F.lit("https://"), "site", F.lit("/sitemap.xml")).alias("url"),
                           child.alias("text"), "error")
     files = leaves.where("page_id % 3 <> 0").select("site", "url", "text", "error").unionByName(index)
-    entries = X.sitemap_entries(D.pages(spark, sf_dir).select("site").distinct())
+    hosts = D.pages(spark, sf_dir).select("site", F.concat(F.lit("https://"), U.host_of("url")).alias("baseUrl"))
+    entries = X.sitemap_entries(hosts.select("site").distinct()).unionByName(X.sitemap_entries(hosts.distinct()))
     urls, errors = X.expand_sitemaps(entries, files)
     return urls.select("site", F.lit("url").alias("kind"), "url").unionByName(
         errors.select("site", F.lit("error").alias("kind"), "url"))
