@@ -7,6 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
+from webaudit.plans import derived as D
 from webaudit.plans.catalog import QUERIES, SQL
 
 SMALL = "/root/testdata/sf0.001"
@@ -55,6 +56,11 @@ def test_large_groups_of_titles_are_whole(spark, tmp_path):
         f"https://wide.example/en/{i}" for i in range(2_300))
 
 
+def test_derived_captures_are_dealt_over_all_cores(spark, sized):
+    captures = D.captures(spark, str(sized), hreflang=True)
+    assert captures.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+
+
 def same(spark, folder, name):
     df = QUERIES[name](spark, str(folder))
     columns = sorted(df.columns)

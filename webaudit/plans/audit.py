@@ -254,7 +254,7 @@ def audit(captures: DataFrame, cfg: AuditConfig, files: DataFrame | None = None,
     if files is not None:
         texts = files.where((F.col("kind") == "llms") & F.col("text").isNotNull())
         docs = texts.select("site", F.col("url").alias("file")).distinct()
-        llms = parse_llms_txt(texts)
+        llms = cut_lineage(parse_llms_txt(texts), "audit-llms")
         robots = parse_robots(files.where("kind = 'robots'"))
         if "forbidden-hosts" in enabled:
             extra.append(site_file_leaks(texts, sites, cfg) if listed else scan_text_files(texts, cfg))
@@ -262,6 +262,7 @@ def audit(captures: DataFrame, cfg: AuditConfig, files: DataFrame | None = None,
             sitemap, failed = expand_sitemaps(
                 sitemap_entries(bases, cfg.includePaths, cfg.excludePaths, cfg.extraSitemaps,
                                 cfg.knownLocales), files.where("kind = 'sitemap'"))
+            sitemap = cut_lineage(sitemap, "audit-sitemap")
     walked = failed is not None
     if sitemap is None:
         sitemap = spark.createDataFrame([], "site string, url string, pos bigint")

@@ -123,6 +123,14 @@ _DOM = {
 }
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """Small rows dealt over all cores, for steps that cost far more than the rows' bytes suggest.
+
+    Spark merges the partitions of a shuffle by their bytes, down to one or two here.
+    """
+    return df.repartition(3 * df.sparkSession.sparkContext.defaultParallelism, *columns)
+
+
 def captures(spark: SparkSession, sf_dir: str, hreflang: bool = False) -> DataFrame:
     """Page captures; ``hreflang`` adds alternates: a site's first page, and its last to that."""
     return captures_of(pages(spark, sf_dir), hreflang)
@@ -137,6 +145,7 @@ def captures_of(source: DataFrame, hreflang: bool = False) -> DataFrame:
         source = salted_join(source, ends, ["site"], ["page_id"], "left").withColumn(
             "_other", F.when(F.col("page_id") == F.col("_first"), F.col("_last_url"))
             .otherwise(F.col("_first_url")))
+        source = spread(source, "page_id")
         alternates = F.expr(
             "CASE WHEN page_id % 6 IN (0, 1, 2) AND _other IS NOT NULL "
             "THEN array(named_struct('hreflang', 'de', 'href', _other)) ELSE array() END")
