@@ -10,6 +10,7 @@ import zlib
 
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -489,6 +490,47 @@ def test_ngram_join_of_very_long_texts(spark, monkeypatch):
     assert got == want and want[10][1] == 0 and want[14][1] == 14 and want[None][1] == 1
 
 
+def joined_entries(spark, folder, sets, common, percent):
+    """The rows that the join on signatures makes of token sets."""
+    out = []
+    for node, tokens in enumerate(sets):
+        cut = {0: (len(tokens), *np.bitwise_xor.reduce(
+            ngram_join.parity(tokens).reshape(-1, ngram_join.FOLDED)).tolist())}
+        if (found := ngram_join.range_rows(tokens, percent)) is not None:
+            cut |= {r[0]: tuple(r[1:]) for r in found.reshape(-1, ngram_join.FOLDED + 2).tolist()}
+        sig, at, skip, before, between = ngram_join.entries_of(tokens, common, percent)
+        part = pd.DataFrame.from_dict(cut, "index", columns=["part", "f0", "f1", "f2", "f3"])
+        out.append(part.loc[at].reset_index(drop=True).assign(
+            sig=sig.view(np.int64), node=node, comp=node, n=len(tokens), skip=skip,
+            before=before.view(np.int64), between=between.view(np.int64)))
+    pd.concat(out).to_parquet(folder / "mixed.parquet")
+    mixed = spark.read.parquet(str(folder / "mixed.parquet"))
+    return [(r["a"], r["b"]) for r in ngram_join.candidates(mixed, percent).collect()]
+
+
+@pytest.mark.parametrize("percent,flagged", [(90, 0.0), (80, 0.0), (90, 1.0), (80, 1.0), (80, 0.9)])
+def test_ngram_join_has_each_pair_in_few_rows(spark, tmp_path, percent, flagged):
+    """Linked pairs are all there; sets that share many tokens, but too few, make few rows."""
+    rng = np.random.default_rng(8)
+    common = rng.random(1 << ngram_join.SKETCH_BITS) < flagged
+    sets, linked = [], set()
+    for n in (60, 262, 530, 1100):
+        base = rng.integers(0, 1 << 64, n, np.uint64)
+        for change in (0.0, (100 - percent) / (100 + percent) * 0.95, 0.35, 0.4, 0.45):
+            keep = rng.permutation(base)[int(n * change):]
+            sets.append(np.unique(np.concatenate(
+                [keep, rng.integers(0, 1 << 64, int(n * change), np.uint64)])))
+    for b, t in enumerate(sets):
+        for a, s in enumerate(sets[:b]):
+            both = len(np.intersect1d(s, t))
+            if 100 * both >= percent * (len(s) + len(t) - both):
+                linked.add((a, b))
+    rows = joined_entries(spark, tmp_path, sets, common, percent)
+    assert len(linked) >= 4 and linked <= set(rows)
+    apart = [r for r in rows if r not in linked]
+    assert len(apart) < 100, len(apart)
+
+
 @pytest.mark.parametrize("percent", [90, 80])
 def test_ngram_signatures_of_large_sets_never_miss(percent):
     rng = np.random.default_rng(1)
