@@ -578,3 +578,31 @@ def test_pipeline_redacts_spans_and_tokens_only(spark, monkeypatch):
     assert got == {1: f"ftp://me:{r}@h/ attest the latest ({r}) contest tests, {r}", 2: "no test here", 3: f"{r} is it: {r}",
                    9007199254740993: f"{long} {r} {long}", None: f"pw={r} zz9x", 5: None}
     assert c.secrets(spark, df.where("false"), SF).count() == 0
+
+
+def test_near_copies_of_one_text_join_a_group_before_their_pairs_do(spark, monkeypatch):
+    """A family whose members link with a part of the others only: the last join has few of its pairs."""
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(240)]
+    rows = []
+    for i in range(150):
+        t = list(base)
+        for at in rng.sample(range(len(t)), rng.randrange(1, 16)):
+            t[at] = f"v{rng.randrange(10**6)}"
+        rows.append((i, " ".join(t)))
+    hasher = ngram_join.Words()
+    sets = [ngram_join.tokens_of(t, 3, hasher) for _, t in rows]
+    want, linked = list(range(150)), 0
+    for b in range(150):
+        for a in range(b):
+            both = len(np.intersect1d(sets[a], sets[b]))
+            if 100 * both >= 80 * (len(sets[a]) + len(sets[b]) - both):
+                linked += 1
+                low, high = sorted((want[a], want[b]))
+                want = [low if c == high else c for c in want]
+    made, join = [], ngram_join.candidates
+    monkeypatch.setattr(ngram_join, "candidates", lambda *a: made.append(join(*a).count()) or join(*a))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["comp"] for r in ngram_join.jaccard_groups(df, 3, 80).collect()}
+    assert got == dict(enumerate(want)) and linked > 1500
+    assert made[0] < 3000, made
