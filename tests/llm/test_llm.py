@@ -606,3 +606,21 @@ def test_near_copies_of_one_text_join_a_group_before_their_pairs_do(spark, monke
     got = {r["doc_id"]: r["comp"] for r in ngram_join.jaccard_groups(df, 3, 80).collect()}
     assert got == dict(enumerate(want)) and linked > 1500
     assert made[0] < 3000, made
+
+
+def test_word_encoder_ends_with_its_task():
+    """No ring of references keeps an encoder's words until Python collects garbage."""
+    import gc
+    import weakref
+
+    from webaudit.llm.words import WordEncoder
+
+    gc.disable()
+    try:
+        encoder = WordEncoder(packing.tokenizer_path())
+        assert encoder.encode("It's a naïve 日本 word, word") and len(encoder.words)
+        kept = weakref.ref(encoder.words), weakref.ref(encoder.cores)
+        del encoder
+        assert kept[0]() is None and kept[1]() is None
+    finally:
+        gc.enable()

@@ -5,10 +5,11 @@ from __future__ import annotations
 import re
 import sys
 from array import array
+from functools import partial
 
 from tokenizers import Tokenizer
 
-CACHED_WORDS = 600_000  # bounds a Python worker's memory; a full cache starts again
+CACHED_WORDS = 300_000  # bounds a Python worker's memory; a full cache starts again
 
 # Numbers that Python calls word characters (fixed values), and whatever is beyond Latin-1.
 ODD = re.compile("[²³¹¼½¾]|[^\x00-\xff]")
@@ -37,34 +38,36 @@ class WordEncoder:
 
     def __init__(self, path: str):
         self.full = Tokenizer.from_file(path)
-        self.model = self.full.model
-        self.letters = _byte_letters()
         self.special = [t.content for t in self.full.get_added_tokens_decoder().values()]
-        self.words = _Cache(self._word)
-        self.cores = _Cache(self._core)
+        # The caches hold no encoder: a ring of the two would outlive its task by many others.
+        self.cores = _Cache(partial(_core, self.full.model, _byte_letters()))
+        self.words = _Cache(partial(_word, self.full, self.cores))
 
     def encode(self, text: str) -> bytes:
         if any(s in text for s in self.special):
-            return self._library(text)
+            return _library(self.full, text)
         words = CUT.split(text) if KEPT.search(text) else text.split()
         return b"".join(map(self.words.__getitem__, words))
 
-    def _library(self, text: str) -> bytes:
-        return _bytes(self.full.encode(text, add_special_tokens=False).ids)
-
-    def _core(self, core: str) -> bytes:
-        if not core.isascii():
-            core = core.encode().decode("latin-1").translate(self.letters)
-        return _bytes([t.id for t in self.model.tokenize(core)])
-
-    def _word(self, word: str) -> bytes:
-        if not word:
-            return b""
-        if PLAIN.fullmatch(word):
-            return self.cores[word.lower()]
-        if "'" in word or ODD.search(word) or not word.isprintable():
-            return self._library(word)
-        return b"".join(map(self.cores.__getitem__, CLASSES.findall(word.lower())))
+
+def _library(full: Tokenizer, text: str) -> bytes:
+    return _bytes(full.encode(text, add_special_tokens=False).ids)
+
+
+def _core(model, letters: dict[int, str], core: str) -> bytes:
+    if not core.isascii():
+        core = core.encode().decode("latin-1").translate(letters)
+    return _bytes([t.id for t in model.tokenize(core)])
+
+
+def _word(full: Tokenizer, cores: _Cache, word: str) -> bytes:
+    if not word:
+        return b""
+    if PLAIN.fullmatch(word):
+        return cores[word.lower()]
+    if "'" in word or ODD.search(word) or not word.isprintable():
+        return _library(full, word)
+    return b"".join(map(cores.__getitem__, CLASSES.findall(word.lower())))
 
 
 def _bytes(ids: list[int]) -> bytes:
