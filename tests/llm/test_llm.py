@@ -624,3 +624,23 @@ def test_word_encoder_ends_with_its_task():
         assert kept[0]() is None and kept[1]() is None
     finally:
         gc.enable()
+
+
+def test_pieces_of_words_come_from_the_library_search(monkeypatch):
+    """Same ids and score as ``path``, which only names of byte and control pieces take."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    p = pieces.Pieces(path)
+    rng = random.Random(2)
+    some = ["".join(rng.choices("aeinorst" if i % 2 else "aé▁\x00\x7fß日本\U0001F600,.0'<>", k=rng.randrange(1, 30)))
+            for i in range(2000)]
+    odd = ["<0x41>", "a<s>b", "x<unk>", "</s>", "<0x", "\ud800a", "é" * 90]
+    for w in some + odd:
+        best, back = p.path(w, [0.0], len(w))
+        ids = p.word(w)
+        assert ids == p.trace(w, back, len(w))[1] and p.score(ids) == best[len(w)], w
+    p.cache.clear()
+    monkeypatch.setattr(p, "path", None)
+    assert p.encode("▁international▁naïve\n日本<0x4")
+    assert pieces.pieces_at(path) is pieces.pieces_at(path)

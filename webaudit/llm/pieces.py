@@ -6,18 +6,20 @@ import re
 import sys
 from array import array
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from sentencepiece import SentencePieceProcessor
+from tokenizers.models import Unigram
 
 from .common import cut_lineage, table, text_columns
 
 CHUNK = 1 << 15       # code points of a chunk; longer texts are giants
 BLOCK = 64            # chunks whose matrices one task multiplies
-CACHED_WORDS = 500_000
+CACHED_WORDS = 200_000  # bounds a Python worker's memory; a full cache starts again
 SPACE = "▁"      # how pieces spell a space
 NONE = -np.inf
 ENCODED = "doc_id string, chunk int, start long, length long, n_tokens long, ids binary"
@@ -46,7 +48,18 @@ class Pieces:
         # a search ends where no piece goes on.
         self.begins = {p[:k]: NONE for p in self.piece for k in range(1, len(p))}
         self.begins |= {p: score for p, (_, score) in self.piece.items()}
-        self.cache: dict[str, tuple[bytes, float]] = {}
+        # The score that each id adds: of an unknown character's bytes, the first has it.
+        self.worth = np.zeros(sp.vocab_size())
+        self.worth[ids] = [self.piece[sp.id_to_piece(i)][1] for i in ids]
+        self.worth[[i for b, i in enumerate(self.byte) if not 0x80 <= b < 0xC0]] = self.unknown
+        # The library's search of ``path`` for a stretch by itself: same scores, same choice among
+        # equals. It would take the name of a byte or control piece in a text for that piece.
+        names, least = [sp.id_to_piece(i) for i in range(sp.vocab_size())], self.unknown + 10
+        self.search = Unigram([(p, self.piece[p][1] if p in self.piece else least) for p in names],
+                              sp.unk_id(), True)
+        self.names = sorted(set(names) - set(self.piece))
+        self.marks = {name[0] for name in self.names}
+        self.cache: dict[str, bytes] = {}
         # No piece crosses from another character into a space mark, or touches a line end: the
         # best path passes through these cuts. Checked, as it depends on the vocabulary.
         self.cuts = not any(SPACE in p.lstrip(SPACE) or ("\n" in p and len(p) > 1)
@@ -86,19 +99,29 @@ class Pieces:
         cuts.reverse()
         return cuts[0], _bytes([i for a, b in zip(cuts, cuts[1:]) for i in self.ids_of(s[a:b])])
 
-    def word(self, w: str) -> tuple[bytes, float]:
-        """Ids and score of a stretch between cuts."""
+    def word(self, w: str) -> bytes:
+        """Ids of a stretch between cuts."""
         if (known := self.cache.get(w)) is None:
-            best, back = self.path(w, [0.0], len(w))
-            known = self.trace(w, back, len(w))[1], best[len(w)]
+            known = self._search(w)
             if len(self.cache) >= CACHED_WORDS:
                 self.cache.clear()
             if len(w) <= 64:
                 self.cache[w] = known
         return known
 
+    def _search(self, w: str) -> bytes:
+        if self.marks.isdisjoint(w) or not any(name in w for name in self.names):
+            try:
+                return _bytes([t.id for t in self.search.tokenize(w)])
+            except UnicodeEncodeError:  # half of a surrogate pair
+                pass
+        return self.trace(w, self.path(w, [0.0], len(w))[1], len(w))[1]
+
     def encode(self, normal: str) -> bytes:
-        return b"".join([self.word(w)[0] for w in self.words.findall(normal)])
+        return b"".join(map(self.word, self.words.findall(normal)))
+
+    def score(self, ids: bytes) -> float:
+        return float(self.worth[np.frombuffer(ids, "<u4")].sum())
 
     def decode(self, ids: bytes) -> bytes:
         """The UTF-8 text, with spaces again; the leading mark of a document is a space here."""
@@ -129,7 +152,7 @@ class Pieces:
         marks = self.borders(s, size)
         if marks:
             first, last = marks
-            middle = sum(self.word(w)[1] for w in self.words.findall(s[first:last]))
+            middle = self.score(self.encode(s[first:last]))
             tail = self.path(s[last:], [0.0], size - last)[0]
             ends = np.array((tail[size - last:] + [NONE] * wide)[:wide])
         for i in range(min(wide, len(s) + 1)):
@@ -167,6 +190,12 @@ class Pieces:
         return found
 
 
+@lru_cache(1)
+def pieces_at(path: str) -> Pieces:
+    """One for all tasks of a Python worker, with the words that it has seen."""
+    return Pieces(path)
+
+
 def _bytes(ids: list[int]) -> bytes:
     packed = array("I", ids)
     if sys.byteorder == "big":
@@ -181,7 +210,7 @@ def product(left: np.ndarray, right: np.ndarray) -> np.ndarray:
 
 def encode_ordinary(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pieces = Pieces(path)
+        pieces = pieces_at(path)
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
@@ -204,7 +233,7 @@ def encode_giants(docs: DataFrame, path: str, chunk: int = CHUNK, block: int = B
        maps exit states to entry states; the maps are composed from the end in the same two
        levels. 4. Each chunk's path is then fixed, independently of the others.
     """
-    wide = Pieces(path).longest
+    wide = pieces_at(path).longest
     texts = docs.select(F.sha2("text", 256).alias("text_key"), "text").dropDuplicates(["text_key"])
     normal = F.concat(F.lit(SPACE), F.replace("text", F.lit(" "), F.lit(SPACE)))
     chunks = cut_lineage(texts.select("text_key", normal.alias("s")).select(
@@ -216,7 +245,7 @@ def encode_giants(docs: DataFrame, path: str, chunk: int = CHUNK, block: int = B
         .repartition("text_key", "chunk"), "pieces-chunks")
 
     def matrices(batches):
-        pieces = Pieces(path)
+        pieces = pieces_at(path)
         for pdf in batches:
             yield pd.DataFrame({"text_key": pdf["text_key"], "chunk": pdf["chunk"], "m": [
                 pieces.transfer(s, n).tobytes() for s, n in zip(pdf["s"], pdf["size"])]})
@@ -257,7 +286,7 @@ def encode_giants(docs: DataFrame, path: str, chunk: int = CHUNK, block: int = B
         within, "text_key string, chunk int, state binary")
 
     def paths(batches):
-        pieces = Pieces(path)
+        pieces = pieces_at(path)
         for pdf in batches:
             rows = []
             for key, c, n, s, state in pdf[["text_key", "chunk", "size", "s", "state"]].itertuples(
@@ -330,7 +359,7 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     schema = ", ".join(f"{n} {t}" for n, t in encoded.dtypes) + ", text binary"
 
     def run(batches):
-        pieces = Pieces(path)
+        pieces = pieces_at(path)
         for pdf in batches:
             yield pdf.assign(text=[pieces.decode(bytes(i)) for i in pdf["ids"]])
 
