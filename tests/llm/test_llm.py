@@ -608,6 +608,57 @@ def test_near_copies_of_one_text_join_a_group_before_their_pairs_do(spark, monke
     assert made[0] < 3000, made
 
 
+def test_components_end_as_stars_without_another_round(spark, monkeypatch):
+    from webaudit.llm import components as module
+
+    stores, store = [], module.stored
+    monkeypatch.setattr(module, "stored", lambda df, name: stores.append(name) or store(df, name))
+
+    def found(links):
+        stores.clear()
+        df = spark.createDataFrame(links, "a long, b long")
+        return {r["node"]: r["comp"] for r in module.components(df).collect()}
+
+    def wanted(links):
+        root = {x: x for link in links if link[0] != link[1] for x in link}
+        for _ in root:
+            for a, b in links:
+                if a != b:
+                    root[a] = root[b] = min(root[a], root[b])
+        return root
+
+    star = [(1, n) for n in range(2, 40)] + [(n, 50) for n in range(51, 60)] + [(70, 70)]
+    assert found(star) == wanted(star) and len(stores) == 1
+    assert found([]) == {} and len(stores) == 1
+    rng = random.Random(3)
+    for links in ([(n, n + 1) for n in range(30)], [(a, b) for a in range(9) for b in range(9)],
+                  [(2, 1), (3, 1), (3, 2), (8, 5), (8, 7), (9, 7), (20, 9)],
+                  [(rng.randrange(150), rng.randrange(150)) for _ in range(90)]):
+        assert found(links) == wanted(links)
+
+
+def test_near_copies_send_little_to_the_driver(spark, monkeypatch):
+    from pyspark import SparkContext
+    from pyspark.serializers import CloudPickleSerializer
+
+    rows = [(n, " ".join(f"w{n % 20}x{i}" for i in range(60)) + f" end{n}") for n in range(60)]
+    sent, frame = [], type(spark.range(0))
+    collect, broadcast = frame.collect, SparkContext.broadcast
+
+    def collected(self):
+        out = collect(self)
+        sent.append(sum(len(v) for r in out for v in r if isinstance(v, (bytes, bytearray))))
+        return out
+
+    monkeypatch.setattr(frame, "collect", collected)
+    monkeypatch.setattr(SparkContext, "broadcast", lambda self, value: sent.append(
+        len(CloudPickleSerializer().dumps(value))) or broadcast(self, value))
+    got = {r["doc_id"]: r["comp"] for r in ngram_join.jaccard_groups(
+        spark.createDataFrame(rows, "doc_id long, text string"), 3, 80).collect()}
+    assert got == {n: n % 20 for n in range(60)}
+    assert max(sent) < 1 << 20
+
+
 def test_word_encoder_ends_with_its_task():
     """No ring of references keeps an encoder's words until Python collects garbage."""
     import gc

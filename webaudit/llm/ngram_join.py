@@ -229,10 +229,10 @@ def least_difference(x: bytes, y: bytes) -> int:
 
 def document_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, np.ndarray]:
     """One scan: ``doc_id`` (as text), ``n``, key ``h1, h2``, parity bitmap and hash ranges of each
-    document's set; and which hash buckets hold a frequent token.
+    document's set; and which hash buckets hold a frequent token, as packed bits.
 
-    Token counts cover all documents. They are summed by slices of the buckets; what
-    reaches the driver is ``2^SKETCH_BITS`` numbers, whatever the corpus. A bucket is frequent if
+    Token counts cover all documents. They are summed and judged by slices of the buckets; what
+    reaches the driver is ``2^SKETCH_BITS`` bits, whatever the corpus. A bucket is frequent if
     its count stands out from the mean by far more than chance allows. A wrong flag costs time, never
     a link.
     """
@@ -261,25 +261,30 @@ def document_sets(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame,
               + ", wide binary, ranges array<long>, slice int, counts binary")
     both = cut_lineage(docs.mapInPandas(run, schema), "ngram-sets")
 
+    sizes = both.where("slice < 0").drop("slice", "counts")
+    mean = sizes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] / buckets
+    frequent_above = mean + 6 * np.sqrt(mean) + 16
+
     def add(pdf: pd.DataFrame) -> pd.DataFrame:
         total = np.zeros(SLICE, np.int64)
         for c in pdf["counts"]:
             total += np.frombuffer(c, np.uint32)
-        return pd.DataFrame({"slice": pdf["slice"][:1], "counts": [total.tobytes()]})
+        return pd.DataFrame({"slice": pdf["slice"][:1],
+                             "flags": [np.packbits(total > frequent_above).tobytes()]})
 
-    total = np.zeros(buckets, np.int64)
+    flags = np.zeros(buckets // 8, np.uint8)
     for row in (both.where("slice >= 0").select("slice", "counts").groupBy("slice")
-                .applyInPandas(add, "slice int, counts binary").collect()):
-        total[row["slice"] * SLICE:(row["slice"] + 1) * SLICE] = np.frombuffer(row["counts"], np.int64)
-    mean = total.mean()
-    members = both.where("slice < 0").drop("slice", "counts").withColumn(
-        "doc_id", F.col("doc_id").cast("long"))
-    return members, total > mean + 6 * np.sqrt(mean) + 16
+                .applyInPandas(add, "slice int, flags binary").collect()):
+        flags[row["slice"] * SLICE // 8:(row["slice"] + 1) * SLICE // 8] = np.frombuffer(row["flags"], np.uint8)
+    return sizes.withColumn("doc_id", F.col("doc_id").cast("long")), flags
 
 
 def index_entries(docs: DataFrame, words: int, percent: int, frequent: np.ndarray) -> DataFrame:
-    """``sig, h1, h2`` and what ``entries_of`` tells: the index, with each set once a task."""
-    flags = docs.sparkSession.sparkContext.broadcast(np.packbits(frequent))
+    """``sig, h1, h2`` and what ``entries_of`` tells: the index, with each set once a task.
+
+    ``frequent``: a packed bit for each bucket.
+    """
+    flags = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache, seen = Words(), set()
@@ -312,26 +317,24 @@ def fetch_tokens(docs: DataFrame, words: int, needed: DataFrame) -> DataFrame:
     """``needed`` (rows ``h1, h2, id`` of sets, and more) with the ``tokens`` of each row's set.
 
     ``id`` names the one document whose text is read for a set. A bitmap of the needed ids, of
-    ``2^NEEDED_BITS`` bits at most, spares the other documents' texts the work; the join behind
-    it is exact. Rows without doc_id are all read.
+    ``2^NEEDED_BITS`` bits at most, spares the other documents' texts the work; only the parts of
+    it that hold an id exist. The join behind it is exact. Rows without doc_id are all read.
     """
     slot = F.pmod(F.col("id"), F.lit(1 << NEEDED_BITS))
     maps = needed.where("id IS NOT NULL").select(slot.alias("slot")).groupBy(
         F.bitmap_bucket_number("slot").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("slot")).alias("bits")).collect()
     # Bucket numbers begin at 0 for slot 0 alone, then at 1 for every 32,768 slots.
-    flags = np.zeros((1 << NEEDED_BITS) // 8 + 8192, np.uint8)
-    for row in maps:
-        at = row["bucket"] * 4096
-        flags[at:at + 4096] |= np.frombuffer(bytes(row["bits"]), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(flags)
+    shared = docs.sparkSession.sparkContext.broadcast(
+        {row["bucket"]: bytes(row["bits"]) for row in maps})
 
     def wanted(doc_id: str | None) -> bool:
         if doc_id is None:
             return True
         at = int(doc_id) % (1 << NEEDED_BITS)
         bucket, bit = (0, 0) if at == 0 else (1 + (at - 1) // 32768, (at - 1) % 32768)
-        return bool(shared.value[bucket * 4096 + bit // 8] >> (bit % 8) & 1)
+        bits = shared.value.get(bucket)
+        return bits is not None and bool(bits[bit // 8] >> (bit % 8) & 1)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cache = Words()
