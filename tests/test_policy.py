@@ -102,6 +102,28 @@ def test_custom_checks(spark):
     assert rules(audit(pages, cfg).issues, "priority") == [("missing-price", "P1")]
 
 
+def test_custom_rows_fall_with_their_own_page(spark):
+    a, b, c = (f"https://example.com/{n}" for n in "abc")
+    refused = dict(status=403, dom=dom(title="Just a moment..."))
+    pages = frame(spark, capture(seq=0, url=a, **refused), capture(seq=1, url=a),
+                  capture(seq=2, url=b, **refused), capture(seq=3, url=c), capture(seq=4, url=b, site=None, **refused))
+    every = lambda captures, _: captures.select("site", "seq", issue(
+        "mine", "info", "found", "x").alias("i")).select("site", "seq", "i.*")
+
+    def kept(change):
+        cfg = AuditConfig(checks=("mine",), customChecks=(
+            CustomCheck("mine", lambda captures, status: change(every(captures, status))),))
+        got = run_page_checks(pages, cfg).where("rule = 'found'").collect()
+        return sorted((r.seq if r.seq is not None else -1, r.pageUrl) for r in got)
+
+    assert kept(lambda rows: rows) == [(1, a), (3, c)]
+    # Rows that name no page go by its URL.
+    assert kept(lambda rows: rows.drop("site", "seq")) == [(-1, c)]
+    assert kept(lambda rows: rows.drop("seq")) == [(-1, c)]
+    assert kept(lambda rows: rows.withColumn("seq", F.when(F.col("seq") != 0, F.col("seq")))) == [(1, a), (3, c)]
+    assert kept(lambda rows: rows.withColumn("pageUrl", F.lit(b))) == [(1, b), (3, b)]
+
+
 def test_hreflang_uses_the_last_capture_of_a_url(spark):
     a, b = "https://example.com/a", "https://example.com/b"
     alt = lambda href: [dict(hreflang="de", href=href)]

@@ -61,6 +61,14 @@ def test_derived_captures_are_dealt_over_all_cores(spark, sized):
     assert captures.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
 
 
+def test_a_blocked_page_takes_no_finding_of_another_page_with_its_url(spark, tmp_path):
+    spark.range(800, 1000).select(
+        F.col("id").alias("page_id"),
+        F.concat(F.lit("https://wide.example/fr/"), F.col("id") % 37).alias("url"),
+        F.lit("").alias("html")).write.parquet(str(tmp_path / "pages.parquet"))
+    same(spark, tmp_path, "custom_check")
+
+
 def same(spark, folder, name):
     df = QUERIES[name](spark, str(folder))
     columns = sorted(df.columns)

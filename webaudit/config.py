@@ -53,9 +53,9 @@ SEO_SETTINGS = ("titleMin", "titleMax", "descriptionMin", "descriptionMax")
 class CustomCheck:
     """A check written by the caller.
 
-    ``fn(captures, link_status)`` returns issue rows, or ``fn`` is a Column that yields an
-    array of issue structs for one capture. ``rules`` maps each rule it emits to
-    ``(priority, category, rationale)``.
+    ``fn(captures, link_status)`` returns issue rows, best with the ``site`` and ``seq`` of their
+    page, or ``fn`` is a Column that yields an array of issue structs for one capture. ``rules``
+    maps each rule it emits to ``(priority, category, rationale)``.
     """
 
     id: str
